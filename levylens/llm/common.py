@@ -131,12 +131,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
+def byte_values(same: dict[int, int] | None = None, lower: bool = True) -> np.ndarray:
+    """A value for each byte; A-Z have those of a-z if lower, and same maps further bytes to others."""
+    out = (_LOWER if lower else _BYTE).copy()
+    for a, b in (same or {}).items():
+        out[a] = out[b]
+    return out
+
+
+def prefix_hash(data: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     """Sums whose differences, brought to position 0, hash any slice of data."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, U64)
     with np.errstate(over="ignore"):
-        np.cumsum((_LOWER if lower else _BYTE)[data] * up[: len(data)], out=out[1:])
+        np.cumsum(values[data] * up[: len(data)], out=out[1:])
     return out
 
 
@@ -154,29 +162,33 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    sums: np.ndarray
 
 
-def words(block: Block) -> Words:
-    """Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z."""
+def words(block: Block, gap: np.ndarray = _SPACE, values: np.ndarray = _LOWER) -> Words:
+    """Words are runs of bytes outside gap, by default 0x20 and 0x09-0x0D; by default A-Z count as a-z."""
     n = len(block.data)
-    if not n:
-        return Words(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(block.ids) + 1, np.int64))
-    inside = ~_SPACE[block.data]
+    inside = ~gap[block.data]
     fresh = np.ones(n + 1, bool)  # whether a word cannot go on from the byte before
-    fresh[1:n] = ~inside[:-1]
+    fresh[1:n] = ~inside[: max(0, n - 1)]
     fresh[block.offsets[:-1]] = True
     start = np.flatnonzero(inside & fresh[:n])
     stop = np.ones(n + 1, bool)
     stop[:n] = ~inside
     stop[block.offsets] = True
     end = np.flatnonzero(inside & stop[1:]) + 1
-    return Words(slice_hash(prefix_hash(block.data, lower=True), start, end), start, end, np.searchsorted(start, block.offsets))
+    sums = prefix_hash(block.data, values)
+    return Words(slice_hash(sums, start, end), start, end, np.searchsorted(start, block.offsets), sums)
 
 
 def word_hash(word: str) -> int:
     """The hash that words() gives to this word."""
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(words(Block(np.zeros(1), data, np.array([0, len(data)]))).hash[0])
+    return int(words(one_block(word)).hash[0])
+
+
+def one_block(*texts: str) -> Block:
+    parts = [t.encode() for t in texts]
+    return Block(np.arange(len(parts)), np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
