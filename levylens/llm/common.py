@@ -9,13 +9,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer document is handled alone.
@@ -96,6 +98,40 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
             at = to
 
 
+def packed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with its text as compressed bytes, for an exchange; unpack() undoes one value. A null stays null."""
+    place = df.columns.index(text_col)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in df.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                cols = list(some.columns)
+                cols[place] = pa.array([None if t is None else press.compress(t.encode()) for t in some.column(place).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def unpack(value: pa.BinaryScalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value.as_buffer())
+
+
+def keep_rows(docs: DataFrame, keeps: Callable[[Block], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, for whose (doc_id, text) keeps() says so."""
+    at = [docs.columns.index(c) for c in ("doc_id", "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                two = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()).fill_null(0), batch.column(at[1])], ["doc_id", "text"])
+                yield batch.filter(pa.array(np.concatenate([keeps(b) for b in blocks(iter([two]))])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 # ---------------------------------------------------------------- hashing
 
 _rng = np.random.default_rng(20240229)
@@ -186,8 +222,8 @@ def word_hash(word: str) -> int:
     return int(words(one_block(word)).hash[0])
 
 
-def one_block(*texts: str) -> Block:
-    parts = [t.encode() for t in texts]
+def one_block(*texts: str | bytes) -> Block:
+    parts = [t.encode() if isinstance(t, str) else t for t in texts]
     return Block(np.arange(len(parts)), np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
 
 

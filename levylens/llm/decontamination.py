@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,25 +99,39 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
     return int(a + shift + run[0]), int(len(run) - 1 + window)
 
 
-def _marks(rows: DataFrame, table: Table) -> DataFrame:
+def find(block: common.Block, table: Table) -> list[dict[int, tuple[int, int]]]:
+    """For each document, the item ids that overlap it, each with the first word and the words of its longest overlap."""
+    w = common.words(block, _gap)
+    found: list[dict[int, tuple[int, int]]] = [{} for _ in block.ids]
+    seen: set[tuple[int, int, int]] = set()
+    for at, item, place in table.candidates(w.hash):
+        doc = np.searchsorted(w.first, at, "right") - 1
+        for key in set(zip(doc.tolist(), item.tolist(), (at - w.first[doc] - place).tolist(), strict=True)) - seen:
+            seen.add(key)
+            d, i, shift = key
+            start, n = overlap(w.hash[w.first[d] : w.first[d + 1]], table.words[i], shift)
+            if n > found[d].get(int(table.ids[i]), (0, 0))[1]:
+                found[d][int(table.ids[i])] = (start, n)
+    return found
+
+
+def tables(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The items' seed tables, each of at most about BLOCK_TOKENS words, broadcast."""
+    spark = common.bind(benchmark.sparkSession)
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-total // (4 * BLOCK_TOKENS)) or 1  # a word takes about 4 bytes at the least
+    for k in range(parts):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()  # of a proven size
+        yield spark.sparkContext.broadcast(Table([r.item_id for r in block], [r.text for r in block]))
+
+
+def _marks(rows: DataFrame, spread: Broadcast) -> DataFrame:
     """doc_id and, for a contaminated document, its item ids, overlaps' first words and lengths."""
-    spread = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = spread.value
         for block in common.blocks(batches):
-            w = common.words(block, _gap)
-            found: list[dict[int, tuple[int, int]]] = [{} for _ in block.ids]
-            seen: set[tuple[int, int, int]] = set()
-            for at, item, place in t.candidates(w.hash):
-                doc = np.searchsorted(w.first, at, "right") - 1
-                for key in set(zip(doc.tolist(), item.tolist(), (at - w.first[doc] - place).tolist(), strict=True)) - seen:
-                    seen.add(key)
-                    d, i, shift = key
-                    start, n = overlap(w.hash[w.first[d] : w.first[d + 1]], t.words[i], shift)
-                    if n > found[d].get(int(t.ids[i]), (0, 0))[1]:
-                        found[d][int(t.ids[i])] = (start, n)
-            ordered = [sorted(x.items()) for x in found]
+            ordered = [sorted(x.items()) for x in find(block, spread.value)]
             longs = lambda f: pa.array([[f(x) for x in row] for row in ordered], pa.list_(pa.int64()))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), longs(lambda x: x[0]), longs(lambda x: x[1][0]), longs(lambda x: x[1][1])], ["doc_id", "item_ids", "starts", "lengths"])
 
@@ -124,19 +139,18 @@ def _marks(rows: DataFrame, table: Table) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, item_ids, and the first word and the words of each item's longest overlap, for every row."""
-    spark = common.bind(docs.sparkSession)
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // (4 * BLOCK_TOKENS)) or 1
+    """doc_id, contaminated, item_ids, and the first word and the words of each item's longest overlap, for every row; repeated ids are one row if the benchmark takes several blocks."""
     rows = common.texts_of(docs)
-    found = []
-    for k in range(parts):  # each block has about 4 bytes a word at the least
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        found.append(_marks(rows, Table([r.item_id for r in block], [r.text for r in block])))
+    found = [_marks(rows, t) for t in tables(benchmark)]
     if len(found) == 1:
         marks = found[0]
     else:
-        tagged = reduce(DataFrame.unionByName, found)
-        marks = tagged.groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "starts", "lengths")))
+        marks = reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "starts", "lengths")))
     return marks.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "starts", "lengths")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that overlap no item."""
+    for spread in tables(benchmark):
+        docs = common.keep_rows(docs, lambda block, spread=spread: np.array([not x for x in find(block, spread.value)], bool))
+    return docs

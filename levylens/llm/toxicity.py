@@ -289,3 +289,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(out), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return common.texts_of(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic."""
+    common.bind(docs.sparkSession)
+    return common.keep_rows(docs, lambda block: model.score(block) < THRESHOLD)
