@@ -1,15 +1,57 @@
-"""A training-corpus pipeline of stages, each over all that the stage before it kept."""
+"""A training-corpus pipeline of stages, each over all that the stage before it kept.
+
+Toxic documents go; of near copies (five-word shingles, Jaccard 0.8 or more, by components) the one
+with the least doc_id stays; passages of 200 bytes or more that occur twice go; documents that overlap
+a benchmark item go; the rest is encoded. A null or empty text passes every filter. Rows without a
+doc_id pass the filters, and are left out of the last stage's result, which names its rows by it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from levylens.llm import byte_bpe, common, decontamination, queries, repeats, shingle_join, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, toxicity.learn(docs, queries.table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shingle_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repeats.cut(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(docs, queries.vocabulary("byte_bpe_50k.tiktoken")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
+#: Trees, components and byte-pair merges have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, with each one's rows written to the shared folder and read again."""
+    docs = queries.table(spark, sf_dir, "documents")
+    folder = common.shared_folder(spark)
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
