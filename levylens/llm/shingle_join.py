@@ -6,7 +6,8 @@ their hash to H + 2 parts, so two linked classes agree in whole in at least two
 is a signature. Classes that share one form a group, whose incidence matrix is multiplied with its
 transpose, block of columns by block of columns: overlap counts accumulate, and classes all of whose
 pairs fall below the bound from their sizes, even if all columns left agreed, are dropped. A large
-group is cut into blocks, and each pair of blocks is a product of its own. A product gives the edges
+group is cut into blocks, and each pair of blocks is a product of its own. Groups that share classes
+are multiplied as one cluster while that has few blocks. A product gives the edges
 of a spanning forest of its links, never all pairs. Components join those.
 
 A part that is empty in both classes says nothing. With H + 2 parts one such is harmless; a class with
@@ -38,6 +39,8 @@ from .components import components
 U = np.uint64
 #: Shingle places of a block of a group, and classes of one, at most.
 BLOCK_PLACES, BLOCK_CLASSES = 1 << 20, 1024
+#: Blocks of a cluster that is multiplied as one, at most.
+CLUSTER_BLOCKS = 4
 COLUMNS = 1024
 
 
@@ -198,6 +201,23 @@ def groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return found.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
 
 
+def clusters(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of what is multiplied: grp, class, block and blocks.
+
+    Groups that share classes form a cluster, whose members' sets are then sent once and not with
+    every group. A cluster of more than CLUSTER_BLOCKS blocks stays in its groups, so its products
+    grow with the groups and not with the square of the cluster.
+    """
+    pivot = found.groupBy("grp").agg(F.min("class").alias("b"))
+    cluster = components(found.join(pivot, "grp").select(F.col("class").alias("a"), "b").where("a <> b")).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
+    sized = cluster.join(known.groupBy("class").agg(F.max("n_shingles").alias("n")), "class")
+    most = F.greatest(F.lit(2), F.least(F.lit(BLOCK_CLASSES), F.floor(BLOCK_PLACES / F.max("n"))))
+    size = sized.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("blocks"))
+    placed = common.checkpointed(cluster.join(size, "cluster"))
+    whole = placed.where(F.col("blocks") <= CLUSTER_BLOCKS).select(F.col("cluster").alias("grp"), "class", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"), "blocks")
+    return whole.unionByName(found.join(placed.where(F.col("blocks") > CLUSTER_BLOCKS).select("class"), "class", "left_semi").select(*whole.columns))
+
+
 def link_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set, the place of the first set that its links reach."""
     g = len(sets)
@@ -303,7 +323,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     # an id with several rows may have several classes: they are told apart by their hash
     texts = common.packed(rows).join(wanted.hint("shuffle_hash"), "doc_id").select("class", "text")
     sets = texts.mapInArrow(incidence, "class long, set binary").where(F.length("set") > 0)
-    edges = common.checkpointed(link_edges(found.join(sets, "class"), percent))
+    edges = common.checkpointed(link_edges(clusters(found, known).join(sets, "class"), percent))
     labels = components(edges)
     named = known.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     full = named.where("n_shingles > 0")

@@ -62,7 +62,8 @@ def test_matches_brute_force(spark, n, percent, seed):
     assert sorted(map(tuple, sj.join(df, n, percent).collect())) == brute(rows, n, percent)
 
 
-def test_blocks_of_a_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("cluster_blocks", [0, 4, 99])
+def test_blocks_of_a_large_group(spark, monkeypatch, cluster_blocks):
     rng = random.Random(8)
     base = [f"b{k}" for k in range(60)]
     rows = []
@@ -72,6 +73,7 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
             t[rng.randrange(60)] = f"x{rng.randrange(9)}"
         rows.append((i, " ".join(t)))
     monkeypatch.setattr(sj, "BLOCK_CLASSES", 8)
+    monkeypatch.setattr(sj, "CLUSTER_BLOCKS", cluster_blocks)
     monkeypatch.setattr(sj, "COLUMNS", 16)
     assert sorted(map(tuple, sj.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())) == brute(rows, 3, 90)
 
