@@ -42,7 +42,7 @@ WINDOW, GRAM = 200, 48
 GRAMS = WINDOW - GRAM + 1
 PLACE_BITS = 24
 #: Window starts handled at once, and bytes of contexts in one index, about.
-CHUNK, INDEX_BYTES = 1 << 20, 4 << 20
+CHUNK, INDEX_BYTES = 1 << 19, 1 << 20
 #: Distinct contexts of an anchor in one index at most, unless their keys are whole windows.
 HOT = 4_096
 
