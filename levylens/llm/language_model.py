@@ -120,13 +120,17 @@ class EliasFano:
         to = _select(flipped, self.zeros, h) - h
         at = np.where(h > 0, _select(flipped, self.zeros, np.maximum(h - 1, 0)) + 1 - h, 0)
         low = keys[known] & U((1 << self.width) - 1)
-        while len(known):
-            inside = at < to
-            known, at, to, low = known[inside], at[inside], to[inside], low[inside]
-            here = _bits_at(self.low, at, self.width)
-            out[known[here == low]] = at[here == low]
-            more = here < low
-            known, at, to, low = known[more], at[more] + 1, to[more], low[more]
+        left, right = at.copy(), to.copy()  # a bucket of a frequent context can be long: halve it
+        active = np.flatnonzero(left < right)
+        while len(active):
+            mid = (left[active] + right[active]) >> 1
+            less = _bits_at(self.low, mid, self.width) < low[active]
+            left[active[less]] = mid[less] + 1
+            right[active[~less]] = mid[~less]
+            active = active[left[active] < right[active]]
+        inside = np.flatnonzero(left < to)
+        hit = inside[_bits_at(self.low, left[inside], self.width) == low[inside]]
+        out[known[hit]] = left[hit]
         return out
 
 
