@@ -2,20 +2,20 @@
 
 Sets of shingle hashes are compared by class: documents with equal sets are one. Two sets that link
 differ in at most H shingles, a bound that follows from their sizes. A class's shingles are dealt by
-their hash to H + 2 parts, so two linked classes agree in whole in at least two parts; the part's hash
-is a signature. Classes that share one form a group, whose incidence matrix is multiplied with its
+their hash to somewhat more than H + 1 parts, so two linked classes agree in whole in some; the part's hash is a
+signature. Classes that share one form a group, whose incidence matrix is multiplied with its
 transpose, block of columns by block of columns: overlap counts accumulate, and classes all of whose
 pairs fall below the bound from their sizes, even if all columns left agreed, are dropped. A large
 group is cut into blocks, and each pair of blocks is a product of its own. Groups that share classes
 are multiplied as one cluster while that has few blocks. A product gives the edges
 of a spanning forest of its links, never all pairs. Components join those.
 
-A part that is empty in both classes says nothing. With H + 2 parts one such is harmless; a class with
-more also signs H + 4 parts of another dealing, and with over three empty there, one signature for all
-of its size. So no link is lost.
+A part that is empty in both classes says nothing, so there are more parts than H + 1 by what is
+usually empty. A class with more empty ones also signs another dealing to 2 H + 4 parts, and if even
+that leaves too few, one signature for all of its size. So no link is lost.
 
 Signatures are dealt and sorted by Spark; groups are read off the sorted stream, so that one signature
-never has to fit in memory, and one holds at most one row of the H + 2 of each class.
+never has to fit in memory, and one holds at most one row of the over H + 1 of each class.
 
 Defined cases: null, empty and white texts have no shingles, link with nothing and are their own
 component; a text of fewer words than a shingle is one shingle of all its words; a row without doc_id
@@ -101,13 +101,14 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for level, h in levels(len(s), percent):
         if h:  # else only equal sets link
-            sig, empty = _parts(s, h + 2, level * 4)
-            found = [sig]
-            if empty > 1:
-                sig, empty = _parts(np.sort(common.mix(s ^ U(0xABCDEF))), h + 4, level * 4 + 1)
+            found = []
+            for deal, m in enumerate((h + 2 + h * (100 - percent) // 160, 2 * h + 4)):
+                sig, empty = _parts(np.sort(common.mix(s ^ U(0xABCDEF))) if deal else s, m, level * 4 + deal)
                 found.append(sig)
-                if empty > 3:
-                    found.append(common.mix(np.array([level * 4 + 2], U)))
+                if empty < m - h:
+                    break
+            else:
+                found.append(common.mix(np.array([level * 4 + 2], U)))
             out.append(np.concatenate(found) & ~U(63) | U(_starts(percent)[level + 1].bit_length()))
     return np.concatenate(out) if out else np.zeros(0, U)
 
