@@ -39,7 +39,7 @@ from .components import components
 U = np.uint64
 #: Shingle places of a block of a group, and classes of one, at most.
 BLOCK_PLACES, BLOCK_CLASSES = 1 << 20, 1024
-#: Blocks of a cluster that is multiplied as one, at most.
+#: Blocks of a cluster that is multiplied as one in any case.
 CLUSTER_BLOCKS = 4
 COLUMNS = 1024
 
@@ -205,18 +205,18 @@ def groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
 def clusters(found: DataFrame, known: DataFrame) -> DataFrame:
     """Members of what is multiplied: grp, class, block and blocks.
 
-    Groups that share classes form a cluster, whose members' sets are then sent once and not with
-    every group. A cluster of more than CLUSTER_BLOCKS blocks stays in its groups, so its products
-    grow with the groups and not with the square of the cluster.
+    Groups that share classes form a cluster, whose members' sets are then sent once for each of its
+    blocks and not with every group. Where that would be more than a member has groups, the cluster
+    stays in its groups.
     """
     pivot = found.groupBy("grp").agg(F.min("class").alias("b"))
     cluster = components(found.join(pivot, "grp").select(F.col("class").alias("a"), "b").where("a <> b")).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
-    sized = cluster.join(known.groupBy("class").agg(F.max("n_shingles").alias("n")), "class")
-    most = F.greatest(F.lit(2), F.least(F.lit(BLOCK_CLASSES), F.floor(BLOCK_PLACES / F.max("n"))))
-    size = sized.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("blocks"))
+    sized = cluster.join(known.groupBy("class").agg(F.max("n_shingles").alias("n")), "class").join(found.groupBy("class").agg(F.sum("blocks").alias("sent")), "class")
+    size = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_PLACES, F.count(F.lit(1)) / BLOCK_CLASSES)).cast("long").alias("blocks"), F.avg("sent").alias("sent"))
     placed = common.checkpointed(cluster.join(size, "cluster"))
-    whole = placed.where(F.col("blocks") <= CLUSTER_BLOCKS).select(F.col("cluster").alias("grp"), "class", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"), "blocks")
-    return whole.unionByName(found.join(placed.where(F.col("blocks") > CLUSTER_BLOCKS).select("class"), "class", "left_semi").select(*whole.columns))
+    one = F.col("blocks") <= F.greatest(F.lit(float(CLUSTER_BLOCKS)), F.col("sent"))
+    whole = placed.where(one).select(F.col("cluster").alias("grp"), "class", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"), "blocks")
+    return whole.unionByName(found.join(placed.where(~one).select("class"), "class", "left_semi").select(*whole.columns))
 
 
 def link_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -229,19 +229,26 @@ def link_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
         return np.array([0, 0]) if 100 * both >= percent * (n.sum() - both) else label
     names, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(g), n)
-    use = np.bincount(column, minlength=len(names))
-    shared = use[column] > 1  # a column of one class adds to no pair
-    row, column = row[shared], column[shared]
+    while True:  # a column of one class adds to no pair; a class without enough other columns links with none
+        use = np.bincount(column, minlength=len(names))
+        shared = use[column] > 1
+        enough = 100 * np.bincount(row[shared], minlength=g) >= percent * n
+        keep = shared & enough[row]
+        if keep.all():
+            break
+        row, column = row[keep], column[keep]
+    chosen = np.flatnonzero(enough & (np.bincount(row, minlength=g) > 0))
+    if len(chosen) < 2:
+        return label
     order = np.argsort(-use, kind="stable")
     rank = np.empty(len(names), np.int64)
     rank[order] = np.arange(len(names))
     column = rank[column]
     by = np.argsort(column, kind="stable")
     row, column = row[by], column[by]
-    alive = np.arange(g)
-    overlap = np.zeros((g, g), np.float32)
+    alive = chosen
+    overlap = np.zeros((len(alive), len(alive)), np.float32)
     left = np.bincount(row, minlength=g).astype(np.float32)
-    need = percent * (n[:, None] + n[None, :]) / (100 + percent)  # 100 o >= percent (a + b - o)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         a, b = np.searchsorted(column, [at, at + COLUMNS])
         place = np.full(g, -1)
@@ -251,7 +258,7 @@ def link_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
         a_block[r[r >= 0], c[r >= 0]] = 1
         overlap += a_block @ a_block.T
         left -= np.bincount(row[a:b], minlength=g)
-        possible = overlap + np.minimum(left[alive][:, None], left[alive][None, :]) >= need[np.ix_(alive, alive)] - 1e-6
+        possible = overlap + np.minimum(left[alive][:, None], left[alive][None, :]) >= percent * (n[alive][:, None] + n[alive][None, :]) / (100 + percent) - 1e-6  # 100 o >= percent (a + b - o)
         np.fill_diagonal(possible, False)
         keep = possible.any(1)
         if not keep.all():
