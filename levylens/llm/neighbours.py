@@ -186,7 +186,20 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             found.append((int(q_ids[i]), *scan(qs[i], int(q_ids[i]), float(bars[i]), x, turned, rest, turned_by, ids, k)))
         return pa.table([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names)
 
+    def nearest_of_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's k best of the sample, so that none is left with fewer than there are."""
+        ids_s, x_s, _, _ = spread.value
+        for b in batches:
+            q, ids = _matrix(b.column(1)), b.column(0).to_numpy()
+            for i in range(len(q)):
+                other = np.flatnonzero(ids_s != ids[i])
+                rough = x_s[other] @ q[i]
+                some = other[top(rough, ids_s[other], k)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), ids[i])), pa.array(ids_s[some]), pa.array(exact(q[i], x_s[some]))], ["query_id", "vec_id", "score"])
+
     keys = ["list", "block", "part"]
-    near = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    pair = "query_id long, vec_id long, score double"
+    near = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, pair)
+    near = near.unionByName(placed.where(is_query).select("vec_id", "v").mapInArrow(nearest_of_sample, pair)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
