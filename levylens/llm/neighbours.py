@@ -4,8 +4,8 @@ A bounded sample gives the centroids of the lists; every vector goes to the list
 centroid. Vectors are turned by a fixed random rotation and scanned in blocks of columns. After each
 block the rest of the inner product is, for a rotated vector, about normal with a spread of
 |q rest| |x rest| / sqrt(columns left); a candidate is abandoned once even MARGIN spreads would not
-bring it to the query's bar. The bar starts at the k-th best of the sample, a proven lower bound, and
-rises within a list. Survivors are measured on the original vectors in double precision.
+bring it to the query's bar. The bar is the k-th best of the sample, a proven lower bound. Survivors
+are measured on the original vectors in double precision.
 
 Lists over LIST_ROWS vectors are split into blocks, and so are the queries of a list, so no task
 holds an unbounded group. The number of probed lists is the least that finds TARGET of the true
@@ -33,7 +33,10 @@ from . import common
 SAMPLE, JUDGES, TARGET = 16_384, 192, 0.97
 COLUMNS, MARGIN = 16, 4.0
 LIST_ROWS, QUERY_ROWS = 4_096, 1_024
-MOST_LISTS = 4_096
+#: Lists hold FEW_ROWS or so at least, so that a query goes to few of them.
+MOST_LISTS, FEW_ROWS = 4_096, 1_024
+#: Pairs measured at once, and the share of them alive under which pairs are taken singly.
+CELLS, DENSE = 1 << 18, 0.1
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -79,24 +82,41 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", x, q)
 
 
-def scan(q: np.ndarray, q_id: int, bar: float, x: np.ndarray, turned: np.ndarray, rest: np.ndarray, turn: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the candidates of a list block that may be among the query's k best."""
-    t = turn @ q
-    d = len(q)
-    alive = np.flatnonzero(ids != q_id)
-    part = np.zeros(len(alive))
-    slack = 1e-9 * max(1.0, abs(bar)) if np.isfinite(bar) else 0.0
-    for j, at in enumerate(range(0, d, COLUMNS)):
-        to = min(d, at + COLUMNS)
-        part = part + turned[alive, at:to] @ t[at:to]
-        if to < d:
-            spread = np.sqrt((t[to:] ** 2).sum()) * rest[alive, j] / np.sqrt(d - to)
-            keep = part + MARGIN * spread >= bar - slack
-            alive, part = alive[keep], part[keep]
-    keep = alive[part >= bar - slack]
-    score = exact(q, x[keep])
-    best = top(score, ids[keep], k)
-    return ids[keep][best], score[best]
+def scan(qs: np.ndarray, q_ids: np.ndarray, bars: np.ndarray, x: np.ndarray, turned: np.ndarray, rest: np.ndarray, turn: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, candidate ids and scores of a list block's rows that may be among the k best of a query."""
+    d, found = qs.shape[1], []
+    t = qs @ turn.T
+    floor = np.where(np.isfinite(bars), bars - 1e-9 * np.maximum(1.0, np.abs(bars)), -np.inf)
+    step = max(1, CELLS // len(ids))
+    for low in range(0, len(qs), step):
+        own, some = t[low : low + step], slice(low, low + step)
+        alive = q_ids[some, None] != ids[None, :]
+        part, to, share = np.zeros(alive.shape), 0, 1.0
+        # whole blocks of columns while most pairs are alive, then pair by pair
+        while to < d and share > DENSE:
+            at, to = to, min(d, to + COLUMNS)
+            part += own[:, at:to] @ turned[:, at:to].T
+            alive &= part + MARGIN * _spread(own, to)[:, None] * rest[None, :, at // COLUMNS] >= floor[some, None]
+            share = alive.mean()
+        i, j = np.nonzero(alive)
+        p = part[i, j]
+        while to < d and len(i):
+            at, to = to, min(d, to + COLUMNS)
+            p = p + np.einsum("ij,ij->i", own[i, at:to], turned[j, at:to])
+            keep = p + MARGIN * _spread(own, to)[i] * rest[j, at // COLUMNS] >= floor[some][i]
+            i, j, p = i[keep], j[keep], p[keep]
+        score = np.einsum("ij,ij->i", qs[some][i], x[j])
+        by = np.lexsort((ids[j], -score, i))
+        first = np.searchsorted(i, np.arange(len(own)))  # i ascends
+        by = by[np.arange(len(by)) - first[i] < k]
+        found.append((q_ids[some][i[by]], ids[j[by]], score[by]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _spread(own: np.ndarray, to: int) -> np.ndarray:
+    """The standard deviation that a turned query lends to the columns from `to` on, for a candidate of unit length there."""
+    left = own.shape[1] - to
+    return np.sqrt((own[:, to:] ** 2).sum(1) / left) if left else np.zeros(len(own))
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -111,7 +131,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     rows = common.checkpointed(rows.where(F.size("v") == d))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     s_ids, s = np.array([r.vec_id for r in sample]), np.array([r.v for r in sample])
-    c = centroids(s, int(min(MOST_LISTS, max(1, np.sqrt(n)))))
+    c = centroids(s, int(max(1, min(MOST_LISTS, np.sqrt(n), n / FEW_ROWS))))
     lists, turn = len(c), rotation(d)
     spread = spark.sparkContext.broadcast((s_ids, s, c, turn))
 
@@ -128,6 +148,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
 
     placed = common.checkpointed(rows.mapInArrow(assign, "vec_id long, v array<double>, list int"))
     fill = {r.list: -(-r["count"] // LIST_ROWS) for r in placed.groupBy("list").count().collect()}  # at most MOST_LISTS rows
+    filled = np.array([fill.get(at, 0) for at in range(lists)])
 
     # how many lists to probe
     is_query = F.pmod(F.col("vec_id"), F.lit(every)) == 0
@@ -152,19 +173,24 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     probes = int(need[min(len(need) - 1, int(np.ceil(TARGET * len(need))))]) + 1
     probes = min(lists, probes + probes // 8)
 
+    step = int(max(1, min(256, 65_536 * lists // max(1, filled.sum() * probes))))  # queries whose rows go out at once
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block of the lists that a query probes, with its first bar."""
         ids_s, x_s, centre, _ = spread.value
         for b in batches:
             q, ids = _matrix(b.column(1)), b.column(0).to_numpy()
-            for i in range(0, len(q), 256):
-                some = slice(i, i + 256)
+            for i in range(0, len(q), step):
+                some = slice(i, i + step)
                 score = q[some] @ x_s.T
                 score[ids[some][:, None] == ids_s[None, :]] = -np.inf
                 bars = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(score), -np.inf)
                 probed = order(q[some], centre)[:, :probes]
-                rows_out = [(int(ids[i + a]), b.column(1)[i + a].as_py(), float(bars[a]), int(x), blk, int(ids[i + a]) // every % spread_q) for a in range(len(probed)) for x in probed[a] for blk in range(fill.get(int(x), 0))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(col)) if rows_out else pa.array([]) for col in zip(*rows_out, strict=True)], ["query_id", "q", "bar", "list", "block", "part"]) if rows_out else pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.int64(), pa.int64())], ["query_id", "q", "bar", "list", "block", "part"])
+                row = np.repeat(np.arange(len(probed)), filled[probed].sum(1))
+                listed = np.repeat(probed.ravel(), filled[probed].ravel())
+                before = np.repeat(np.cumsum(filled[probed].ravel()) - filled[probed].ravel(), filled[probed].ravel())
+                own = ids[some][row]
+                yield pa.RecordBatch.from_arrays([pa.array(own), b.column(1).take(pa.array(i + row)), pa.array(bars[row]), pa.array(listed), pa.array(np.arange(len(row)) - before), pa.array(own // every % spread_q)], ["query_id", "q", "bar", "list", "block", "part"])
 
     #: Queries of one list are dealt to parts of about QUERY_ROWS.
     spread_q = max(1, -(-(n // every) * probes // (lists * QUERY_ROWS)))
@@ -180,11 +206,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         ids, x = left["vec_id"].to_numpy(), _matrix(left["v"].combine_chunks())
         turned = x @ turned_by.T
         rest = np.stack([np.sqrt((turned[:, min(d, at + COLUMNS) :] ** 2).sum(1)) for at in range(0, d, COLUMNS)], axis=1)
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
         q_ids, bars, qs = right["query_id"].to_numpy(), right["bar"].to_numpy(), _matrix(right["q"].combine_chunks())
-        for i in range(len(q_ids)):
-            found.append((int(q_ids[i]), *scan(qs[i], int(q_ids[i]), float(bars[i]), x, turned, rest, turned_by, ids, k)))
-        return pa.table([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names)
+        return pa.table([pa.array(c) for c in scan(qs, q_ids, bars, x, turned, rest, turned_by, ids, k)], names)
 
     def nearest_of_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query's k best of the sample, so that none is left with fewer than there are."""
@@ -192,9 +215,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         for b in batches:
             q, ids = _matrix(b.column(1)), b.column(0).to_numpy()
             for i in range(len(q)):
-                other = np.flatnonzero(ids_s != ids[i])
-                rough = x_s[other] @ q[i]
-                some = other[top(rough, ids_s[other], k)]
+                if i % 256 == 0:
+                    rough = q[i : i + 256] @ x_s.T
+                some = top(rough[i % 256], ids_s, k + 1)  # the query itself may be one
+                some = some[ids_s[some] != ids[i]][:k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), ids[i])), pa.array(ids_s[some]), pa.array(exact(q[i], x_s[some]))], ["query_id", "vec_id", "score"])
 
     keys = ["list", "block", "part"]

@@ -19,6 +19,8 @@ def brute(ids, x, k, every):
 def test_recall(spark, monkeypatch, hot):
     monkeypatch.setattr(neighbours, "LIST_ROWS", 100)
     monkeypatch.setattr(neighbours, "SAMPLE", 500)
+    monkeypatch.setattr(neighbours, "FEW_ROWS", 40)
+    monkeypatch.setattr(neighbours, "CELLS", 5_000)
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1200, 24)).astype(np.float32).astype(float)
     if hot:
