@@ -12,7 +12,8 @@ of a spanning forest of its links, never all pairs. Components join those.
 
 A part that is empty in both classes says nothing, so there are more parts than H + 1 by what is
 usually empty. A class with more empty ones also signs another dealing to 2 H + 4 parts, and if even
-that leaves too few, one signature for all of its size. So no link is lost.
+that leaves too few, one signature for all of its size. So no link is lost. By the same bound a class
+that links shares many signatures with others: one with fewer is dropped before any set is sent.
 
 Signatures are dealt and sorted by Spark; groups are read off the sorted stream, so that one signature
 never has to fit in memory, and one holds at most one row of the over H + 1 of each class.
@@ -96,13 +97,36 @@ def _parts(s: np.ndarray, m: int, tag: int) -> tuple[np.ndarray, int]:
     return sig[full], int(m - full.sum())
 
 
+def dealings(h: int, percent: int) -> tuple[int, int]:
+    """The parts of the first dealing and of the second."""
+    return h + 2 + h * (100 - percent) // 160, 2 * h + 4
+
+
+def least_shared(s: np.ndarray, percent: int) -> int:
+    """How many signatures a set that links has in common with others at least.
+
+    Of a set of n, a partner differs in at most D shingles, and in as many parts of the first dealing;
+    the others agree, and all but the empty ones are signed. Sets with too many empty parts give 1.
+    """
+    n, out = len(s), []
+    for k, (level, h) in enumerate(levels(n, percent)):
+        if h:
+            m = dealings(h, percent)[0]
+            other = n * 100 // percent if k == 0 else _starts(percent)[level + 1] - 1  # a partner's most shingles
+            d = min(h, (n + other) * (100 - percent) // (100 + percent))
+            edge = np.concatenate([[0], np.searchsorted(s, np.arange(1, m, dtype=U) * U((1 << 64) // m)), [n]])
+            empty = int((edge[1:] == edge[:-1]).sum())
+            out.append(max(1, m - d - empty) if empty < m - h else 1)
+    return min(out, default=1)
+
+
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """Their last six bits tell the size, for the blocks."""
     out = []
     for level, h in levels(len(s), percent):
         if h:  # else only equal sets link
             found = []
-            for deal, m in enumerate((h + 2 + h * (100 - percent) // 160, 2 * h + 4)):
+            for deal, m in enumerate(dealings(h, percent)):
                 sig, empty = _parts(np.sort(common.mix(s ^ U(0xABCDEF))) if deal else s, m, level * 4 + deal)
                 found.append(sig)
                 if empty < m - h:
@@ -113,19 +137,19 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def profiles(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and class of every document."""
+def profiles(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, class and least shared signatures of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
             sets = shingle_sets(block, words)
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([least_shared(s, percent) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class", "need"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, class long, need long")
 
 
-def groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Classes that share a signature: grp, class, and block and blocks of the group. Equal groups come once."""
+def groups(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+    """Classes that share signatures enough to link: grp, class, and block and blocks of the group. Equal groups come once."""
     parts = common.shuffle_partitions(rows.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +220,11 @@ def groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
         yield from release()
 
     signed = rows.mapInArrow(sign, "sig long, class long").repartition(parts, "sig").sortWithinPartitions("sig", "class")
-    found = signed.mapInArrow(gather, "grp long, class long, block long, blocks long").drop("blocks").dropDuplicates(["grp", "block", "class"])
+    found = signed.mapInArrow(gather, "grp long, class long, block long, blocks long").groupBy("grp", "block", "class").agg(F.count(F.lit(1)).alias("shared"))
     found = common.checkpointed(found)
+    need = known.groupBy("class").agg(F.max("need").alias("need"))
+    enough = found.groupBy("class").agg(F.sum("shared").alias("shared")).join(need, "class").where("shared >= need").select("class")
+    found = common.checkpointed(found.drop("shared").join(enough, "class"))
     large = found.where("block > 0").groupBy("grp").agg((F.max("block") + 1).alias("blocks"))
     return found.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
 
@@ -317,9 +344,9 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; sets link when 100 * intersection >= percent * union."""
     common.bind(docs.sparkSession)
     rows = common.texts_of(docs)
-    known = common.checkpointed(profiles(rows, words))
-    found = groups(rows, words, percent)
-    wanted = found.select("class").distinct().join(known.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
+    known = common.checkpointed(profiles(rows, words, percent))
+    members = common.checkpointed(clusters(groups(rows, known, words, percent), known))
+    wanted = members.select("class").distinct().join(known.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,7 +358,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     # an id with several rows may have several classes: they are told apart by their hash
     texts = common.packed(rows).join(wanted.hint("shuffle_hash"), "doc_id").select("class", "text")
     sets = texts.mapInArrow(incidence, "class long, set binary").where(F.length("set") > 0)
-    edges = common.checkpointed(link_edges(clusters(found, known).join(sets, "class"), percent))
+    edges = common.checkpointed(link_edges(members.join(sets, "class"), percent))
     labels = components(edges)
     named = known.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     full = named.where("n_shingles > 0")
