@@ -360,13 +360,13 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     sets = texts.mapInArrow(incidence, "class long, set binary").where(F.length("set") > 0)
     edges = common.checkpointed(link_edges(members.join(sets, "class"), percent))
     labels = components(edges)
-    named = known.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    full = named.where("n_shingles > 0")
-    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return (
-        full.join(least, "label").select("doc_id", "n_shingles", "component_id")
-        .union(known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    )
+    first = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
+    linked = common.checkpointed(labels.withColumnRenamed("node", "class").join(first, "class"))
+    least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = common.checkpointed(common.lookup(linked, least, "label").select("class", "component_id"))
+    alone = first.join(named, "class", "left_anti").select("class", F.col("first").alias("component_id"))
+    full = common.lookup(known.where("n_shingles > 0"), named.unionByName(alone), "class")
+    return full.select("doc_id", "n_shingles", "component_id").union(known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
