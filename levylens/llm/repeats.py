@@ -45,6 +45,8 @@ PLACE_BITS = 24
 CHUNK, INDEX_BYTES = 1 << 19, 1 << 20
 #: Distinct contexts of an anchor in one index at most, unless their keys are whole windows.
 HOT = 4_096
+#: Tasks to which the rows of a frequent anchor are dealt.
+SALTS = 256
 
 
 # ---------------------------------------------------------------- anchors
@@ -304,11 +306,20 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return common.packed(rows.select("row", "text")).join(by_row.hint("shuffle_hash"), "row").select("text", "listed").mapInArrow(run, "key long, mark boolean, row long, loc long, bytes binary")
 
 
+def _again(found: DataFrame, twice: DataFrame) -> DataFrame:
+    """The rows of found whose key is in twice, and open. A key with over a thousandth of them is dealt by row to SALTS tasks."""
+    share = (twice.agg(F.sum("n")).first()[0] or 0) // common.HOT_KEYS
+    frequent = twice.where(F.col("n") > share).select("key", F.lit(True).alias("frequent"))  # under HOT_KEYS rows
+    dealt = found.join(F.broadcast(frequent), "key", "left").withColumn("salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("row", "loc"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    places = F.when(F.col("n") > share, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(twice.select("key", "open", F.explode(places).alias("salt")), ["key", "salt"]).select("key", "context", "row", "loc", "open")
+
+
 def removed_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """row, first and end of stretches whose bytes all go; they may overlap. rows has row, text and doc_id."""
     found = anchor_rows(rows.select("row", "text"))
-    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("open")).where("n > 1").select("key", "open")
-    again = common.checkpointed(found.join(twice, "key"))
+    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("open")).where("n > 1")
+    again = common.checkpointed(_again(found, common.checkpointed(twice)))
     kinds = again.where("open").groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "loc")).alias("one"))
     kinds = common.checkpointed(kinds)
     whole = again.where("NOT open").select("row", "loc").unionByName(again.where("open").join(kinds.where("n > 1").select("key", "context"), ["key", "context"]).select("row", "loc"))
