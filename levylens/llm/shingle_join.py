@@ -226,7 +226,7 @@ def groups(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataF
     enough = found.groupBy("class").agg(F.sum("shared").alias("shared")).join(need, "class").where("shared >= need").select("class")
     found = common.checkpointed(found.drop("shared").join(enough, "class"))
     large = found.where("block > 0").groupBy("grp").agg((F.max("block") + 1).alias("blocks"))
-    return found.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return common.checkpointed(common.lookup(found, large, "grp").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
 
 
 def clusters(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -237,10 +237,10 @@ def clusters(found: DataFrame, known: DataFrame) -> DataFrame:
     stays in its groups.
     """
     pivot = found.groupBy("grp").agg(F.min("class").alias("b"))
-    cluster = components(found.join(pivot, "grp").select(F.col("class").alias("a"), "b").where("a <> b")).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
+    cluster = components(common.lookup(found, pivot, "grp").select(F.col("class").alias("a"), "b").where("a <> b")).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
     sized = cluster.join(known.groupBy("class").agg(F.max("n_shingles").alias("n")), "class").join(found.groupBy("class").agg(F.sum("blocks").alias("sent")), "class")
     size = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_PLACES, F.count(F.lit(1)) / BLOCK_CLASSES)).cast("long").alias("blocks"), F.avg("sent").alias("sent"))
-    placed = common.checkpointed(cluster.join(size, "cluster"))
+    placed = common.checkpointed(common.lookup(cluster, size, "cluster"))
     one = F.col("blocks") <= F.greatest(F.lit(float(CLUSTER_BLOCKS)), F.col("sent"))
     whole = placed.where(one).select(F.col("cluster").alias("grp"), "class", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"), "blocks")
     return whole.unionByName(found.join(placed.where(~one).select("class"), "class", "left_semi").select(*whole.columns))
