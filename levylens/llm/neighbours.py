@@ -2,10 +2,10 @@
 
 A bounded sample gives the centroids of the lists; every vector goes to the list of its nearest
 centroid. Vectors are turned by a fixed random rotation and scanned in blocks of columns. After each
-block the rest of the inner product is, for a rotated vector, about normal with a spread of
-|q rest| |x rest| / sqrt(columns left); a candidate is abandoned once even MARGIN spreads would not
-bring it to the query's bar. The bar is the k-th best of the sample, a proven lower bound. Survivors
-are measured on the original vectors in double precision.
+block the rest of the inner product is at most |q rest| |x rest| (Cauchy-Schwarz); a candidate is
+abandoned once that would not bring it to the query's bar, so no true neighbour is abandoned. The
+bar is the k-th best of the sample, a proven lower bound. Survivors are measured on the original
+vectors in double precision.
 
 Lists over LIST_ROWS vectors are split into blocks, and so are the queries of a list, so no task
 holds an unbounded group. The number of probed lists is the least that finds TARGET of the true
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from . import common
 
 SAMPLE, JUDGES, TARGET = 16_384, 192, 0.97
-COLUMNS, MARGIN = 16, 4.0
+COLUMNS = 16
 LIST_ROWS, QUERY_ROWS = 4_096, 1_024
 #: Lists hold FEW_ROWS or so at least, so that a query goes to few of them.
 MOST_LISTS, FEW_ROWS = 4_096, 1_024
@@ -86,7 +86,8 @@ def scan(qs: np.ndarray, q_ids: np.ndarray, bars: np.ndarray, x: np.ndarray, tur
     """Query ids, candidate ids and scores of a list block's rows that may be among the k best of a query."""
     d, found = qs.shape[1], []
     t = qs @ turn.T
-    floor = np.where(np.isfinite(bars), bars - 1e-9 * np.maximum(1.0, np.abs(bars)), -np.inf)
+    slack = 1e-9 * (np.maximum(1.0, np.abs(bars)) + np.sqrt((qs**2).sum(1)) * np.sqrt((x**2).sum(1).max()))  # for rounding
+    floor = np.where(np.isfinite(bars), bars - slack, -np.inf)
     step = max(1, CELLS // len(ids))
     for low in range(0, len(qs), step):
         own, some = t[low : low + step], slice(low, low + step)
@@ -96,14 +97,14 @@ def scan(qs: np.ndarray, q_ids: np.ndarray, bars: np.ndarray, x: np.ndarray, tur
         while to < d and share > DENSE:
             at, to = to, min(d, to + COLUMNS)
             part += own[:, at:to] @ turned[:, at:to].T
-            alive &= part + MARGIN * _spread(own, to)[:, None] * rest[None, :, at // COLUMNS] >= floor[some, None]
+            alive &= part + _rest(own, to)[:, None] * rest[None, :, at // COLUMNS] >= floor[some, None]
             share = alive.mean()
         i, j = np.nonzero(alive)
         p = part[i, j]
         while to < d and len(i):
             at, to = to, min(d, to + COLUMNS)
             p = p + np.einsum("ij,ij->i", own[i, at:to], turned[j, at:to])
-            keep = p + MARGIN * _spread(own, to)[i] * rest[j, at // COLUMNS] >= floor[some][i]
+            keep = p + _rest(own, to)[i] * rest[j, at // COLUMNS] >= floor[some][i]
             i, j, p = i[keep], j[keep], p[keep]
         score = np.einsum("ij,ij->i", qs[some][i], x[j])
         by = np.lexsort((ids[j], -score, i))
@@ -113,10 +114,9 @@ def scan(qs: np.ndarray, q_ids: np.ndarray, bars: np.ndarray, x: np.ndarray, tur
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _spread(own: np.ndarray, to: int) -> np.ndarray:
-    """The standard deviation that a turned query lends to the columns from `to` on, for a candidate of unit length there."""
-    left = own.shape[1] - to
-    return np.sqrt((own[:, to:] ** 2).sum(1) / left) if left else np.zeros(len(own))
+def _rest(own: np.ndarray, to: int) -> np.ndarray:
+    """The lengths of turned vectors in the columns from `to` on."""
+    return np.sqrt((own[:, to:] ** 2).sum(1))
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -205,7 +205,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         turned_by = spread.value[3]
         ids, x = left["vec_id"].to_numpy(), _matrix(left["v"].combine_chunks())
         turned = x @ turned_by.T
-        rest = np.stack([np.sqrt((turned[:, min(d, at + COLUMNS) :] ** 2).sum(1)) for at in range(0, d, COLUMNS)], axis=1)
+        rest = np.stack([_rest(turned, at + COLUMNS) for at in range(0, d, COLUMNS)], axis=1)
         q_ids, bars, qs = right["query_id"].to_numpy(), right["bar"].to_numpy(), _matrix(right["q"].combine_chunks())
         return pa.table([pa.array(c) for c in scan(qs, q_ids, bars, x, turned, rest, turned_by, ids, k)], names)
 

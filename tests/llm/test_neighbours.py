@@ -44,6 +44,42 @@ def test_recall(spark, monkeypatch, hot):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def clustered(n, d=64, size=100, cosine=0.9, seed=3):
+    """Unit vectors in clusters, members of one at about this cosine, with a few rows copied."""
+    rng = np.random.default_rng(seed)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    centre = unit(rng.standard_normal((n // size, d)))[rng.integers(0, n // size, n)]
+    x = unit(np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * unit(rng.standard_normal((n, d))))
+    x[1 : n // 10 : 20] = x[0 : n // 10 : 20]
+    return x.astype(np.float32).astype(float)
+
+
+def test_near_pairs_are_not_abandoned(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 1200)
+    monkeypatch.setattr(neighbours, "FEW_ROWS", 300)
+    x = clustered(4000)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    want = brute(np.arange(4000), x, 20, 20)
+    found = {(r.query_id, r.vec_id) for r in got}
+    true = {(q, v) for q, near in want.items() for v, _ in near}
+    assert len(found & true) >= 0.95 * len(true)
+    copies = {(q, q + 1) for q in range(0, 400, 20)}
+    assert copies <= true and len(copies & found) >= 0.95 * len(copies)
+
+
+def test_scan_keeps_all_that_reach_the_bar():
+    x = clustered(3000)
+    ids, turn = np.arange(3000), neighbours.rotation(64)
+    turned = x @ turn.T
+    rest = np.stack([np.sqrt((turned[:, at + neighbours.COLUMNS :] ** 2).sum(1)) for at in range(0, 64, neighbours.COLUMNS)], axis=1)
+    want = brute(ids, x, 20, 20)
+    q = np.array(sorted(want))
+    bars = np.array([want[i][-1][1] for i in q.tolist()])
+    a, b, _ = neighbours.scan(x[q], q, bars, x, turned, rest, turn, ids, 20)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) >= {(i, v) for i, near in want.items() for v, _ in near}
+
+
 def test_few_and_empty(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0]), (4, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
