@@ -68,6 +68,22 @@ def test_near_pairs_are_not_abandoned(spark, monkeypatch):
     assert copies <= true and len(copies & found) >= 0.95 * len(copies)
 
 
+def test_a_scan_that_loses_neighbours_is_seen(spark, monkeypatch):
+    whole = neighbours.scan
+
+    def lossy(*given):
+        q, v, score = whole(*given)
+        keep = v % 2 == 0
+        return q[keep], v[keep], score[keep]
+
+    monkeypatch.setattr(neighbours, "SAMPLE", 300)
+    monkeypatch.setattr(neighbours, "FEW_ROWS", 200)
+    monkeypatch.setattr(neighbours, "scan", lossy)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(1000))]
+    with pytest.warns(UserWarning, match="recall of 0[.][45]"):
+        neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).count()
+
+
 def test_scan_keeps_all_that_reach_the_bar():
     x = clustered(3000)
     ids, turn = np.arange(3000), neighbours.rotation(64)
