@@ -4,8 +4,10 @@ Words are runs of letters, digits and bytes of other scripts; A-Z count as a-z.
 words and ignores some places, so an altered word spoils only the masks that read it. The items' seed
 hashes form a sorted table behind a bit filter. At each hit the whole item is laid along the document
 on that diagonal, and the longest stretch is measured in which every window of WINDOW words (all of a
-shorter item) agrees in at least SHARE of its places. Items shorter than SPAN but of at least LEAST
-words are found by one hash of all their words.
+shorter item) agrees in at least SHARE of its places. Items shorter than WINDOW are also looked up by
+SHORT_MASKS, so that no placement of two altered words, the most that SHARE allows them, spoils every
+mask. Items shorter than SPAN but of at least LEAST words are found unaltered only, by one hash of all
+their words.
 
 Items go out in blocks of at most BLOCK_TOKENS words, whose seed tables have a proven size; larger
 benchmarks take several passes over the documents. No documents are exchanged.
@@ -30,6 +32,8 @@ from . import common
 
 #: Fixed masks over words; 1 is read.
 MASKS = ("1110010011", "1101001101", "1011100101", "1100111001")
+#: With MASKS, one of them ignores any two of ten places.
+SHORT_MASKS = ("0111101010", "0011011110", "0101110110", "0110111100", "1000111011", "1100101101")
 SPAN, LEAST, WINDOW, SHARE = 10, 5, 13, 0.8
 BLOCK_TOKENS = 1_000_000
 BITS = 22
@@ -59,7 +63,7 @@ class Table:
         self.words = [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
         masks: dict[str, list[int]] = {}
         for i, h in enumerate(self.words):
-            for mask in MASKS if len(h) >= SPAN else ["1" * len(h)] if len(h) >= LEAST else []:
+            for mask in MASKS if len(h) >= WINDOW else MASKS + SHORT_MASKS if len(h) >= SPAN else ["1" * len(h)] if len(h) >= LEAST else []:
                 masks.setdefault(mask, []).append(i)
         for mask, items in masks.items():
             hashes = [seeds(self.words[i], mask) for i in items]

@@ -1,8 +1,12 @@
 """Operator 6 against brute force over all diagonals."""
 
+import itertools
 import random
 import re
 
+import pytest
+
+from levylens.llm import common
 from levylens.llm import decontamination as dc
 
 
@@ -50,6 +54,17 @@ def test_matches_brute_force(spark):
     assert seen > 30 and missed <= 0.02 * seen  # a window with several altered words can miss every mask
 
 
+@pytest.mark.parametrize("n", [10, 11, 12, 13])
+def test_no_placement_of_two_altered_words_hides_a_short_item(n):
+    item = [f"w{i}" for i in range(n)]
+    table = dc.Table([7], [" ".join(item)])
+    for altered in itertools.chain([()], itertools.combinations(range(n), 1), itertools.combinations(range(n), 2)):
+        said = " ".join(f"x{i}" if i in altered else w for i, w in enumerate(item))
+        assert dc.find(common.one_block(f"before it {said} and after"), table) == [{7: (2, n)}], altered
+    three = " ".join("x" if i in (1, 5, 8) else w for i, w in enumerate(item))
+    assert dc.find(common.one_block(three), table) == [{}]
+
+
 def test_several_blocks_give_the_same(spark, monkeypatch):
     docs, items = case()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
