@@ -353,9 +353,10 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
             texts = [common.unpack(t) for t in batch.column(1)]
             if texts:
                 sets = [s for t in texts for s in shingle_sets(common.one_block(t), words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
+                # an id with several rows may have several classes: a class keeps the sets that it is the hash of
+                own = [(c, s.tobytes()) for c, s in zip(batch.column(0).to_pylist(), sets, strict=True) if class_key(s) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["class", "set"])
 
-    # an id with several rows may have several classes: they are told apart by their hash
     texts = common.packed(rows).join(wanted.hint("shuffle_hash"), "doc_id").select("class", "text")
     sets = texts.mapInArrow(incidence, "class long, set binary").where(F.length("set") > 0)
     edges = common.checkpointed(link_edges(members.join(sets, "class"), percent))

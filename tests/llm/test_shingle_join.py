@@ -91,6 +91,19 @@ def test_signatures_lose_no_link():
                 assert np.intersect1d(sj.signatures(np.sort(x), percent), sj.signatures(np.sort(y), percent)).size, (n, percent)
 
 
+def test_a_repeated_id_with_two_texts_joins_no_components(spark):
+    a = [f"a{i}" for i in range(200)]
+    rows = []
+    for k in range(8):  # texts just too far apart to link, which share a group
+        one = [f"{w}x{k}" for w in a]
+        two = one + [f"b{i}x{k}" for i in range(23 + k % 2)]
+        d = 10 * k
+        rows += [(d + 5, one), (d + 5, two), (d + 2, one[1:]), (d + 3, two + ["end"])]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+    seen = {(r.doc_id, r.component_id) for r in sj.join(docs).collect()}
+    assert seen == {(10 * k + d, 10 * k + c) for k in range(8) for d, c in ((2, 2), (3, 3), (5, 2), (5, 3))}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert sj.join(df.where("doc_id > 1")).count() == 0
