@@ -67,21 +67,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Keys that lookup() may broadcast, at most.
-HOT_KEYS = 1000
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """A left join of rows, which are kept, with a table of at most one row for each key.
-
-    Keys with over a thousandth of the rows, of which there are under HOT_KEYS, find theirs in a
-    broadcast, so no task gets all rows of a frequent key. The others are exchanged by the key.
-    """
-    share = rows.count() // HOT_KEYS
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows_")).where(F.col("rows_") > share).select(key)
-    found = checkpointed(hot.join(table, key, "left"))
-    other = rows.join(F.broadcast(found.select(key)), key, "left_anti").join(table, key, "left")
-    return rows.join(F.broadcast(found), key).unionByName(other)
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n names that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [f"own{k}_" for k in range(len(taken) + n) if f"own{k}_" not in taken][:n]
 
 
 # ---------------------------------------------------------------- Arrow text

@@ -41,6 +41,8 @@ U = np.uint64
 WINDOW, GRAM = 200, 48
 GRAMS = WINDOW - GRAM + 1
 PLACE_BITS = 24
+#: Keys that are broadcast as frequent, at most.
+HOT_KEYS = 1000
 #: Window starts handled at once, and bytes of contexts in one index, about.
 CHUNK, INDEX_BYTES = 1 << 19, 1 << 20
 #: Distinct contexts of an anchor in one index at most, unless their keys are whole windows.
@@ -308,7 +310,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _again(found: DataFrame, twice: DataFrame) -> DataFrame:
     """The rows of found whose key is in twice, and open. A key with over a thousandth of them is dealt by row to SALTS tasks."""
-    share = (twice.agg(F.sum("n")).first()[0] or 0) // common.HOT_KEYS
+    share = (twice.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
     frequent = twice.where(F.col("n") > share).select("key", F.lit(True).alias("frequent"))  # under HOT_KEYS rows
     dealt = found.join(F.broadcast(frequent), "key", "left").withColumn("salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("row", "loc"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
     places = F.when(F.col("n") > share, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
@@ -375,7 +377,8 @@ def cut(docs: DataFrame, hot: int = HOT) -> DataFrame:
     common.bind(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
-    rows = docs.withColumn("row_", F.xxhash64("doc_id", "text"))
+    row, first, end = common.free_names(docs, 3)
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +387,7 @@ def cut(docs: DataFrame, hot: int = HOT) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    spans = removed_spans(rows.where("text IS NOT NULL").select(F.col("row_").alias("row"), "text"), hot).groupBy(F.col("row").alias("row_")).agg(F.collect_list("first").alias("first_"), F.collect_list("end").alias("end_"))
-    joined = common.packed(rows).join(spans.hint("shuffle_hash"), "row_", "left").select(*names, "first_", "end_")
+    spans = removed_spans(rows.where("text IS NOT NULL").select(F.col(row).alias("row"), "text"), hot).groupBy(F.col("row").alias(row)).agg(F.collect_list("first").alias(first), F.collect_list("end").alias(end))
+    joined = common.packed(rows).join(spans.hint("shuffle_hash"), row, "left").select(*names, first, end)
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

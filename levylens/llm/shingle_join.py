@@ -6,9 +6,11 @@ their hash to somewhat more than H + 1 parts, so two linked classes agree in who
 signature. Classes that share one form a group, whose incidence matrix is multiplied with its
 transpose, block of columns by block of columns: overlap counts accumulate, and classes all of whose
 pairs fall below the bound from their sizes, even if all columns left agreed, are dropped. A large
-group is cut into blocks, and each pair of blocks is a product of its own. Groups that share classes
-are multiplied as one cluster while that has few blocks. A product gives the edges
-of a spanning forest of its links, never all pairs. Components join those.
+group is cut into blocks: first each block is multiplied by itself and by the next, then the classes
+that are still apart from the group's largest component by every block. So copies of one text cost in
+proportion to their number, and no link is left out. Groups that share classes are multiplied as one
+cluster while that has few blocks. A product gives the edges of a spanning forest of its links, never
+all pairs. Components join those.
 
 A part that is empty in both classes says nothing, so there are more parts than H + 1 by what is
 usually empty. A class with more empty ones also signs another dealing to 2 H + 4 parts, and if even
@@ -32,17 +34,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .components import components
 
 U = np.uint64
 #: Shingle places of a block of a group, and classes of one, at most.
-BLOCK_PLACES, BLOCK_CLASSES = 1 << 20, 1024
+BLOCK_PLACES, BLOCK_CLASSES = 1 << 19, 512
 #: Blocks of a cluster that is multiplied as one in any case.
 CLUSTER_BLOCKS = 4
 COLUMNS = 1024
+#: Rows of a product that are compared at once.
+ROWS = 128
 
 
 @lru_cache
@@ -138,18 +141,22 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def profiles(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, class and least shared signatures of every document."""
+    """doc_id, mark, n_shingles, class and least shared signatures of every document; rows has doc_id, text and mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches):
-            sets = shingle_sets(block, words)
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([least_shared(s, percent) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class", "need"])
+        for batch in batches:
+            at = 0
+            for block in common.blocks(iter([batch])):
+                sets = shingle_sets(block, words)
+                marks = batch.column(2).slice(at, len(sets))
+                at += len(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(block.ids), marks, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([least_shared(s, percent) for s in sets], pa.int64())], ["doc_id", "mark", "n_shingles", "class", "need"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class long, need long")
+    return rows.mapInArrow(run, "doc_id long, mark long, n_shingles long, class long, need long")
 
 
-def groups(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    """Classes that share signatures enough to link: grp, class, and block and blocks of the group. Equal groups come once."""
+def groups(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Classes that share signatures enough to link: grp, class, pivot (a class of the group), and block and blocks of the group. Equal groups come once."""
     parts = common.shuffle_partitions(rows.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,29 +175,29 @@ def groups(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataF
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Reads (sig, class) in order; a group is held up to one block."""
 
-        def batch(grp, block, blocks, cls):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (grp, cls, block, blocks)], ["grp", "class", "block", "blocks"])
-
-        sig, held, done, most = None, [], 0, 0
+        sig, held, done, most, pivot = None, [], 0, 0, 0
 
         def flush(last: bool):
             """The held classes as a block of their own; a whole small group is named by its members."""
-            nonlocal held, done
+            nonlocal held, done, pivot
             cls = np.array(held, np.int64)
             whole = last and not done
-            if len(cls) > 1 or done:
+            if len(cls) and not done:
+                pivot = held[0]
+            if len(cls) > 1 or len(cls) and done:
                 name = class_key(cls.view(U), 7) if whole else sig
-                yield name, done, cls
+                yield name, done, pivot, cls
             held, done = [], done + 1
 
-        ready: list[tuple[int, int, np.ndarray]] = []
+        ready: list[tuple[int, int, int, np.ndarray]] = []
         waiting = 0
 
         def release():
             nonlocal ready, waiting
             if ready:
-                n = [len(c) for _, _, c in ready]
-                yield batch(np.repeat([a for a, _, _ in ready], n), np.repeat([b for _, b, _ in ready], n), np.zeros(sum(n), np.int64), np.concatenate([c for _, _, c in ready]))
+                n = [len(x[3]) for x in ready]
+                names, places, pivots = (np.repeat([x[k] for x in ready], n) for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (names, np.concatenate([x[3] for x in ready]), pivots, places)], ["grp", "class", "pivot", "block"])
             ready, waiting = [], 0
 
         for b in batches:
@@ -212,7 +219,7 @@ def groups(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataF
                         held.append(x)
                         if len(held) == most:
                             ready += flush(False)
-            waiting = sum(len(x) for _, _, x in ready)
+            waiting = sum(len(x[3]) for x in ready)
             if waiting > 50_000:
                 yield from release()
         if sig is not None:
@@ -220,27 +227,26 @@ def groups(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataF
         yield from release()
 
     signed = rows.mapInArrow(sign, "sig long, class long").repartition(parts, "sig").sortWithinPartitions("sig", "class")
-    found = signed.mapInArrow(gather, "grp long, class long, block long, blocks long").groupBy("grp", "block", "class").agg(F.count(F.lit(1)).alias("shared"))
+    found = signed.mapInArrow(gather, "grp long, class long, pivot long, block long").groupBy("grp", "block", "class").agg(F.count(F.lit(1)).alias("shared"), F.min("pivot").alias("pivot"))
     found = common.checkpointed(found)
-    need = known.groupBy("class").agg(F.max("need").alias("need"))
-    enough = found.groupBy("class").agg(F.sum("shared").alias("shared")).join(need, "class").where("shared >= need").select("class")
+    enough = found.groupBy("class").agg(F.sum("shared").alias("shared")).join(classes, "class").where("shared >= need").select("class")
     found = common.checkpointed(found.drop("shared").join(enough, "class"))
     large = found.where("block > 0").groupBy("grp").agg((F.max("block") + 1).alias("blocks"))
     return found.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
 
 
-def clusters(found: DataFrame, known: DataFrame) -> DataFrame:
+def clusters(found: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of what is multiplied: grp, class, block and blocks.
 
     Groups that share classes form a cluster, whose members' sets are then sent once for each of its
     blocks and not with every group. Where that would be more than a member has groups, the cluster
     stays in its groups.
     """
-    pivot = found.groupBy("grp").agg(F.min("class").alias("b"))
-    cluster = components(found.join(pivot, "grp").select(F.col("class").alias("a"), "b").where("a <> b")).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
-    sized = cluster.join(known.groupBy("class").agg(F.max("n_shingles").alias("n")), "class").join(found.groupBy("class").agg(F.sum("blocks").alias("sent")), "class")
-    size = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_PLACES, F.count(F.lit(1)) / BLOCK_CLASSES)).cast("long").alias("blocks"), F.avg("sent").alias("sent"))
-    placed = common.checkpointed(cluster.join(size, "cluster"))
+    labels = components(found.select(F.col("pivot").alias("a"), F.col("class").alias("b")))
+    own = found.groupBy("class").agg(F.sum("blocks").alias("sent")).join(classes.select("class", "n"), "class")
+    placed = own.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "sent", "n", F.coalesce("label", "class").alias("cluster"))
+    size = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_PLACES, F.count(F.lit(1)) / BLOCK_CLASSES)).cast("long").alias("blocks"), F.avg("sent").alias("sent"), F.count(F.lit(1)).alias("members"))
+    placed = common.checkpointed(placed.drop("sent").join(size.where("members > 1"), "cluster"))
     one = F.col("blocks") <= F.greatest(F.lit(float(CLUSTER_BLOCKS)), F.col("sent"))
     whole = placed.where(one).select(F.col("cluster").alias("grp"), "class", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"), "blocks")
     return whole.unionByName(found.join(placed.where(~one).select("class"), "class", "left_semi").select(*whole.columns))
@@ -285,50 +291,58 @@ def link_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
         a_block[r[r >= 0], c[r >= 0]] = 1
         overlap += a_block @ a_block.T
         left -= np.bincount(row[a:b], minlength=g)
-        possible = overlap + np.minimum(left[alive][:, None], left[alive][None, :]) >= percent * (n[alive][:, None] + n[alive][None, :]) / (100 + percent) - 1e-6  # 100 o >= percent (a + b - o)
-        np.fill_diagonal(possible, False)
-        keep = possible.any(1)
+        size, rest = n[alive] * percent / (100 + percent), left[alive]  # 100 o >= percent (a + b - o)
+        keep = np.zeros(len(alive), bool)
+        for k in range(0, len(alive), ROWS):
+            possible = overlap[k : k + ROWS] + np.minimum(rest[k : k + ROWS, None], rest[None, :]) >= size[k : k + ROWS, None] + size[None, :] - 1e-6
+            np.fill_diagonal(possible[:, k:], False)
+            keep[k : k + ROWS] = possible.any(1)
         if not keep.all():
             alive, overlap = alive[keep], overlap[np.ix_(keep, keep)]
         if not len(alive):
             return label
-    o = overlap.astype(np.int64)
     size = n[alive]
-    link = 100 * o >= percent * (size[:, None] + size[None, :] - o)
-    np.fill_diagonal(link, True)
-    own = np.arange(len(alive))
-    while True:
-        new = np.where(link, own[None, :], len(alive)).min(1)
-        new = np.minimum(new, new[new])
-        if (new == own).all():
-            break
-        own = new
-    label[alive] = alive[own]
+    open_ = np.ones(len(alive), bool)
+    for first in range(len(alive)):  # what each class reaches, the least one first
+        if not open_[first]:
+            continue
+        front = np.array([first])
+        open_[first] = False
+        while len(front):
+            reached = np.zeros(len(alive), bool)
+            for k in range(0, len(front), ROWS):
+                at = front[k : k + ROWS]
+                o = overlap[at].astype(np.int64)
+                reached |= (100 * o >= percent * (size[at, None] + size[None, :] - o)).any(0)
+            front = np.flatnonzero(reached & open_)
+            open_[front] = False
+            label[alive[front]] = alive[first]
     return label
 
 
-def link_edges(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that join the linked classes of each pair of blocks of a group; members has grp, class, block, blocks and set."""
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    pairs = members.select("grp", "class", "block", "set", other).select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "set")
+def products(rows: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the links between the classes of each key; rows has keys, class and its packed text."""
+    names = [*keys, "class", "text"]
+    k = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cls, sets = None, [], []
+        key, cls, texts = None, [], []
         edges: list[tuple[int, int]] = []
 
         def close():
             if len(cls) > 1:
-                for a, b in enumerate(link_forest(sets, percent).tolist()):
+                for a, b in enumerate(link_forest(shingle_sets(common.one_block(*texts), words), percent).tolist()):
                     if a != b:
                         edges.append((cls[b], cls[a]))
 
         for batch in batches:
-            for k in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
-                if k[:3] != key:
+            for *now, c, text in zip(*(batch.column(i).to_pylist() for i in range(k + 1)), batch.column(k + 1), strict=True):
+                if now != key:
                     close()
-                    key, cls, sets = k[:3], [], []
-                cls.append(k[3])
-                sets.append(np.frombuffer(k[4].as_buffer(), U))
+                    key, cls, texts = now, [], []
+                if not cls or cls[-1] != c:  # a class may come by two ways
+                    cls.append(c)
+                    texts.append(common.unpack(text))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
                 edges = []
@@ -336,44 +350,62 @@ def link_edges(members: DataFrame, percent: int) -> DataFrame:
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    keys = ["grp", "i", "j"]
-    return pairs.repartition(common.shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, "class").mapInArrow(run, "a long, b long").distinct()
+    return rows.select(names).repartition(common.shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "class").mapInArrow(run, "a long, b long")
+
+
+def relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with the label of each class, itself if it has none."""
+    return members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+
+def links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """node and label of all linked classes but the least of each component; members has grp, class, block and blocks, texts has class and its packed text."""
+    labels = components(products(members.join(texts, "class"), ["grp", "block"], words, percent))
+    large = members.where("blocks > 1")
+    if not large.limit(1).count():
+        return labels
+    star = lambda: labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    # each block by the next
+    turns = large.select("grp", "class", F.explode(F.array_distinct(F.array(F.col("block"), F.pmod(F.col("block") + 1, F.col("blocks"))))).alias("turn"))
+    labels = components(star().union(products(turns.join(texts, "class"), ["grp", "turn"], words, percent)))
+    # what is apart from the group's largest component, by every block
+    placed = common.checkpointed(relabelled(large, labels))
+    main = placed.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    apart = common.checkpointed(placed.join(main, "grp").where("label <> main").select("grp", "class", "blocks"))
+    spread = apart.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("long").alias("lots"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    base = large.join(spread, "grp").select("grp", "class", "block", each(F.col("lots")).alias("lot"))
+    own = apart.join(spread, "grp").select("grp", "class", F.pmod(F.xxhash64("class"), F.col("lots")).alias("lot"), each(F.col("blocks")).alias("block"))
+    return components(star().union(products(base.unionByName(own).join(texts, "class"), ["grp", "block", "lot"], words, percent)))
+
+
+def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, label of the component and its least doc_id, for every row with an id."""
+    common.bind(docs.sparkSession)
+    rows = common.texts_of(docs).withColumn("mark", F.xxhash64("text"))
+    known = common.checkpointed(profiles(rows, words, percent))
+    classes = common.checkpointed(known.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("n_shingles").alias("n"), F.max("need").alias("need")))
+    members = common.checkpointed(clusters(groups(rows, classes, words, percent), classes))
+    wanted = members.select("class").distinct().join(classes, "class").select("class", "first.doc_id", "first.mark")
+
+    texts = common.checkpointed(common.packed(rows).join(wanted.hint("shuffle_hash"), ["doc_id", "mark"]).select("class", "text"))
+    labels = links(members, texts, words, percent)
+    named = common.checkpointed(classes.select("class", "first.doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("label", "class").alias("label")))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    full = known.where("n_shingles > 0").select("doc_id", "mark", "n_shingles", "class").join(named.select("class", "label").join(least, "label"), "class")
+    columns = ["doc_id", "mark", "n_shingles", "label", "component_id"]
+    return full.select(columns).union(known.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("mark").alias("label"), F.col("doc_id").alias("component_id")))
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; sets link when 100 * intersection >= percent * union."""
-    common.bind(docs.sparkSession)
-    rows = common.texts_of(docs)
-    known = common.checkpointed(profiles(rows, words, percent))
-    members = common.checkpointed(clusters(groups(rows, known, words, percent), known))
-    wanted = members.select("class").distinct().join(known.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
-
-    def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [common.unpack(t) for t in batch.column(1)]
-            if texts:
-                sets = [s for t in texts for s in shingle_sets(common.one_block(t), words)]
-                # an id with several rows may have several classes: a class keeps the sets that it is the hash of
-                own = [(c, s.tobytes()) for c, s in zip(batch.column(0).to_pylist(), sets, strict=True) if class_key(s) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["class", "set"])
-
-    texts = common.packed(rows).join(wanted.hint("shuffle_hash"), "doc_id").select("class", "text")
-    sets = texts.mapInArrow(incidence, "class long, set binary").where(F.length("set") > 0)
-    edges = common.checkpointed(link_edges(members.join(sets, "class"), percent))
-    labels = components(edges)
-    first = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    linked = common.checkpointed(labels.withColumnRenamed("node", "class").join(first, "class"))
-    least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = common.checkpointed(common.lookup(linked, least, "label").select("class", "component_id"))
-    alone = first.join(named, "class", "left_anti").select("class", F.col("first").alias("component_id"))
-    full = common.lookup(known.where("n_shingles > 0"), named.unionByName(alone), "class")
-    return full.select("doc_id", "n_shingles", "component_id").union(known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return linked(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that have the least doc_id of their component; of repeated rows one. Rows without doc_id stay."""
-    stay = join(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    named = docs.join(stay, docs.doc_id == stay.stay_id)
-    first = F.row_number().over(Window.partitionBy("stay_id", "copy_").orderBy("stay_id"))
-    named = named.withColumn("copy_", F.xxhash64("text")).withColumn("first_", first).where("first_ = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs, with all their columns, that stay: of each component the text of the least doc_id (of several under that id, the one of the least hash), in one row. Rows without doc_id stay, as do those without words."""
+    mark, stays, name = common.free_names(docs, 3)
+    first = linked(docs, words, percent).where("doc_id = component_id").groupBy("label", "doc_id").agg(F.min("mark").alias(mark))
+    first = first.select(F.col("doc_id").alias(stays), mark).distinct()
+    one = docs.where("doc_id IS NOT NULL").withColumn(mark, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn(name, F.col("doc_id").cast("long")).dropDuplicates([name, mark])
+    return one.join(first.withColumnRenamed(stays, name), [name, mark], "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -109,3 +109,52 @@ def test_empty(spark):
     assert sj.join(df.where("doc_id > 1")).count() == 0
     assert [tuple(r) for r in sj.join(df).collect()] == [(1, 1, 1)]
     assert len(common.words(common.one_block("")).hash) == 0
+
+
+def test_components_of_chains_stars_and_repeated_edges(spark):
+    from levylens.llm import components
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 400)] + [(5, 5), (410, 405), (405, 410)]
+    edges += [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(150)]
+    rng.shuffle(edges)
+    label = {n: n for e in edges for n in e}
+    for _ in range(300):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(7))
+    assert sorted(map(tuple, got.collect())) == sorted((n, m) for n, m in label.items() if n != m)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_edges_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    """Of a group of one text's near copies, the products give at most an edge for each class and block it is in."""
+    monkeypatch.setattr(sj, "BLOCK_CLASSES", 16)
+    monkeypatch.setattr(sj, "CLUSTER_BLOCKS", 0)
+    made = []
+    whole = sj.products
+
+    def counted(rows, keys, words, percent):
+        made.append(common.checkpointed(whole(rows, keys, words, percent)))
+        return made[-1]
+
+    monkeypatch.setattr(sj, "products", counted)
+    base, got = [f"b{k}" for k in range(150)], []
+    for n in (60, 240):
+        rows = [(i, " ".join([*base[: i % 140], f"x{i}", *base[i % 140 + 1 :]])) for i in range(n)]
+        made.clear()
+        out = sj.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+        assert {r.component_id for r in out.collect()} == {0}
+        got.append(sum(e.count() for e in made))
+    assert got[1] <= 5 * got[0]
+
+
+def test_one_of_each_by_text_and_with_odd_names(spark):
+    a = " ".join(f"a{i}" for i in range(100))
+    rows = [(3, a), (5, a + " z"), (5, "another text of six words here"), (5, "another text of six words here"), (8, None), (8, ""), (None, a), (9, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' AS copy_", "'r' AS row_", "'s' AS stay_id", "'f' AS first_", "1 AS class", "2 AS mark", "'o' AS own0_", "3 AS label")
+    out = sj.one_of_each(docs)
+    assert out.columns == docs.columns
+    kept = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert [r[2:] for r in kept] == [("c", "r", "s", "f", 1, 2, "o", 3)] * len(kept)
+    assert {(r[0], r[1]) for r in kept} == {(3, a), (5, "another text of six words here"), (None, a), (9, " ")} | {(8, next(r[1] for r in kept if r[0] == 8))} and len(kept) == 5
