@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer document is handled alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,12 +46,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What Python workers are started with: allocations of over 4 MB go back to the system when freed, so an idle worker holds little.
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2"}
+#: Bytes and rows of an Arrow batch, as texts of any length are sent in them.
+BATCH_BYTES, BATCH_ROWS = "4m", "2000"
+
+
 def bind(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the driver was started."""
+    """Lets Python workers import this package wherever the driver was started, and bounds what they hold; settings that the session has stay."""
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if top not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([top, *filter(None, paths)])
+        env["PYTHONPATH"] = os.pathsep.join([top, *filter(None, paths)])
+    for name, value in WORKER.items():
+        env.setdefault(name, value)
+    for name, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -147,21 +160,19 @@ _LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """_BASE ** i and its inverse modulo 2 ** 64 for i < at least n."""
-    size = 1 << max(20, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, int(n).bit_length())
         with np.errstate(over="ignore"):
-            up = np.full(size, _BASE, U64)
-            up[0] = 1
-            down = np.full(size, pow(_BASE, -1, 1 << 64), U64)
-            down[0] = 1
-            _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[size]
+            steps = [np.full(size, x, U64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+            for x in steps:
+                x[0] = 1
+            _powers[:] = [np.multiply.accumulate(x) for x in steps]
+    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:

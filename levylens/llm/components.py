@@ -42,8 +42,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[own]], nodes[own]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b, moved) to a forest of each chunk; moved says whether anything has changed."""
+SCHEMA = "a long, b long, moved boolean"
+
+
+def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) in any order to a forest of each chunk, as components() takes them."""
+
+    def ordered() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            a, b = ends.min(0), ends.max(0)
+            use = a < b
+            yield pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(b[use]), pa.array(np.zeros(use.sum(), bool))], ["a", "b", "moved"])
+
+    return _contract(ordered(), by_node=False)
+
+
+def _contract(batches: Iterator[pa.RecordBatch], by_node: bool = True) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b, moved), in the order of b if by_node, to a forest of each chunk; moved says whether anything has changed."""
     held: list[np.ndarray] = []
     moved, n = False, 0
 
@@ -61,8 +77,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += batch.num_rows
         if n >= CHUNK:
             edges = np.concatenate(held, axis=1)
-            cut = int(np.flatnonzero(edges[1] == edges[1, -1])[0])  # rows come in the order of b: its last run goes on
-            cut = cut or n
+            cut = int(np.flatnonzero(edges[1] == edges[1, -1])[0]) or n if by_node else n  # the last node's run may go on
             yield close(edges[:, :cut])
             held, n = [edges[:, cut:]], n - cut
     if n:
@@ -70,12 +85,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label, the least node that it reaches, for every node of edges (a, b) but the least of each component."""
-    schema, parts = "a long, b long, moved boolean", common.shuffle_partitions(edges.sparkSession)
-    plan = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("moved")).mapInArrow(_contract, schema)
+    """node and label, the least node that it reaches, for every node of edges (a, b) but the least of each component. Edges that local() has made come with moved."""
+    parts = common.shuffle_partitions(edges.sparkSession)
+    plan = edges if "moved" in edges.columns else edges.select("a", "b").mapInArrow(local, SCHEMA)
     jumped = False
     while True:
-        rooted = common.checkpointed(plan.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_contract, schema))
+        rooted = common.checkpointed(plan.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_contract, SCHEMA))
         if jumped and not rooted.where("moved").limit(1).count():
             return rooted.select(F.col("b").alias("node"), F.col("a").alias("label"))
         parents = rooted.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("parent"))

@@ -44,7 +44,7 @@ PLACE_BITS = 24
 #: Keys that are broadcast as frequent, at most.
 HOT_KEYS = 1000
 #: Window starts handled at once, and bytes of contexts in one index, about.
-CHUNK, INDEX_BYTES = 1 << 19, 1 << 20
+CHUNK, INDEX_BYTES = 1 << 18, 1 << 20
 #: Distinct contexts of an anchor in one index at most, unless their keys are whole windows.
 HOT = 4_096
 #: Tasks to which the rows of a frequent anchor are dealt.

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import SCHEMA, components, local
 
 U = np.uint64
 #: Shingle places of a block of a group, and classes of one, at most.
@@ -321,11 +321,11 @@ def link_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def products(rows: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links between the classes of each key; rows has keys, class and its packed text."""
+    """Edges of a spanning forest of the links between the classes of each key, for components(); rows has keys, class and its packed text."""
     names = [*keys, "class", "text"]
     k = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cls, texts = None, [], []
         edges: list[tuple[int, int]] = []
 
@@ -350,7 +350,7 @@ def products(rows: DataFrame, keys: list[str], words: int, percent: int) -> Data
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.select(names).repartition(common.shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "class").mapInArrow(run, "a long, b long")
+    return rows.select(names).repartition(common.shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "class").mapInArrow(lambda batches: local(multiply(batches)), SCHEMA)
 
 
 def relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     large = members.where("blocks > 1")
     if not large.limit(1).count():
         return labels
-    star = lambda: labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    star = lambda: labels.select(F.col("label").alias("a"), F.col("node").alias("b"), F.lit(False).alias("moved"))
     # each block by the next
     turns = large.select("grp", "class", F.explode(F.array_distinct(F.array(F.col("block"), F.pmod(F.col("block") + 1, F.col("blocks"))))).alias("turn"))
     labels = components(star().union(products(turns.join(texts, "class"), ["grp", "turn"], words, percent)))
