@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,8 +156,10 @@ def keep_rows(docs: DataFrame, keeps: Callable[[Block], np.ndarray]) -> DataFram
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes of the longest word that is hashed with others at once.
+LONG_WORD = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -184,16 +187,36 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def byte_values(same: dict[int, int] | None = None, lower: bool = True) -> np.ndarray:
-    """A value for each byte; A-Z have those of a-z if lower, and same maps further bytes to others."""
-    out = (_LOWER if lower else _BYTE).copy()
+def folding(same: dict[int, int] | None = None) -> np.ndarray:
+    """The byte that each byte counts as: A-Z as a-z, and further ones as same says."""
+    out = _LOWER.copy()
     for a, b in (same or {}).items():
-        out[a] = out[b]
+        out[a] = b
+    return out
+
+
+def hash_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each slice of data, eight bytes at a time, each time spread over all bits; long ones by xxHash."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out = mix(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+    at = np.flatnonzero(size <= LONG_WORD)
+    with np.errstate(over="ignore"):
+        for k in range(0, LONG_WORD, 8):
+            at = at[size[at] > k]
+            if not len(at):
+                break
+            left = np.minimum(size[at] - k, 8).astype(U64)
+            lane = lanes[start[at] + k] & (~U64(0) >> (U64(64) - left * U64(8)))
+            out[at] = mix((out[at] ^ lane) * U64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
     return out
 
 
 def prefix_hash(data: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
-    """Sums whose differences, brought to position 0, hash any slice of data."""
+    """Sums whose differences, brought to position 0, hash any slice of data; for slices of under 1,000 bytes, as longer ones can be built to collide."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, U64)
     with np.errstate(over="ignore"):
@@ -209,16 +232,16 @@ def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 @dataclass
 class Words:
-    """Hashes of a block's words; words of document i are those from first[i] to first[i + 1]."""
+    """Hashes of a block's words; words of document i are those from first[i] to first[i + 1]; folded has the bytes that were hashed."""
 
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    sums: np.ndarray
+    folded: np.ndarray
 
 
-def words(block: Block, gap: np.ndarray = _SPACE, values: np.ndarray = _LOWER) -> Words:
+def words(block: Block, gap: np.ndarray = _SPACE, fold: np.ndarray = _LOWER) -> Words:
     """Words are runs of bytes outside gap, by default 0x20 and 0x09-0x0D; by default A-Z count as a-z."""
     n = len(block.data)
     inside = ~gap[block.data]
@@ -230,8 +253,8 @@ def words(block: Block, gap: np.ndarray = _SPACE, values: np.ndarray = _LOWER) -
     stop[:n] = ~inside
     stop[block.offsets] = True
     end = np.flatnonzero(inside & stop[1:]) + 1
-    sums = prefix_hash(block.data, values)
-    return Words(slice_hash(sums, start, end), start, end, np.searchsorted(start, block.offsets), sums)
+    folded = fold[block.data]
+    return Words(hash_slices(folded, start, end), start, end, np.searchsorted(start, block.offsets), folded)
 
 
 def word_hash(word: str) -> int:

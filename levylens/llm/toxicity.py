@@ -47,7 +47,7 @@ _gap = np.ones(256, bool)
 _gap[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _leet_gap = _gap.copy()
 _leet_gap[list(LEET)] = False
-_leet = common.byte_values(LEET)
+_leet = common.folding(LEET)
 _upper, _mark, _symbol = (np.isin(np.arange(256), x) for x in (range(65, 91), [33, 63], [*range(35, 39), 42, 43, 60, 61, 62, 64, 94, 126]))
 FEATURES = 16
 
@@ -72,7 +72,7 @@ def _beginnings(w: common.Words) -> list[np.ndarray]:
     for k in BEGINNINGS:
         long = w.end - w.start > k
         h = np.zeros(len(w.hash), np.uint64)
-        h[long] = common.mix(common.slice_hash(w.sums, w.start[long], w.start[long] + k) + np.uint64(k))
+        h[long] = common.mix(common.hash_slices(w.folded, w.start[long], w.start[long] + k) + np.uint64(k))
         out.append(h)
     return out
 

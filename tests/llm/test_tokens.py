@@ -83,3 +83,16 @@ def test_empty_tables(spark):
     empty = frame(spark, ["x"]).where("doc_id < 0")
     assert token_files.token_files(empty, P.path("word_bpe_49k.json")).count() == 0
     assert byte_bpe.digests(empty, P.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_word_hashes_tell_constructed_words_apart():
+    from levylens.llm import common
+
+    word = "a"
+    for _ in range(10):  # the two Thue-Morse words collide under every polynomial modulo a power of two
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert common.word_hash(word) != common.word_hash(other)
+    w = common.words(common.one_block("Ab aB " + "x" * 64 + " " + "X" * 64 + " " + "x" * 65, "ab " + "Y" * 300, "y" * 300))
+    assert w.hash[0] == w.hash[1] == w.hash[5] and w.hash[2] == w.hash[3] != w.hash[4] and w.hash[6] == w.hash[7]
+    assert len({common.word_hash("q" * n) for n in range(1, 200)}) == 199
