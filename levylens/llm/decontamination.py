@@ -20,7 +20,6 @@ give a row each; empty tables give an empty result or all clean.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,31 +125,36 @@ def tables(benchmark: DataFrame) -> Iterator[Broadcast]:
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // (4 * BLOCK_TOKENS)) or 1  # a word takes about 4 bytes at the least
     for k in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()  # of a proven size
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()  # of a proven size
         yield spark.sparkContext.broadcast(Table([r.item_id for r in block], [r.text for r in block]))
 
 
 def _marks(rows: DataFrame, spread: Broadcast) -> DataFrame:
-    """doc_id and, for a contaminated document, its item ids, overlaps' first words and lengths."""
+    """rows (doc_id, text, found) with the overlaps of one block of items merged into found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches):
-            ordered = [sorted(x.items()) for x in find(block, spread.value)]
-            longs = lambda f: pa.array([[f(x) for x in row] for row in ordered], pa.list_(pa.int64()))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids), longs(lambda x: x[0]), longs(lambda x: x[1][0]), longs(lambda x: x[1][1])], ["doc_id", "item_ids", "starts", "lengths"])
-
-    return rows.mapInArrow(run, "doc_id long, item_ids array<long>, starts array<long>, lengths array<long>")
+        for batch in batches:
+            at = 0
+            for block in common.blocks(iter([batch])):
+                some = batch.slice(at, len(block.ids))
+                at += len(block.ids)
+                merged = []
+                for own, before in zip(find(block, spread.value), some.column(2).to_pylist(), strict=True):
+                    for x in before:
+                        if x["n"] > own.get(x["item"], (0, 0))[1]:
+                            own[x["item"]] = (x["start"], x["n"])
+                    merged.append([{"item": i, "start": s, "n": n} for i, (s, n) in sorted(own.items())])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(merged, some.schema.field(2).type)], ["doc_id", "text", "found"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, item_ids, and the first word and the words of each item's longest overlap, for every row; repeated ids are one row if the benchmark takes several blocks."""
-    rows = common.texts_of(docs)
-    found = [_marks(rows, t) for t in tables(benchmark)]
-    if len(found) == 1:
-        marks = found[0]
-    else:
-        marks = reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "starts", "lengths")))
-    return marks.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "starts", "lengths")
+    """doc_id, contaminated, item_ids in order, and the first word and the words of each item's longest overlap, for every row."""
+    rows = common.texts_of(docs).withColumn("found", F.from_json(F.lit("[]"), "array<struct<item: long, start: long, n: long>>"))
+    for spread in tables(benchmark):  # one pass over the texts, whatever the number of blocks
+        rows = _marks(rows, spread)
+    return rows.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.col("found.item").alias("item_ids"), F.col("found.start").alias("starts"), F.col("found.n").alias("lengths"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -77,3 +77,13 @@ def test_empty(spark):
     d, b = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in dc.overlaps(d, b).collect()] == [False]
     assert dc.overlaps(d.where("doc_id = 0"), b).count() == 0
+
+
+def test_repeated_ids_stay_rows_of_their_own_in_any_number_of_blocks(spark, monkeypatch):
+    said = "one two three four five six seven eight nine ten eleven twelve"
+    d = spark.createDataFrame([(1, said), (1, "clean"), (2, "clean"), (1, said)], "doc_id long, text string")
+    b = spark.createDataFrame([(9, said), (9, said + " thirteen"), (4, said), (4, said)], "item_id long, text string")
+    want = sorted((r.doc_id, r.contaminated, tuple(r.item_ids), tuple(r.starts), tuple(r.lengths)) for r in dc.overlaps(d, b).collect())
+    assert [w[:3] for w in want] == [(1, False, ()), (1, True, (4, 9)), (1, True, (4, 9)), (2, False, ())]
+    monkeypatch.setattr(dc, "BLOCK_TOKENS", 10)
+    assert sorted((r.doc_id, r.contaminated, tuple(r.item_ids), tuple(r.starts), tuple(r.lengths)) for r in dc.overlaps(d, b).collect()) == want
