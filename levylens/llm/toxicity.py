@@ -264,7 +264,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for block in common.blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(list(features(block, lexicon)), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    found = {r.doc_id: r.x for r in rows.mapInArrow(measure, "doc_id long, x array<double>").dropDuplicates(["doc_id"]).collect()}  # at most `sample` rows of FEATURES numbers
+    measured = rows.mapInArrow(measure, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))  # of several texts of an id, the least row of features
+    found = {r.doc_id: r.x for r in measured.collect()}  # at most `sample` rows of FEATURES numbers
     ids = sorted(found)
     x, y, fold = np.array([found[i] for i in ids]).reshape(-1, FEATURES), np.array([train[i][0] for i in ids], float), np.array([train[i][1] for i in ids])
     fit, last = (fold >= 4) & (fold < 8), fold >= 8

@@ -55,3 +55,14 @@ def test_isotonic_rises():
     s = rng.random(500)
     knots, values = toxicity.isotonic(s, (rng.random(500) < s).astype(float))
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
+
+
+def test_scores_do_not_depend_on_the_order_of_rows_that_share_an_id(spark):
+    docs, labels = corpus(400)
+    twice = docs + [(i, t[::-1]) for i, t in docs if t]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = []
+    for rows in (twice, twice[::-1]):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got.append(sorted((r.doc_id, r.score) for r in toxicity.score(d, toxicity.learn(d, lab)).collect()))
+    assert got[0] == got[1] and len(got[0]) == len(twice)
