@@ -1,7 +1,9 @@
 """Operator 3: an n-gram language model in an Elias-Fano trie.
 
 Training: blocks of texts count their bigrams, the context by its 64-bit hash and the next word by 40
-bits of its own, and deal them by context to shards. Each shard becomes one file of a trie. Level 1
+bits of its own, and deal them by context to shards. Each shard adds its counts up; the discount and
+the quantising step are then fixed for all of them, so a score depends on the texts alone and not on
+the number of shards. Each shard becomes one file of a trie. Level 1
 has the contexts in order (Elias-Fano) with their exact counts; level 2 has each context's successors
 after monotone pointers (Elias-Fano), in order within the context, with the discounted probability
 quantised to eight bits, rounded down so that no distribution exceeds one. A word's count is its count
@@ -170,25 +172,27 @@ class Shard:
         self.discount, self.least, self.step = arrays["numbers"].tolist()
 
     @staticmethod
-    def build(context: np.ndarray, successor: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-        """Of bigrams in any order; equal ones are added up."""
+    def merge(context: np.ndarray, successor: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        """Bigrams in any order by context and successor, equal ones added up."""
         names, at = np.unique(context, return_inverse=True)
         key = (at.astype(U) << U(FP_BITS)) | successor
         order = np.argsort(key)
         key, n = key[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, n = key[first], np.add.reduceat(n, first)
+        return {"names": names, "key": key, "n": n, "count": np.bincount((key >> U(FP_BITS)).astype(np.int64), n, len(names)).astype(np.int64)}
+
+    @staticmethod
+    def build(merged: dict[str, np.ndarray], numbers: tuple[float, float, float]) -> dict[str, np.ndarray]:
+        """The levels of merged bigrams; numbers are the whole model's discount, least log10 and step."""
+        names, key, n, count = (merged[k] for k in ("names", "key", "n", "count"))
+        discount, least, step = numbers
         owner = (key >> U(FP_BITS)).astype(np.int64)
-        count = np.bincount(owner, n, len(names)).astype(np.int64)
-        one, two = int((n == 1).sum()), int((n == 2).sum())
-        discount = min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
         log = np.log10((n - discount) / count[owner])
-        least = float(log.min())
-        step = max(1e-9, (float(log.max()) - least) / 255)
         code = np.floor((log - least) / step).clip(0, 255).astype(np.uint8)
         base = names[0]
         pointers = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(names)))]).astype(U)
-        out = {"base": np.array([base], U), "numbers": np.array([discount, least, step]), "count": count.astype(np.uint32 if count.max() < 1 << 32 else np.int64), "code": code}
+        out = {"base": np.array([base], U), "numbers": np.array(numbers), "count": count.astype(np.uint32 if count.max() < 1 << 32 else np.int64), "code": code}
         for name, values in (("contexts", names - base), ("pointers", pointers), ("successors", key)):
             out |= {f"{name}.{k}": v for k, v in EliasFano.build(values).arrays().items()}
         return out
@@ -276,23 +280,52 @@ def count_bigrams(docs: DataFrame, shards: int) -> DataFrame:
     return docs.mapInArrow(run, "shard int, context binary, size binary, low binary, high binary, n binary")
 
 
+def numbers(one: int, two: int, most: int) -> tuple[float, float, float]:
+    """Discount, least log10 and quantising step of a model with so many bigrams seen once and twice, whose most frequent context was seen `most` times."""
+    discount = min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
+    least = float(np.log10((1 - discount) / max(most, 1)))
+    return discount, least, max(1e-9, -least / 255)
+
+
 def train(docs: DataFrame, folder: str, shards: int) -> list:
-    """Writes the trie of docs (doc_id, text) below folder; a row (shard, path, n, kinds) for each file."""
+    """Writes the trie of docs (doc_id, text) below folder; a row (shard, path, n, kinds) for each file.
+
+    Each shard's counts are merged and kept first, since the discount and the quantising step are those
+    of all shards: neither depends on how contexts are dealt.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
+    def merge(table: pa.Table) -> pa.Table:
         joined = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
         context = np.repeat(joined("context", U), joined("size", np.uint32))
         successor = joined("low", np.uint32).astype(U) | joined("high", np.uint8).astype(U) << U(32)
-        arrays = Shard.build(context, successor, joined("n", np.uint32))
+        merged = Shard.merge(context, successor, joined("n", np.uint32))
         shard = table["shard"][0].as_py()
         fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
-        task = TaskContext.get().taskAttemptId()
-        name = f"trie-{shard:05d}-{task}"
-        _write(fs, f"{top}/{name}", arrays, "writing")
-        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [name], "n": [int(arrays["count"].sum())], "kinds": [len(arrays["count"])]})
+        name = f"counts-{shard:05d}-{TaskContext.get().taskAttemptId()}"
+        _write(fs, f"{top}/{name}", merged, "writing")
+        n, count = merged["n"], merged["count"]
+        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [name], "n": [int(count.sum())], "kinds": [len(count)], "one": [int((n == 1).sum())], "two": [int((n == 2).sum())], "most": [int(count.max())]})
 
-    return count_bigrams(docs, shards).groupBy("shard").applyInArrow(run, "shard int, path string, n long, kinds long").collect()  # a row for each file
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            paths = []
+            for path in batch["path"].to_pylist():
+                paths.append(path.replace("counts", "trie") + f"-{TaskContext.get().taskAttemptId()}")
+                _write(fs, f"{top}/{paths[-1]}", Shard.build(_read(fs, f"{top}/{path}"), whole), "writing")
+            yield pa.RecordBatch.from_arrays([batch["shard"], pa.array(paths), batch["n"], batch["kinds"]], ["shard", "path", "n", "kinds"])
+
+    counts = count_bigrams(docs, shards).groupBy("shard").applyInArrow(merge, "shard int, path string, n long, kinds long, one long, two long, most long").toArrow()  # a row for each shard
+    if not counts.num_rows:
+        return []
+    whole = numbers(sum(counts["one"].to_pylist()), sum(counts["two"].to_pylist()), max(counts["most"].to_pylist()))
+    files = docs.sparkSession.createDataFrame(counts.select(["shard", "path", "n", "kinds"])).repartition(shards, "shard")
+    built = files.mapInArrow(build, "shard int, path string, n long, kinds long").collect()  # a row for each file
+    fs, top = pafs.FileSystem.from_uri(folder)
+    for path in counts["path"].to_pylist():
+        fs.delete_file(f"{top}/{path}")
+    return built
 
 
 class Model:

@@ -81,3 +81,32 @@ def test_no_training_rows_and_empty(spark):
     r = lm.score(df).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == 0.0
     assert lm.score(df.where("doc_id < 0")).count() == 0
+
+
+def test_scores_and_numbers_do_not_depend_on_the_shards(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(40)], [1 / (k + 1) for k in range(40)], k=rng.randint(0, 60)))) for i in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.doc_id, r.score) for r in lm.score(df, shards=n).collect()) for n in (1, 4, 16)]
+    assert got[0] == got[1] == got[2]
+    uni, pair = Counter(), defaultdict(Counter)
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            w = [*tokens(t), None]
+            uni.update(w)
+            for a, b in zip(w, w[1:]):
+                pair[a][b] += 1
+            pair[None][0] += 1  # an end has a follower of its own
+    counts = [n for c in pair.values() for n in c.values()]
+    d, least, step = lm.numbers(counts.count(1), counts.count(2), max(uni.values()))
+    n, v = sum(uni.values()), len(uni)
+    floor = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+    for (i, score), (_, t) in zip(got[0], sorted(rows)):
+        w = [*tokens(t), None]
+        want = math.log10(floor(w[0]))
+        for a, b in zip(w, w[1:]):
+            p = (d * len(pair[a]) / uni[a] if uni[a] else 1.0) * floor(b)
+            if pair[a][b]:
+                p += 10 ** (least + step * math.floor((math.log10((pair[a][b] - d) / uni[a]) - least) / step))
+            want += math.log10(p)
+        assert math.isclose(score, want, rel_tol=1e-3), i
