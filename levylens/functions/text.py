@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +21,24 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+@lru_cache(maxsize=1)
+def _decomposed() -> tuple[str, str]:
+    """All lower-case characters but й that decompose (NFKD) into some digit or letter, and what each leaves, after one tab each."""
+    found = {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x1FC00)]):
+        left = re.sub("[^0-9a-zа-я]", " ", unicodedata.normalize("NFKD", c))
+        if left.strip() and left != c and c != "й":
+            found[c] = left
+    return "".join(found), "\t".join(found.values())
+
+
 def norm_key(c: Column) -> Column:
-    """lower case, ё as е, й as и and a break, everything but digits and letters a space."""
+    """lower case, ё as е, characters decomposed (й as и and a break, ½ as 1 and 2), everything but digits and letters a space."""
     out = F.replace(F.replace(F.lower(clean(c)), F.lit("ё"), F.lit("е")), F.lit("й"), F.lit("и "))
-    return F.trim(F.regexp_replace(out, "[^0-9a-zа-я]+", " "))
+    odd, parts = _decomposed()
+    one = lambda x: F.coalesce(F.get(F.split(F.lit(parts), "\t"), F.nullif(F.instr(F.lit(odd), x), F.lit(0)) - 1), x)
+    full = F.when(F.regexp_like(out, F.lit("[^\u0000-\u007fа-я–—«»„“”’…№]|№")), F.concat_ws("", F.transform(F.split(F.replace(out, F.lit("№"), F.lit(" o")), ""), one))).otherwise(out)
+    return F.trim(F.regexp_replace(full, "[^0-9a-zа-я]+", " "))
 
 
 def parse_number(c: Column) -> Column:

@@ -42,6 +42,12 @@ def page(rows: DataFrame, order: list, limit: int = 500, offset: int = 0) -> Dat
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def with_total(rows: DataFrame, order: list, limit: int = 500, offset: int = 0) -> DataFrame:
+    """Q9, Q10: a page beside the number of all rows that it is cut from."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return page(rows, order, limit, offset).crossJoin(F.broadcast(total))  # one row
+
+
 def rate_order() -> list:
     return ["municipal", F.coalesce("object_group", "object_name"), "object_name", "rate_value", "id"]
 
@@ -63,9 +69,14 @@ def profile_counts(rate: DataFrame, benefit: DataFrame) -> DataFrame:
 
 def explode_years(rows: DataFrame, last: int, first: int = 2000, open_end: bool = False) -> DataFrame:
     """A row for each year of validity from first to last, at least one; year 0 without a start; an open end is one year unless open_end."""
+    return rows.withColumn("year", F.explode(years_of(last, first, open_end)))
+
+
+def years_of(last: int, first: int = 2000, open_end: bool = False) -> Column:
+    """The years that explode_years() gives a row."""
     start = F.greatest(F.lit(first), F.col("year_from"))
     end = F.least(F.lit(last), F.coalesce("year_to", F.lit(last) if open_end else start))
-    return rows.withColumn("year", F.explode(F.when(F.col("year_from").isNull(), F.array(F.lit(0))).otherwise(F.sequence(start, F.greatest(start, end)))))
+    return F.when(F.col("year_from").isNull(), F.array(F.lit(0))).otherwise(F.sequence(start, F.greatest(start, end)))
 
 
 def explode_payers(rows: DataFrame) -> DataFrame:
@@ -76,8 +87,9 @@ def explode_payers(rows: DataFrame) -> DataFrame:
 
 
 def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rates of the records that name one, benefits of those that do."""
-    return records.where("rate_value IS NOT NULL OR coalesce(rate_text, '') <> ''"), records.where("coalesce(category, '') <> '' OR size_value IS NOT NULL")
+    """Rates of the records that name a rate or an object, benefits of those with a category, a kind or a size."""
+    said = lambda *names: " OR ".join(f"coalesce({n}, '') <> ''" for n in names if n in records.columns) or "false"
+    return records.where(f"rate_value IS NOT NULL OR {said('rate_text', 'object_name')}"), records.where(f"size_value IS NOT NULL OR {said('category', 'kind', 'size_text')}")
 
 
 def explode_nested(records: DataFrame, field: str) -> DataFrame:

@@ -8,6 +8,14 @@ from pyspark.sql.window import Window
 
 from levylens.functions import text
 
+#: Rows of a dimension that is broadcast, at most.
+SMALL = 100_000
+
+
+def dimension(table: DataFrame) -> DataFrame:
+    """table with a broadcast hint if it is counted to be small; else as it is, for Spark to choose."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
 
 def region_code(raw: Column) -> Column:
     """The first two digits, one digit after a zero; null without digits."""
@@ -15,47 +23,69 @@ def region_code(raw: Column) -> Column:
     return F.nullif(F.when(F.length(digits) < 3, F.lpad(digits, 2, "0")).otherwise(F.substring(digits, 1, 2)), F.when(digits == "", F.lpad(digits, 2, "0")))
 
 
-def by_code(rows: DataFrame, region: DataFrame, raw: str) -> DataFrame:
-    return rows.withColumn("found_", region_code(F.col(raw))).join(region.select(F.col("code").alias("found_"), F.col("code").alias("region_code")), "found_", "left").drop("found_")
+def by_code(rows: DataFrame, region: DataFrame, raw: str, out: str = "region_code") -> DataFrame:
+    return rows.withColumn("found_", region_code(F.col(raw))).join(region.select(F.col("code").alias("found_"), F.col("code").alias(out)), "found_", "left").drop("found_")
 
 
-def by_name(rows: DataFrame, region: DataFrame, name: str) -> DataFrame:
+def by_name(rows: DataFrame, region: DataFrame, name: str, out: str = "region_code") -> DataFrame:
     """An equal key, else the first region whose key of over four letters holds or is held by it. Distinct names meet the regions, a dimension."""
-    keys = rows.select(name).distinct().withColumn("key", text.name_key(F.col(name)))
-    known = region.select(F.col("code").alias("region_code"), text.name_key(F.col("name")).alias("known"), F.row_number().over(Window.orderBy("code")).alias("at"))
-    near = (F.col("key") == F.col("known")) | ((F.length("known") > 4) & (F.length("key") > 4) & (F.col("key").contains(F.col("known")) | F.col("known").contains(F.col("key"))))
-    best = keys.join(F.broadcast(known), near).groupBy(name).agg(F.min_by("region_code", F.struct((F.col("key") != F.col("known")), "at")).alias("region_code"))
-    return rows.join(best, name, "left")
+    keys = rows.select(F.col(name).alias("name_")).distinct().withColumn("key", text.name_key(F.col("name_"))).where("key <> ''")
+    spelled = F.array(*(F.col(c) for c in ("name", "short_name") if c in region.columns))
+    known = region.select(F.col("code").alias(out), F.explode(spelled).alias("spelled"), F.row_number().over(Window.orderBy("code")).alias("at")).where("spelled IS NOT NULL").select(out, text.name_key(F.col("spelled")).alias("known"), "at")
+    near = (F.col("key") == F.col("known")) | ((F.length("known") > 4) & (F.col("key").contains(F.col("known")) | F.col("known").contains(F.col("key"))))
+    best = keys.join(dimension(known), near).groupBy("name_").agg(F.min_by(out, F.struct((F.col("key") != F.col("known")), "at")).alias(out))
+    return rows.join(best.withColumnRenamed("name_", name), name, "left")
 
 
 def by_prefix_vote(rows: DataFrame, code: str, resolved: str, width: int = 2) -> DataFrame:
-    """Rows without a region take the one that most resolved rows of their code's prefix have; ties go to the least."""
-    prefix = F.substring(code, 1, width)
-    votes = rows.where(F.col(resolved).isNotNull() & F.col(code).isNotNull()).groupBy(prefix.alias("prefix_"), F.col(resolved).alias("vote_")).count()
+    """Rows without a region take the one that most resolved rows of their code's first digits have; ties go to the least."""
+    prefix = F.nullif(F.substring(F.regexp_replace(F.col(code), r"\D", ""), 1, width), F.lit(""))
+    votes = rows.where(F.col(resolved).isNotNull() & prefix.isNotNull()).groupBy(prefix.alias("prefix_"), F.col(resolved).alias("vote_")).count()
     w = Window.partitionBy("prefix_").orderBy(F.desc("count"), "vote_")
     won = votes.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").select("prefix_", "vote_")
     return rows.withColumn("prefix_", prefix).join(won, "prefix_", "left").withColumn(resolved, F.coalesce(resolved, "vote_")).drop("prefix_", "vote_")
 
 
+def regions(rows: DataFrame, region: DataFrame, code: str, name: str, oktmo: str) -> DataFrame:
+    """J9 to J11 in turn: by code, else by name, else by what the rows so resolved say of the municipal code's beginning."""
+    found = by_name(by_code(rows, region, code, "by_code_"), region, name, "by_name_").withColumn("region_code", F.coalesce("by_code_", "by_name_")).drop("by_code_", "by_name_")
+    return by_prefix_vote(found, oktmo, "region_code")
+
+
 def by_alias(rows: DataFrame, alias: DataFrame, name: str) -> DataFrame:
     """The tax of the longest alias that a text holds; distinct texts meet the aliases, a dimension."""
     keys = rows.select(name).distinct()
-    held = keys.join(F.broadcast(alias), F.contains(text.norm_key(F.col(name)), text.norm_key(F.col("alias"))))
+    held = keys.join(dimension(alias), F.contains(text.norm_key(F.col(name)), text.norm_key(F.col("alias"))))
     best = held.groupBy(name).agg(F.min_by("tax_code", F.struct(-F.length("alias"), "alias", "tax_code")).alias("tax_code"))
     return rows.join(best, name, "left")
 
 
-def by_row_code(cells: DataFrame, codes: DataFrame) -> DataFrame:
-    """Rows of cells to facts. The first cell that is a known code, leading zeros aside, names the row; col_index n takes the n-th number to its right, else the first; the last row of a file wins."""
-    bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"\.0$", ""), "^0+(?=.)", "")
-    known = codes.withColumn("bare", bare(F.col("row_code")))
-    at = cells.select("file", "row_idx", "cells", F.posexplode("cells").alias("pos", "cell")).withColumn("bare", bare(F.col("cell"))).join(F.broadcast(known.select("bare").distinct()), "bare", "left_semi")
-    first = at.groupBy("file", "row_idx").agg(F.min(F.struct("pos", "bare", "cells")).alias("m")).select("file", "row_idx", "m.*")
+def bare_code(c: Column) -> Column:
+    """A row code without leading zeros and without what a workbook makes of a number."""
+    return F.regexp_replace(F.regexp_replace(F.trim(c), r"\.0$", ""), "^0+(?=.)", "")
+
+
+def by_row_code(cells: DataFrame, codes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows of cells to facts. The first cell that is a known code, leading zeros aside, names the row; col_index n takes the n-th number to its right, else the first; the last row of a file wins. by: further columns of both that must agree."""
+    by = by or []
+    known = codes.withColumn("bare", bare_code(F.col("row_code"))).select(*by, "bare", "indicator_id", "payer", "col_index").distinct()
+    each = cells.select("file", "row_idx", *by, "cells", F.posexplode("cells").alias("pos", "cell")).withColumn("bare", bare_code(F.col("cell")))
+    at = each.join(known.select(*by, "bare").distinct(), [*by, "bare"], "left_semi")
+    first = at.groupBy("file", "row_idx", *by).agg(F.min(F.struct("pos", "bare", "cells")).alias("m")).select("file", "row_idx", *by, "m.*")
     numbers = F.filter(F.transform(F.slice("cells", F.col("pos") + 2, F.size("cells")), text.parse_number), lambda x: x.isNotNull())
-    facts = first.join(F.broadcast(known), "bare").withColumn("numbers", numbers).withColumn("value", F.coalesce(F.try_element_at("numbers", F.greatest(F.lit(1), F.coalesce("col_index", F.lit(1)))), F.try_element_at("numbers", F.lit(1))))
-    return facts.where("value IS NOT NULL").groupBy("file", "indicator_id", "payer").agg(F.max_by("value", "row_idx").alias("value"))
+    wanted = F.when(F.col("col_index") > 0, F.col("col_index")).otherwise(1)
+    facts = first.join(known, [*by, "bare"]).withColumn("value", F.coalesce(F.try_element_at(numbers, wanted), F.try_element_at(numbers, F.lit(1))))
+    return facts.where("value IS NOT NULL").groupBy("file", *by, "indicator_id", "payer").agg(F.max_by("value", "row_idx").alias("value"))
+
+
+def unknown_codes(cells: DataFrame, codes: DataFrame) -> DataFrame:
+    """Three- or four-digit cells that are no known row code."""
+    seen = cells.select(F.explode("cells").alias("cell")).where(F.regexp_like("cell", F.lit(r"^\d{3,4}$"))).distinct()
+    return seen.withColumn("bare", bare_code(F.col("cell"))).join(codes.select(bare_code(F.col("row_code")).alias("bare")), "bare", "left_anti").select("cell")
 
 
 def misses(rows: DataFrame, reason: str, value: str, most: int = 20) -> DataFrame:
-    """Unresolved values by reason, the first in order."""
-    return rows.groupBy(reason).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(value)), 1, most).alias("examples"))
+    """Unresolved values by reason, the first in order; no more than `most` of a reason are ever held."""
+    n = rows.groupBy(reason, value).agg(F.count(F.lit(1)).alias("n_"))
+    first = n.withColumn("at_", F.row_number().over(Window.partitionBy(reason).orderBy(value))).where(F.col("at_") <= most)
+    return n.groupBy(reason).agg(F.sum("n_").alias("n")).join(first.groupBy(reason).agg(F.array_sort(F.collect_list(value)).alias("examples")), reason)

@@ -1,7 +1,9 @@
 """Term counts by tax, year, region and payer, and the clouds drawn from them.
 
-texts: doc_id, tax_code, year, region_code, payer, text. Counting is one exchange by document term and
-one by bucket, both after partial sums.
+texts: doc_id, tax_code, region_code, payer, text and the period (year_from, year_to). A text is cut
+into words once, in its own row: stop words, stems, pairs of neighbours and the first place of each
+term in the text are array expressions, so the words are counted before any exchange. Years are spread
+over the counts, not over the texts.
 """
 
 from __future__ import annotations
@@ -12,33 +14,50 @@ from pyspark.sql.window import Window
 
 from levylens.functions import russian, text
 
+from . import norms
+
 BUCKET = ["tax_code", "year", "region_code", "payer"]
+PERIOD = ["tax_code", "region_code", "payer", "year_from", "year_to"]
 RF = "00"
 
 
-def normalised(texts: DataFrame, stem: bool) -> DataFrame:
-    """Words of the texts by place, with their normal form; stems are computed once a distinct word."""
-    rows = texts.select("doc_id", *BUCKET, F.posexplode(text.tokenize(F.col("text"))).alias("pos", "surface"))
-    return russian.over_distinct(rows, "surface", russian.stem_udf, "term") if stem else rows.withColumn("term", F.col("surface"))
+def words_of(content: Column, stops: list[str], stem: bool) -> Column:
+    """the words of a text as (pos, surface, term), without numbers, short words and stop words; places count all words."""
+    plain = text.tokenize(content)
+    both = F.arrays_zip(plain.alias("surface"), (russian.stems_udf(plain) if stem else plain).alias("term"))
+    placed = F.transform(both, lambda w, i: F.struct(i.alias("pos"), w["surface"].alias("surface"), w["term"].alias("term")))
+    left_out = lambda w: w["surface"].isin(stops or [""]) | w["term"].isin(stops or [""])
+    return F.filter(placed, lambda w: ~F.regexp_like(w["surface"], F.lit("^[0-9-]+$")) & (F.length(w["surface"]) >= 3) & ~left_out(w))
+
 
+def pairs_of(words: Column) -> Column:
+    """Words that stood side by side, as words; a word left out between them parts them."""
+    after = lambda i: F.get(words, i + 1)
+    join = lambda w, i, name: F.concat(w[name], F.lit(" "), after(i)[name]).alias(name)
+    found = F.transform(words, lambda w, i: F.when(after(i)["pos"] == w["pos"] + 1, F.struct(w["pos"].alias("pos"), join(w, i, "surface"), join(w, i, "term"))))
+    return F.filter(found, lambda p: p.isNotNull())
 
-def kept_words(words: DataFrame, stops: list[str]) -> DataFrame:
-    """without numbers, short words and stop words; places stay as they were."""
-    return words.where(~F.regexp_like("surface", F.lit("^[0-9-]+$")) & (F.length("surface") >= 3) & ~F.col("surface").isin(stops or [""]) & ~F.col("term").isin(stops or [""]))
 
+def _marked(words: Column, is_bigram: int) -> Column:
+    """The words by term, each with whether it is the text's first of its term."""
+    ordered = F.sort_array(F.transform(words, lambda w: F.struct(w["term"].alias("term"), w["surface"].alias("surface"))))
+    fresh = lambda w, i: ((i == 0) | (w["term"] != F.get(ordered, i - 1)["term"])).cast("int")
+    return F.transform(ordered, lambda w, i: F.struct(w["term"].alias("term"), w["surface"].alias("surface"), fresh(w, i).alias("first"), F.lit(is_bigram).alias("is_bigram")))
 
-def bigrams(words: DataFrame) -> DataFrame:
-    """Words that stood side by side; a word left out between them parts them."""
-    w = Window.partitionBy("doc_id", *BUCKET).orderBy("pos")
-    two = words.withColumn("next", F.lead(F.struct("pos", "term", "surface")).over(w)).where("next.pos = pos + 1")
-    join = lambda a: F.concat(F.col(a), F.lit(" "), F.col(f"next.{a}")).alias(a)
-    return two.select("doc_id", *BUCKET, "pos", join("surface"), join("term"))
 
+def cells(texts: DataFrame, stops: list[str], unigrams: bool = True, bigrams: bool = True, stem: bool = True) -> DataFrame:
+    """A8 before the years: occurrences and texts of each term and surface by tax, region, payer and period; one exchange, after partial sums."""
+    listed = texts.select(*PERIOD, words_of(F.col("text"), stops, stem).alias("words"))
+    kinds = [_marked(F.col("words"), 0)] * unigrams + [_marked(pairs_of(F.col("words")), 1)] * bigrams
+    # the words are computed in a projection of their own, once for all that reads them
+    rows = listed.select(*PERIOD, F.explode(F.concat(*kinds)).alias("w")).select(*PERIOD, "w.*")
+    return rows.groupBy(*PERIOD, "term", "surface", "is_bigram").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
 
-def count_terms(words: DataFrame, is_bigram: int = 0) -> DataFrame:
-    """Occurrences and documents of each term in each bucket."""
-    per_doc = words.groupBy("doc_id", *BUCKET, "term").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy(*BUCKET, "term").agg(F.sum("n").alias("term_freq"), F.count(F.lit(1)).alias("doc_freq")).withColumn("is_bigram", F.lit(is_bigram))
+
+def count_terms(counted: DataFrame, last: int) -> DataFrame:
+    """Occurrences and texts of each term in each bucket."""
+    yearly = norms.explode_years(counted.groupBy(*PERIOD, "term", "is_bigram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), last)
+    return yearly.groupBy(*BUCKET, "term", "is_bigram").agg(F.sum("n").alias("term_freq"), F.sum("docs").alias("doc_freq"))
 
 
 def with_all_regions(cube: DataFrame) -> DataFrame:
@@ -54,35 +73,46 @@ def top_terms(cube: DataFrame, n: int = 400) -> DataFrame:
     return cube.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 
-def display_forms(words: DataFrame) -> DataFrame:
-    """The surface that a term has most often, of equals the least."""
-    n = words.groupBy("term", "surface").agg(F.count(F.lit(1)).alias("n"))
-    best = n.groupBy("term").agg(F.max("n").alias("n"))
-    return n.join(best, ["term", "n"]).groupBy("term").agg(F.min("surface").alias("display"))
+def display_forms(words: DataFrame, n: Column | None = None) -> DataFrame:
+    """The surface that a term has most often, of equals the least; a row is one occurrence, or n."""
+    counted = words.groupBy("term", "surface").agg((F.count(F.lit(1)) if n is None else F.sum(n)).alias("n"))
+    return counted.groupBy("term").agg(F.min_by("surface", F.struct(-F.col("n"), "surface")).alias("display"))
+
 
+def build_cube(texts: DataFrame, stops: list[str], last: int, top: int = 400, with_bigrams: bool = True, stem: bool = True) -> DataFrame:
+    """Q11's cube: unigrams and bigrams, with the sum over regions, pruned after it. Both uses of the cells read one exchange."""
+    counted = cells(texts, stops, bigrams=with_bigrams, stem=stem)
+    years = F.size(F.col("years")).cast("long")
+    # a surface counts once for each bucket that its text is in
+    spread = counted.withColumn("years", norms.years_of(last))
+    return top_terms(with_all_regions(count_terms(counted, last)), top).join(display_forms(spread, F.col("n") * years), "term", "left")
 
-def build_cube(texts: DataFrame, stops: list[str], top: int = 400, with_bigrams: bool = True, stem: bool = True) -> DataFrame:
-    """Q11's cube: unigrams and bigrams, with the sum over regions, pruned after it."""
-    words = kept_words(normalised(texts, stem), stops)
-    cube = count_terms(words)
-    shown = display_forms(words)
-    if with_bigrams:
-        pairs = bigrams(words)
-        cube, shown = cube.unionByName(count_terms(pairs, 1)), shown.unionByName(display_forms(pairs))
-    return top_terms(with_all_regions(cube), top).join(shown, "term", "left")
+
+def stop_forms(lists: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """words of the stop lists (column word) and extra ones as they are, as tokens and as stems."""
+    more = lists.select("word").unionByName(lists.sparkSession.createDataFrame([(w,) for w in extra], "word string"))
+    tokens = text.tokenize(F.col("word"))
+    forms = F.concat(F.array(F.lower("word")), tokens, russian.stems_udf(tokens))
+    return more.select(F.explode(forms).alias("word")).where("word <> ''").distinct()
 
 
 def cloud(cube: DataFrame, tax: str, payer: str, years: list[int] | None = None, regions: list[str] | None = None, limit: int = 120, mode: str = "freq", include_bigrams: bool = True) -> DataFrame:
-    """Terms of a payer by frequency, or by how far they mark it off from the other payers."""
+    """Terms of a payer by frequency, or by how far they mark it off from the other payers, beside the number of all its terms."""
     rows = cube.where((F.col("tax_code") == tax) & F.col("region_code").isin(regions or [RF]))
     rows = rows.where(F.col("year").isin(years)) if years else rows
     rows = rows if include_bigrams else rows.where("is_bigram = 0")
     mine: Column = F.col("payer") == payer
     total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long")
     terms = rows.groupBy("term").agg(F.max("is_bigram").alias("is_bigram"), total("term_freq", mine).alias("freq"), total("doc_freq", mine).alias("docs"), total("term_freq", ~mine).alias("other"))
-    sums = rows.agg(total("term_freq", mine).alias("all_freq"), total("term_freq", ~mine).alias("all_other"))
+    sums = terms.agg(F.sum("freq").alias("all_freq"), F.sum("other").alias("all_other"), F.count_if(F.col("freq") > 0).alias("total_terms"))
     odds = F.log((F.col("freq") / F.col("all_freq")) / ((F.col("other") + 1) / (F.col("all_other") + 1)))
     plain = F.col("freq").cast("double")
     score = F.when((F.col("all_freq") > 0) & (F.col("all_other") > 0), F.col("freq") * F.greatest(F.lit(0.0), odds)).otherwise(plain) if mode == "distinctive" else plain
     out = terms.where("freq > 0").crossJoin(F.broadcast(sums)).withColumn("score", F.round(score, 4))  # sums is one row
-    return out.select("term", "is_bigram", "freq", "docs", "score").orderBy(F.desc("score"), F.desc("freq"), "term").limit(limit)
+    return out.select("term", "is_bigram", "freq", "docs", "score", "total_terms").orderBy(F.desc("score"), F.desc("freq"), "term").limit(limit)
+
+
+def without_words(cloud_: DataFrame, words: list[str]) -> DataFrame:
+    """The cloud without terms that hold one of the words."""
+    held = F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(F.col("term"), w)) if words else F.lit(False)
+    return cloud_.where(~held)

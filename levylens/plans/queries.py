@@ -175,8 +175,8 @@ def payer_explode(d: Domain) -> DataFrame:
 # ---------------------------------------------------------------- terms
 
 
-def _words(d: Domain, stem: bool = False) -> DataFrame:
-    return terms.kept_words(terms.normalised(norms.explode_years(d.text, LAST), stem), STOPS)
+def _cells(d: Domain, bigrams: bool = False, unigrams: bool = True) -> DataFrame:
+    return terms.cells(d.text, STOPS, unigrams, bigrams, stem=False)
 
 
 _AS_LONG = "tax_code, year, region_code, payer, term, CAST(term_freq AS BIGINT) AS term_freq, CAST(doc_freq AS BIGINT) AS doc_freq, is_bigram"
@@ -184,7 +184,7 @@ _AS_LONG = "tax_code, year, region_code, payer, term, CAST(term_freq AS BIGINT)
 
 @query(f"SELECT {_AS_LONG} FROM count_", TEXT, YEARS, WORDS, COUNTS)
 def terms_unigram(d: Domain) -> DataFrame:
-    return terms.count_terms(_words(d))
+    return terms.count_terms(_cells(d), LAST)
 
 
 @query(
@@ -193,12 +193,12 @@ def terms_unigram(d: Domain) -> DataFrame:
     TEXT, YEARS, WORDS,
 )
 def terms_bigram(d: Domain) -> DataFrame:
-    return terms.count_terms(terms.bigrams(_words(d)), 1)
+    return terms.count_terms(_cells(d, True, False), LAST)
 
 
 @query(f"SELECT {_AS_LONG} FROM cube_", TEXT, YEARS, WORDS, COUNTS)
 def terms_rollup_all(d: Domain) -> DataFrame:
-    return terms.with_all_regions(terms.count_terms(_words(d)))
+    return terms.with_all_regions(terms.count_terms(_cells(d), LAST))
 
 
 _TOP = "top_ AS (SELECT * FROM cube_ QUALIFY row_number() OVER (PARTITION BY tax_code, year, region_code, payer ORDER BY term_freq DESC, doc_freq DESC, term) <= 400)"
@@ -206,7 +206,7 @@ _TOP = "top_ AS (SELECT * FROM cube_ QUALIFY row_number() OVER (PARTITION BY tax
 
 @query(f"SELECT {_AS_LONG} FROM top_", TEXT, YEARS, WORDS, COUNTS, _TOP)
 def terms_topn(d: Domain) -> DataFrame:
-    return terms.top_terms(terms.with_all_regions(terms.count_terms(_words(d))))
+    return terms.top_terms(terms.with_all_regions(terms.count_terms(_cells(d), LAST)))
 
 
 @query("SELECT term, min(surface) AS display FROM (SELECT lower(p_name) AS term, p_name AS surface, count(*) AS n FROM part GROUP BY 1, 2 QUALIFY n = max(n) OVER (PARTITION BY term)) GROUP BY 1")
@@ -215,22 +215,22 @@ def display_form(d: Domain) -> DataFrame:
 
 
 _CLOUD = """c_ AS (SELECT term, max(is_bigram) AS is_bigram, CAST(sum(CASE WHEN payer = 'en' THEN term_freq ELSE 0 END) AS BIGINT) AS freq, CAST(sum(CASE WHEN payer = 'en' THEN doc_freq ELSE 0 END) AS BIGINT) AS docs, sum(CASE WHEN payer <> 'en' THEN term_freq ELSE 0 END) AS other FROM top_ WHERE region_code = '00' GROUP BY 1),
-t_ AS (SELECT sum(freq) AS a, sum(other) AS b FROM c_)"""
+t_ AS (SELECT sum(freq) AS a, sum(other) AS b, count(*) FILTER (freq > 0) AS total_terms FROM c_)"""
 
 
-@query("SELECT term, is_bigram, freq, docs, CAST(freq AS DOUBLE) AS score FROM c_ WHERE freq > 0 ORDER BY freq DESC, term LIMIT 120", TEXT, YEARS, WORDS, COUNTS, _TOP, _CLOUD)
+@query("SELECT term, is_bigram, freq, docs, CAST(freq AS DOUBLE) AS score, total_terms FROM c_, t_ WHERE freq > 0 ORDER BY freq DESC, term LIMIT 120", TEXT, YEARS, WORDS, COUNTS, _TOP, _CLOUD)
 def cloud_freq(d: Domain) -> DataFrame:
     return terms.cloud(terms_topn(d), "t", "en")
 
 
-@query("SELECT term, is_bigram, freq, docs, round(freq * greatest(0, ln((CAST(freq AS DOUBLE) / a) / ((CAST(other AS DOUBLE) + 1) / (b + 1)))), 4) AS score FROM c_, t_ WHERE freq > 0 ORDER BY score DESC, freq DESC, term LIMIT 120", TEXT, YEARS, WORDS, COUNTS, _TOP, _CLOUD)
+@query("SELECT term, is_bigram, freq, docs, round(freq * greatest(0, ln((CAST(freq AS DOUBLE) / a) / ((CAST(other AS DOUBLE) + 1) / (b + 1)))), 4) AS score, total_terms FROM c_, t_ WHERE freq > 0 ORDER BY score DESC, freq DESC, term LIMIT 120", TEXT, YEARS, WORDS, COUNTS, _TOP, _CLOUD)
 def cloud_distinctive(d: Domain) -> DataFrame:
     return terms.cloud(terms_topn(d), "t", "en", mode="distinctive")
 
 
 @query()
 def stem_terms(d: Domain) -> DataFrame:
-    return terms.build_cube(norms.explode_years(d.text, LAST), STOPS)
+    return terms.build_cube(d.text, STOPS, LAST)
 
 
 @query()

@@ -7,15 +7,21 @@ import csv
 import io
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from levylens import session
+
 RAW = "file string, table string, row_idx long, cells array<string>"
 SAMPLE_BYTES, LOOKAHEAD = 1 << 16, 40
 DELIMITERS = ";\t,|"
+#: The table of a file that could not be read.
+ERROR = "error"
 
 
 def detect_encoding(sample: bytes) -> str:
@@ -23,8 +29,12 @@ def detect_encoding(sample: bytes) -> str:
     for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
         if sample.startswith(mark):
             return name
-    if m := re.search(rb"(?:charset|encoding)\s*=\s*[\"']?([\w-]+)", sample[:4096], re.I):
-        return m[1].decode().lower()
+    said = re.search(rb"<\?xml[^>]*\bencoding\s*=\s*[\"']([\w-]+)|charset\s*=\s*[\"']?([\w-]+)", sample[:4096], re.I)
+    if said:
+        try:  # a name that is no encoding's says nothing
+            return codecs.lookup((said[1] or said[2]).decode()).name
+        except LookupError:
+            pass
     try:
         codecs.getincrementaldecoder("utf-8")().decode(sample)
         return "utf-8"
@@ -34,13 +44,13 @@ def detect_encoding(sample: bytes) -> str:
 
 def detect_delimiter(sample: str) -> str:
     """S3: the most frequent in the first 20 lines, of equals the first listed; a comma if there is none."""
-    head = "\n".join(sample.splitlines()[:20])
-    best = max(DELIMITERS, key=head.count)
-    return best if best in head else ","
+    seen = Counter(chain.from_iterable(sample.splitlines()[:20]))
+    votes = [seen[d] for d in DELIMITERS]
+    return DELIMITERS[votes.index(max(votes))] if any(votes) else ","
 
 
 def clean_cell(x: str | None) -> str:
-    return re.sub(r"\s+", " ", (x or "").replace("–", "-")).strip()
+    return " ".join((x or "").replace("–", "-").split())
 
 
 def parse_delimited(content: bytes, encoding: str | None = None, delimiter: str | None = None) -> list[list[str]]:
@@ -56,16 +66,26 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_tables(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """The rows of every table in every file, by suffix; gz and zip are opened (S4, S9). A file is read whole by one task; large exports go through read_large()."""
+    """The rows of every table in every file, by suffix; gz and zip are opened (S4, S9). A file is read whole by one task; large exports go through read_large().
+
+    I4: a file that cannot be read gives one row, whose table is ERROR and whose cells say why.
+    """
     from . import containers
 
+    session.bind(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(file: str, table: str, at: int, some: list[list[str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array([table] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], ["file", "table", "row_idx", "cells"])
+
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for table, rows in containers.tables(file, content):
-                    for at in range(0, len(rows), 10_000):
-                        some = rows[at : at + 10_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array([table] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], ["file", "table", "row_idx", "cells"])
+                try:
+                    for table, rows in containers.tables(file, content):
+                        for at in range(0, len(rows), 10_000):
+                            yield out(file, table, at, rows[at : at + 10_000])
+                except Exception as e:  # noqa: BLE001  whatever a broken file makes its reader raise
+                    yield out(file, ERROR, 0, [[type(e).__name__, str(e)[:500]]])
 
     return files(spark, path, glob).select("path", "content").mapInArrow(run, RAW)
 
@@ -96,7 +116,7 @@ def find_header(rows: list[list[str]], markers: list[str] = (), lookahead: int =
             continue
         joined = [norm_header(c) for c in full]
         hits = sum(any(m in c for c in joined) for m in wanted)
-        words = sum(not re.fullmatch(r"[\d\s.,%-]*", c) for c in full) / len(full)
+        words = sum(not re.fullmatch(r"[\d\s.,]*", c) for c in full) / len(full)
         if (best is None or (hits, words) > best) and (hits >= max(1, -(-len(wanted) // 2)) if wanted else words >= 0.75):
             best, at = (hits, words), i
         if wanted and hits == len(wanted):
@@ -106,29 +126,29 @@ def find_header(rows: list[list[str]], markers: list[str] = (), lookahead: int =
 
 def dedupe(header: list[str]) -> list[str]:
     """X, x__1, ...; blanks are col."""
-    seen: dict[str, int] = {}
-    out = []
-    for name in header:
-        name = name or "col"
-        n = seen.get(name, 0)
-        seen[name] = n + 1
-        out.append(f"{name}__{n}" if n else name)
-    return out
+    names = [name or "col" for name in header]
+    earlier = [names[:i].count(name) for i, name in enumerate(names)]
+    return [f"{name}__{n}" if n else name for name, n in zip(names, earlier)]
 
 
 def map_columns(header: list[str], aliases: dict[str, list[str]]) -> dict[str, int]:
     """Fields to columns, one to one, the best fits first: equal, beginning, part; then the longer alias, then the order of the aliases."""
-    offers = []
-    for f, (field, names) in enumerate(aliases.items()):
-        for a, alias in enumerate(map(norm_header, names)):
-            for i, h in enumerate(map(norm_header, header)):
-                fit = 3 if h == alias else 2 if h.startswith(alias) else 1 if alias in h else 0
-                if fit and alias:
-                    offers.append((-fit, -len(alias), f, a, i, field))
+    def fit(alias: str, head: str) -> tuple[int, int]:
+        """How well an alias fits, and its length."""
+        return (head == alias) + head.startswith(alias) + (alias in head), len(alias)
+
+    spelled = {field: [a for a in map(norm_header, names) if a] for field, names in aliases.items()}
+    heads = dict(enumerate(map(norm_header, header)))
     out: dict[str, int] = {}
-    for _, _, _, _, i, field in sorted(offers):
-        if field not in out and i not in out.values():
-            out[field] = i
+    while spelled and heads:  # the best pair of what is left
+        best = {(field, i): max(fit(a, h) for a in names) for field, names in spelled.items() if names for i, h in heads.items()}
+        if not best:
+            break
+        field, i = max(best, key=best.get)
+        if not best[field, i][0]:
+            break
+        out[field] = i
+        del spelled[field], heads[i]
     return out
 
 

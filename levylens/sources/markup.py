@@ -19,8 +19,7 @@ def html_cells(row: str) -> list[str]:
     out: list[str] = []
     row = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", row)
     for m in re.finditer(r"(?is)<t[dh]\b([^>]*)>(.*?)(?=<t[dh]\b|</tr\b|\Z)", row):
-        plain = re.sub(r"(?i)<br\s*/?>|</p\s*>|</div\s*>", " ", m[2])
-        out.append(delimited.clean_cell(html.unescape(re.sub(r"<[^>]*>", "", plain)).replace(" ", " ")))
+        out.append(delimited.clean_cell(html.unescape(re.sub(r"<[^>]*>", " ", m[2]))))
         if (span := re.search(r"(?i)\bcolspan\s*=\s*[\"']?(\d+)", m[1])) and int(span[1]) > 1:
             out += [""] * (int(span[1]) - 1)
     return out
