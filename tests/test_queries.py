@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from levylens.plans import loads  # noqa: F401  registers its queries
 from levylens.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
