@@ -196,7 +196,8 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list) -> DataFr
                 crc = [zlib.crc32(part.tokens(a, k).astype("<u4").tobytes()) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.index.column(0).combine_chunks(), pa.array(first + before), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    parts = spark.createDataFrame(rows, "path string, before long").repartition(max(1, len(rows)), "path")
+    listed = pa.table({"path": pa.array([p for p, _ in rows], pa.string()), "before": pa.array([n for _, n in rows], pa.int64())})
+    parts = spark.createDataFrame(listed).repartition(max(1, len(rows)), "path")  # through Arrow: no worker starts for it
     return parts.mapInArrow(read, schema)
 
 
