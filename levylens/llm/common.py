@@ -26,7 +26,7 @@ BLOCK_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one named in spark.checkpoint.dir (own temp folder if unset)."""
+    """A new folder below the shared one named in spark.checkpoint.dir (in local mode an own one if unset)."""
     return f"{_checkpoint_root(spark)}/levylens-{uuid.uuid4().hex}"
 
 
@@ -34,6 +34,8 @@ def _checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_levylens_root", None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="levylens-")
         sc._levylens_root = root
     if sc._jsc.sc().getCheckpointDir().isEmpty():
