@@ -24,33 +24,42 @@ RF = "00"
 def words_of(content: Column, stops: list[str], stem: bool) -> Column:
     """the words of a text as (pos, surface, term), without numbers, short words and stop words; places count all words."""
     plain = text.tokenize(content)
-    both = F.arrays_zip(plain.alias("surface"), (russian.stems_udf(plain) if stem else plain).alias("term"))
-    placed = F.transform(both, lambda w, i: F.struct(i.alias("pos"), w["surface"].alias("surface"), w["term"].alias("term")))
+    if stem:
+        both = F.arrays_zip(plain.alias("surface"), russian.stems_udf(plain).alias("term"))
+        placed = F.transform(both, lambda w, i: F.struct(i.alias("pos"), w["surface"].alias("surface"), w["term"].alias("term")))
+    else:
+        placed = F.transform(plain, lambda w, i: F.struct(i.alias("pos"), w.alias("surface"), w.alias("term")))
     left_out = lambda w: w["surface"].isin(stops or [""]) | w["term"].isin(stops or [""])
     return F.filter(placed, lambda w: ~F.regexp_like(w["surface"], F.lit("^[0-9-]+$")) & (F.length(w["surface"]) >= 3) & ~left_out(w))
 
 
-def pairs_of(words: Column) -> Column:
-    """Words that stood side by side, as words; a word left out between them parts them."""
-    after = lambda i: F.get(words, i + 1)
+def pairs_of(words: str) -> Column:
+    """Words of a column that stood side by side, as words; a word left out between them parts them."""
+    after = lambda i: F.get(F.col(words), i + 1)
     join = lambda w, i, name: F.concat(w[name], F.lit(" "), after(i)[name]).alias(name)
     found = F.transform(words, lambda w, i: F.when(after(i)["pos"] == w["pos"] + 1, F.struct(w["pos"].alias("pos"), join(w, i, "surface"), join(w, i, "term"))))
     return F.filter(found, lambda p: p.isNotNull())
 
 
-def _marked(words: Column, is_bigram: int) -> Column:
-    """The words by term, each with whether it is the text's first of its term."""
-    ordered = F.sort_array(F.transform(words, lambda w: F.struct(w["term"].alias("term"), w["surface"].alias("surface"))))
-    fresh = lambda w, i: ((i == 0) | (w["term"] != F.get(ordered, i - 1)["term"])).cast("int")
+def _by_term(words: Column) -> Column:
+    return F.sort_array(F.transform(words, lambda w: F.struct(w["term"].alias("term"), w["surface"].alias("surface"))))
+
+
+def _marked(ordered: str, is_bigram: int) -> Column:
+    """A column's words in order, each with whether it is the text's first of its term."""
+    fresh = lambda w, i: ((i == 0) | (w["term"] != F.get(F.col(ordered), i - 1)["term"])).cast("int")
     return F.transform(ordered, lambda w, i: F.struct(w["term"].alias("term"), w["surface"].alias("surface"), fresh(w, i).alias("first"), F.lit(is_bigram).alias("is_bigram")))
 
 
 def cells(texts: DataFrame, stops: list[str], unigrams: bool = True, bigrams: bool = True, stem: bool = True) -> DataFrame:
-    """A8 before the years: occurrences and texts of each term and surface by tax, region, payer and period; one exchange, after partial sums."""
+    """A8 before the years: occurrences and texts of each term and surface by tax, region, payer and period; one exchange, after partial sums.
+
+    What a lambda looks into is a column of the step before, so it is computed once a text and not once a word.
+    """
     listed = texts.select(*PERIOD, words_of(F.col("text"), stops, stem).alias("words"))
-    kinds = [_marked(F.col("words"), 0)] * unigrams + [_marked(pairs_of(F.col("words")), 1)] * bigrams
-    # the words are computed in a projection of their own, once for all that reads them
-    rows = listed.select(*PERIOD, F.explode(F.concat(*kinds)).alias("w")).select(*PERIOD, "w.*")
+    kinds = [("one", _by_term(F.col("words")), 0)] * unigrams + [("two", _by_term(pairs_of("words")), 1)] * bigrams
+    ordered = listed.select(*PERIOD, *(c.alias(name) for name, c, _ in kinds))
+    rows = ordered.select(*PERIOD, F.explode(F.concat(*(_marked(name, k) for name, _, k in kinds))).alias("w")).select(*PERIOD, "w.*")
     return rows.groupBy(*PERIOD, "term", "surface", "is_bigram").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
 
 
