@@ -14,7 +14,9 @@ result; a text of any length is written whole, across sequences.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,15 +33,30 @@ MANIFEST = "part int, path string, n_docs long, n_tokens long"
 ROWS_PER_BATCH = 256
 
 
+#: Fixed value: how the vocabulary this encoder knows the rules of cuts a text into pieces.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of Latin-1 letters, digits and ASCII marks, and their pieces by SPLIT; without "'" (contractions) and "<" (special tokens).
+PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]+")
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in prints)}
+
+
 class WordEncoder:
-    """Whole texts to ids with the tokenizers library, one call for each new word.
+    """Whole texts to ids with the tokenizers library, one call for each new word or piece.
 
     The vocabulary's normaliser and splitter never join what white space separates, so a text's ids
     are those of its words in turn. Words are lower-cased (A-Z) before the lookup as the vocabulary
     lower-cases anyway, unless the text may hold a special token, which is matched before that.
+    A new word whose normal form and pieces are plain goes to the library's merges piece by piece;
+    any other word, and any word under a vocabulary with other rules, takes the library's whole way.
     """
 
-    most = 400_000
+    most = 800_000  # words and pieces kept, some 200 bytes each
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,22 +65,46 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids of text, as self.dtype."""
-        words = (text if b"<|" in text else text.lower()).split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in self.known})
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, self.dtype).tobytes()
-            return b"".join(map(self.known.__getitem__, words))
+        self.merges, self.letters, self.plain = self.tokenizer.model, byte_letters(), self._cuts_as_known()
+        self.packed = [k.to_bytes(self.dtype.itemsize, "little") for k in range(self.tokenizer.get_vocab_size())]
+
+    def _cuts_as_known(self) -> bool:
+        rules = json.loads(self.tokenizer.to_str())
+        normal = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        first = (cuts[0].get("pattern") or {}).get("Regex") if cuts else None
+        return normal == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and first == SPLIT and not cuts[1]["add_prefix_space"]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, packed, merge, other = self.known, self.packed, self.merges.tokenize, []
+        for w in new:
+            word = w.decode().lower()
+            if not (self.plain and PLAIN.fullmatch(word)):
+                other.append(w)
+                continue
+            ids = []
+            for piece in PIECE.findall(word):
+                raw = piece.encode()
+                if (own := known.get(raw)) is None:
+                    spelt = piece if piece.isascii() else raw.decode("latin-1").translate(self.letters)
+                    own = known[raw] = b"".join([packed[t.id] for t in merge(spelt)])
+                ids.append(own)
+            known[w] = b"".join(ids)
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                known[w] = b"".join([packed[k] for k in e.ids])
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as self.dtype; the new words of all texts are learned first."""
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        seen = set().union(*words)
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = seen
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -172,7 +213,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         for block in common.blocks(batches):
             out = out or PartWriter(folder, name, enc.dtype, length)
-            out.add(block.ids.tolist(), [enc.encode(block.bytes_of(i)) + end for i in range(len(block.ids))])
+            out.add(block.ids.tolist(), [ids + end for ids in enc.encode([block.bytes_of(i) for i in range(len(block.ids))])])
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([out.n_docs]), pa.array([out.n_tokens])], ["part", "path", "n_docs", "n_tokens"])

@@ -68,6 +68,19 @@ def test_token_files(spark):
         start += len(ids)
 
 
+def test_word_encoder_matches_library_on_plain_and_other_words():
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(9)
+    tok, enc = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    assert enc.plain
+    letters = [*"aZé'<|>sß٣7²-.÷×ªµ", "É", "endoftext", "\u212b", "\u212a", "e\u0301", "İ", "ẞ", "Σ", "\xad", "'re", "\n", "\x0b", "\x1c", "\x85", "\xa0", " "]
+    words = ["".join(rng.choices(letters, k=rng.randint(0, 9))) for _ in range(5000)]
+    enc.most = 3000  # so that it forgets in between
+    got = [x for k in range(0, len(words), 100) for x in enc.encode([w.encode() for w in words[k : k + 100]])]
+    assert got == [np.array(tok.encode(w, add_special_tokens=False).ids, enc.dtype).tobytes() for w in words]
+
+
 def test_token_files_random_access(spark, tmp_path):
     path, folder = P.path("word_bpe_49k.json"), f"file://{tmp_path}"
     rows = ["one two three " * 50, "", "four"]
