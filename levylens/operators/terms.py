@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from levylens import session
 from levylens.functions import russian, text
 
 from . import norms
@@ -89,8 +90,13 @@ def display_forms(words: DataFrame, n: Column | None = None) -> DataFrame:
 
 
 def build_cube(texts: DataFrame, stops: list[str], last: int, top: int = 400, with_bigrams: bool = True, stem: bool = True) -> DataFrame:
-    """Q11's cube: unigrams and bigrams, with the sum over regions, pruned after it. Both uses of the cells read one exchange."""
-    counted = cells(texts, stops, bigrams=with_bigrams, stem=stem)
+    """Q11's cube: unigrams and bigrams, with the sum over regions, pruned after it.
+
+    The cells are kept in the checkpoint folder: their two uses prune and filter them differently, so
+    Spark would not share an exchange and would cut every text into words twice.
+    """
+    session.bind(texts.sparkSession)
+    counted = session.checkpointed(cells(texts, stops, bigrams=with_bigrams, stem=stem))
     years = F.size(F.col("years")).cast("long")
     # a surface counts once for each bucket that its text is in
     spread = counted.withColumn("years", norms.years_of(last))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def bind(spark: SparkSession) -> SparkSession:
@@ -14,3 +15,14 @@ def bind(spark: SparkSession) -> SparkSession:
     if top not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([top, *filter(None, paths)])
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept below spark.checkpoint.dir; in local mode a folder of the driver's where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if not root and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="levylens-"))
+    return df.checkpoint(eager=True)
