@@ -282,3 +282,56 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+# ---------------------------------------------------------------- blocks of documents that share a dictionary
+
+#: Bytes of text whose documents share a dictionary; a longer document has one of its own.
+SHARED_BYTES = 8 << 20
+
+
+def sealed(table: pa.Table) -> bytes:
+    """A table as one compressed value; opened() undoes it."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(value: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all()
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[0], start[0] + 1, ... of size[0], then those of the next slice, and so on."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def sums_of(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The sum of each slice from edge[i] to edge[i + 1]."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
+    return total[edge[1:]] - total[edge[:-1]]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written below the shared folder and read again."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with each row's place, from 1, under the order: one range exchange, and a count a partition.
+
+    Ties keep some order among themselves, so order must end in what tells rows apart.
+    """
+    spark = df.sparkSession
+    row, part, below = free_names(df, 3)
+    dealt = checkpointed(df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()))
+    dealt = dealt.withColumn(part, F.shiftright(row, 33)).withColumn(row, F.col(row).bitwiseAND((1 << 33) - 1))
+    counts = sorted(dealt.groupBy(part).count().collect())  # a row a partition
+    befores, total = [], 0
+    for p, n in counts:
+        befores.append((p, total))
+        total += n
+    return dealt.join(F.broadcast(spark.createDataFrame(befores, f"{part} long, {below} long")), part).withColumn(name, F.col(row) + F.col(below) + 1).drop(row, part, below)

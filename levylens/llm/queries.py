@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, common, decontamination, language_model, licenses, neighbours, repeats, sharding, shingle_join, token_files, toxicity
+from . import alignment, byte_bpe, common, decontamination, language_model, licenses, neighbours, repeats, sharding, shingle_join, token_files, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -65,5 +65,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_repeats, op3_language_model, op4_toxicity, op5_license_scan, op6_decontamination, op7_neighbours, op8_histogram_shards, op9_shingle_join, op10_byte_bpe)}
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_repeats, op3_language_model, op4_toxicity, op5_license_scan, op6_decontamination, op7_neighbours, op8_histogram_shards, op9_shingle_join, op10_byte_bpe, op11_align_tokenizers)}
 ORACLES: dict[str, str] = {"op5_license_scan": licenses.oracle()}
