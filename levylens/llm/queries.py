@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, byte_bpe, common, decontamination, language_model, licenses, neighbours, repeats, sharding, shingle_join, token_files, toxicity
+from . import alignment, byte_bpe, common, decontamination, importance, language_model, licenses, mixing, neighbours, repeats, sharding, shingle_join, token_files, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -69,5 +69,13 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_repeats, op3_language_model, op4_toxicity, op5_license_scan, op6_decontamination, op7_neighbours, op8_histogram_shards, op9_shingle_join, op10_byte_bpe, op11_align_tokenizers)}
-ORACLES: dict[str, str] = {"op5_license_scan": licenses.oracle()}
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_of(table(spark, sf_dir, "labels")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_repeats, op3_language_model, op4_toxicity, op5_license_scan, op6_decontamination, op7_neighbours, op8_histogram_shards, op9_shingle_join, op10_byte_bpe, op11_align_tokenizers, op12_mix_sources, op13_importance_resampling)}
+ORACLES: dict[str, str] = {"op5_license_scan": licenses.oracle(), "op12_mix_sources": mixing.oracle(), "op13_importance_resampling": importance.oracle()}
