@@ -87,3 +87,53 @@ def test_repeated_ids_stay_rows_of_their_own_in_any_number_of_blocks(spark, monk
     assert [w[:3] for w in want] == [(1, False, ()), (1, True, (4, 9)), (1, True, (4, 9)), (2, False, ())]
     monkeypatch.setattr(dc, "BLOCK_TOKENS", 10)
     assert sorted((r.doc_id, r.contaminated, tuple(r.item_ids), tuple(r.starts), tuple(r.lengths)) for r in dc.overlaps(d, b).collect()) == want
+
+
+def test_repetitive_texts_take_memory_of_their_size():
+    import resource
+    import time
+
+    table = dc.Table([7, 8, 9], ["a " * 2_000, "a b " * 1_000, "a " * 500 + "c " * 500])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert dc.find(common.one_block("x " + "a " * 20_000, "a b " * 9_000, "b " * 5_000), table) == [{7: (0, 2_000), 9: (0, 502)}, {8: (0, 2_000)}, {}]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000 and time.time() - began < 60
+
+
+def test_differences_of_many_places(monkeypatch):
+    rng = random.Random(3)
+    a, b = (dc.np.array(sorted(rng.sample(range(2_000), n))) for n in (300, 170))
+    want = sorted({int(x - y) for x in a for y in b})
+    assert dc.differences(a, b).tolist() == want
+    monkeypatch.setattr(dc, "HITS", 100)
+    assert dc.differences(a, b).tolist() == want
+
+
+def test_few_hits_at_once_give_the_same(spark, monkeypatch):
+    docs, items = case(6)
+    table = dc.Table(*zip(*[(i, t or "") for i, t in items]))
+    block = common.one_block(*[(t or "") + " " + (t or "") for _, t in docs if t is None or len(t) < 10_000])
+    whole = dc.find(block, table)
+    for few, hits in ((3, 5), (0, 1), (10_000, 2)):
+        monkeypatch.setattr(dc, "FEW", few)
+        monkeypatch.setattr(dc, "HITS", hits)
+        assert dc.find(block, table) == whole
+
+
+def test_the_first_of_several_longest_overlaps_counts():
+    said = "one two three four five six seven eight nine ten eleven twelve"
+    table = dc.Table([1], [said])
+    assert dc.find(common.one_block(f"x {said} y {said} z {said}"), table) == [{1: (1, 12)}]
+    assert dc.find(common.one_block(f"{said[8:]} . {said} and {said}"), table) == [{1: (10, 12)}]
+
+
+@pytest.mark.parametrize("least,altered", [(5, 0), (3, 0), (3, 1), (2, 1), (1, 0), (6, 2)])
+def test_limits_of_short_items_are_parameters(least, altered):
+    rules = dc.Rules(least, dc.SHARE, altered)
+    rng = random.Random(least)
+    items = [[f"w{rng.randrange(40)}" for _ in range(n)] for n in range(1, 10)]
+    table = dc.Table(list(range(1, 10)), [" ".join(x) for x in items], rules)
+    for n, item in enumerate(items, 1):
+        for away in range(n + 1):
+            for at in itertools.islice(itertools.combinations(range(n), away), 40):
+                got = dc.find(common.one_block("before " + " ".join("zz" if k in at else w for k, w in enumerate(item)) + " after"), table)[0]
+                assert (n in got) == (n >= least and n > altered >= away), (n, at)
