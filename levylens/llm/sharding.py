@@ -1,17 +1,20 @@
 """Operator 8: sharding by histogram sort.
 
-Rows are ordered by a path, the hex digits of a hash of the text and then of the id, so equal texts
-lie side by side. Splitters are wanted where the bytes (or rows) before them reach j/n of all. Each
-round counts, in one pass, the exact bytes and rows of the 256 children of every open probe's prefix,
-and narrows each probe to the child that holds its target, until the child is one path. Then the rows
-are dealt to ranges once, and each range numbers its own rows: the histogram has the count before it.
+Rows are ordered by a path, the hex digits of a hash of the text, of the id and of a number that tells
+equal rows apart, so equal texts lie side by side. Splitters are wanted where the bytes (or rows) before
+them reach j/n of all. Each round counts, in one pass, the exact bytes and rows of the 256 children of
+every open probe's prefix, and narrows each probe to the child that holds its target: those between
+shards until the child is one path, or weighs no more than `tolerance` of a shard; those that only share
+a shard out among tasks until it weighs no more than LOOSE of a range. Then the rows are dealt to ranges
+once, and each range numbers its own rows: the histogram has the count before it.
 
-A splitter falls between two paths, so shards differ from the mean by less than the largest document.
-Only counts of at most 256 children a probe reach the driver, whatever the size of the input.
+A splitter falls between two paths, so shards differ from the mean by less than the largest document,
+and by less than a row under the law of rows, if the tolerance is 0. There are as many ranges as shuffle
+partitions; at most 256 children for each of them reach the driver.
 
 Defined cases: a null text has no bytes and size 1; a row without doc_id takes no part; a repeated
-(doc_id, text) row shares its copy's shard and has a slot of its own; an empty table gives no rows;
-fewer rows than shards leave shards empty.
+(doc_id, text) row has a path and a slot of its own beside its copy's; an empty table gives no rows;
+fewer rows than shards leave shards empty; texts of any length are one row.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Hex digits by which a probe's prefix grows in a round, and digits of a path.
-STEP, DIGITS = 2, 32
-#: Ranges in all, at most; more would only cost time for each row.
-MOST_RANGES = 256
+#: Hex digits by which a probe's prefix grows in a round.
+STEP = 2
+#: What a range inside a shard may weigh more than wanted, as a share of it.
+LOOSE = 0.25
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -37,12 +40,16 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.concat(digits(F.xxhash64(text)), digits(F.col("doc_id").cast("long"))).alias("path"),
+        F.concat(digits(F.xxhash64(text)), digits(F.col("doc_id").cast("long")), digits(F.monotonically_increasing_id())).alias("path"),
     )
 
 
-def splitters(rows: DataFrame, weight: Column, ranges: int) -> list[tuple[str, int]]:
-    """For j from 1 to ranges - 1: the least path at which the weight up to and with it exceeds j/ranges of all, and the rows below it."""
+def splitters(rows: DataFrame, weight: Column, ranges: int, each: int = 1, tolerance: float = 0.0) -> list[tuple[str, int]]:
+    """For j from 1 to ranges - 1: a path at which the weight below reaches j/ranges of all, and the rows below it.
+
+    Every each-th is the least path at which the weight up to and with it exceeds that, or one that is
+    less than tolerance * each ranges of weight before it; the others are LOOSE ranges off at most.
+    """
     total = rows.agg(F.sum(weight)).first()[0]
     if not total:
         return []
@@ -62,7 +69,7 @@ def splitters(rows: DataFrame, weight: Column, ranges: int) -> list[tuple[str, i
                 if (w + r.w) * ranges > total * j:
                     break
                 w, n = w + r.w, n + r.n
-            if r.least == r.most:
+            if r.least == r.most or r.w * ranges <= total * (LOOSE if j % each else tolerance * each):
                 found[j] = (r.least, n)
                 del probes[j]
             else:
@@ -70,16 +77,24 @@ def splitters(rows: DataFrame, weight: Column, ranges: int) -> list[tuple[str, i
     return [found[j] for j in range(1, ranges)]
 
 
-def shard(docs: DataFrame, shards: int = 16, law: str = "bytes") -> DataFrame:
+def range_of(path: Column, cuts: list[str]) -> Column:
+    """How many of the cuts, which are in order, are not above the path: a binary search."""
+    if not cuts:
+        return F.lit(0)
+    paths, top = F.array(*map(F.lit, cuts)), 1 << (len(cuts).bit_length() - 1)
+    steps = F.array(*(F.lit(top >> k) for k in range(top.bit_length())))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(paths, at + step - 1) <= path, at + step).otherwise(at))
+
+
+def shard(docs: DataFrame, shards: int = 16, law: str = "bytes", tolerance: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row; law is bytes or rows."""
     weight = {"bytes": F.col("size"), "rows": F.lit(1)}[law]
     rows = common.checkpointed(keyed(docs))
-    each = max(1, min(math.ceil(common.shuffle_partitions(docs.sparkSession) / shards), MOST_RANGES // shards))
-    cuts = splitters(rows, weight, shards * each)
-    paths = F.array(*[F.lit(p) for p, _ in cuts]) if cuts else F.array().cast("array<string>")
+    each = max(1, math.ceil(common.shuffle_partitions(docs.sparkSession) / shards))
+    cuts = splitters(rows, weight, shards * each, each, tolerance)
     below = [0, *(n for _, n in cuts)]
     before = F.array(*[F.lit(n - below[i // each * each]).cast("long") for i, n in enumerate(below)])
-    dealt = rows.withColumn("range", F.size(F.filter(paths, lambda p: p <= F.col("path"))))
+    dealt = rows.withColumn("range", range_of(F.col("path"), [p for p, _ in cuts]))
     at = F.row_number().over(Window.partitionBy("range").orderBy("path")) - 1
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit(law).alias("law"),

@@ -38,6 +38,47 @@ def test_shards_ties_and_few_rows(spark):
     assert sharding.shard(docs(spark, rows).where("doc_id > 99")).count() == 0
 
 
+@pytest.mark.parametrize("law,partitions", [("bytes", 4), ("rows", 4), ("bytes", 100), ("rows", 100)])
+def test_shards_are_those_of_a_sort(spark, law, partitions):
+    import xxhash
+
+    rows = [(i * 7 - 900, "same" if i % 4 == 0 else "y" * 40_000 if i == 33 else f"t{i} " * (i % 30)) for i in range(700)]
+    path = lambda i, t: f"{xxhash.xxh64_intdigest(t.encode(), 42):016X}{i % (1 << 64):016X}"
+    order = sorted(rows, key=lambda r: path(*r))
+    weight = [len(t) + 1 if law == "bytes" else 1 for _, t in order]
+    want, slots, done = {}, [0] * 16, 0
+    for (i, _), w in zip(order, weight):
+        done += w
+        k = min(15, (done * 16 - 1) // sum(weight))
+        want[i] = (k, slots[k])
+        slots[k] += 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs(spark, rows), 16, law).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_repeated_rows_keep_the_law(spark):
+    rows = [(7, "a")] * 40 + [(100 + i, f"b{i}") for i in range(40)]
+    for law in ("rows", "bytes"):
+        got = sharding.shard(docs(spark, rows), 16, law).collect()
+        counts = [sum(r.shard == k for r in got) for k in range(16)]
+        weights = [sum(r.size if law == "bytes" else 1 for r in got if r.shard == k) for k in range(16)]
+        assert set(counts) == {5} if law == "rows" else max(weights) - min(weights) <= 4
+        assert all(sorted(r.slot for r in got if r.shard == k) == list(range(counts[k])) for k in range(16))
+
+
+def test_a_tolerance_ends_probes_early(spark):
+    rows = [(i, f"text {i}") for i in range(3_000)]
+    sizes = {}
+    for r in sharding.shard(docs(spark, rows), 16, "bytes", tolerance=0.2).collect():
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and all(abs(v - mean) <= 0.4 * mean for v in sizes.values())
+
+
 LICENSE_ROWS = [
     (0, None),
     (1, ""),
