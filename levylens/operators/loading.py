@@ -1,16 +1,20 @@
 """Named records of norm files, records of exports and rows of form files, to the domain's tables.
 
-Regions and taxes are resolved over distinct values against the dimensions; what cannot be resolved
-comes out as misses beside the norms. Everything stays one lazy plan over all files.
+Records are read once: they are written below the shared folder with what they say of region, tax and
+payer, which automata of the dimensions find within each row. What remains, the learned prefixes and the
+split into rates, benefits and misses, reads only columns of that. Misses come out beside the norms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from levylens import session
 from levylens.functions import russian, text
 
 from . import resolve
@@ -29,14 +33,34 @@ TITLE_ROWS, MISS_CHARS = 25, 80
 
 @dataclass
 class Loaded:
-    """Rates, benefits, and misses (reason, value) of what was read."""
+    """Rates, benefits, and misses (reason, value) of what was read, votes for prefixes with those of runs before, and the number of records."""
 
     rates: DataFrame
     benefits: DataFrame
     misses: DataFrame
+    votes: DataFrame | None
+    rows_read: int
+    marked: tuple[DataFrame, DataFrame]  # rates and benefits, each row with whether it is its record's first
 
 
-def validity(period: Column, date_from: Column, date_to: Column, act_date: Column, default_year: int | None, this_year: int) -> list[Column]:
+def observed(rows: DataFrame, write: Callable[[DataFrame], None], *more: Column) -> dict[str, int]:
+    """write(rows), and the number of rows it wrote with further aggregates, counted while it does."""
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("n"), *more))
+    return seen.get
+
+
+def save(loaded: Loaded, rates: Callable[[DataFrame], None], benefits: Callable[[DataFrame], None], most: int = 20) -> dict:
+    """Writes both by the given functions and returns what a log entry states: rows_read, rates, benefits, skipped (records that gave neither) and the first unmapped values.
+
+    The counts are observed while the rows are written; the records are not read again.
+    """
+    one, two = (observed(rows, lambda x, write=write: write(x.drop("first")), F.count_if("first").alias("records")) for rows, write in zip(loaded.marked, (rates, benefits), strict=True))
+    listed = loaded.misses.groupBy("reason").agg(F.slice(F.array_sort(F.collect_set("value")), 1, most).alias("v")).collect() if loaded.misses.limit(1).count() else []
+    return {"rows_read": loaded.rows_read, "rates": one["n"], "benefits": two["n"], "skipped": loaded.rows_read - one["records"] - two["records"], "unmapped_regions": [], "unmapped_taxes": []} | {r.reason: r.v for r in listed}
+
+
+def validity(period: Column, date_from: Column, date_to: Column, act_date: Column, default_year: int | None, this_year: int | None) -> list[Column]:
     """year, year_from and year_to. A year that is named fills both ends that no date gives; without one the first date's year, or the act's; an end over 51 years ahead is none."""
     named = text.parse_year(period)
     of = lambda c: F.substring(text.parse_date(c), 1, 4).cast("int")
@@ -44,64 +68,84 @@ def validity(period: Column, date_from: Column, date_to: Column, act_date: Colum
     end = F.coalesce(of(date_to), named)
     default = F.lit(default_year).cast("int")
     year = F.coalesce(named, start, default)
-    return [year.alias("year"), F.coalesce(start, default).alias("year_from"), F.when(end <= this_year + text.FAR_YEARS, end).alias("year_to")]
+    return [year.alias("year"), F.coalesce(start, default).alias("year_from"), F.when(end <= (F.year(F.current_date()) if this_year is None else F.lit(this_year)) + text.FAR_YEARS, end).alias("year_to")]
+
+
+def first_payer(columns: list[str]) -> Column:
+    """Of columns that each hold a payer, the first that is not all."""
+    return F.coalesce(*(F.nullif(c, F.lit("all")) for c in columns), F.lit("all"))
 
 
 def payer_of(rows: DataFrame, columns: list[str], name: str = "payer") -> DataFrame:
     """F16 over several texts: the first that names a payer decides."""
-    for k, c in enumerate(columns):
-        rows = russian.over_distinct(rows, c, russian.payer_udf, f"payer{k}_")
-    own = [F.nullif(f"payer{k}_", F.lit("all")) for k in range(len(columns))]
-    return rows.withColumn(name, F.coalesce(*own, F.lit("all"))).drop(*(f"payer{k}_" for k in range(len(columns))))
+    session.bind(rows.sparkSession)
+    own = [f"payer{k}_" for k in range(len(columns))]
+    said = rows.select("*", *(russian.payer(F.col(c)).alias(k) for c, k in zip(columns, own, strict=True)))
+    return said.withColumn(name, first_payer(own)).drop(*own)
 
 
 def _missed(rows: DataFrame, reason: str, value: Column) -> DataFrame:
     return rows.select(F.lit(reason).alias("reason"), F.substring(value, 1, MISS_CHARS).alias("value")).where("value <> ''")
 
 
-def norms(records: DataFrame, region: DataFrame, alias: DataFrame, tax: str | None = None, default_year: int | None = None, this_year: int = 2026, source: Column | None = None) -> Loaded:
-    """Records with some of FIELDS to rates and benefits. A record gives a rate if it names an object or a rate, a benefit if it has a category, a kind or a size, and nothing if its region or tax stays unknown."""
-    rows = records.select(*(text.clean(F.col(c)).alias(c if c != "region_code" else "raw_code") if c in records.columns else F.lit("").alias(c if c != "region_code" else "raw_code") for c in FIELDS), (source if source is not None else F.lit("")).alias("source_file"))
-    rows = resolve.regions(rows, region, "raw_code", "region_name", "oktmo")
-    no_region = _missed(rows.where("region_code IS NULL"), "unmapped_regions", F.coalesce(F.nullif("region_name", F.lit("")), "raw_code"))
-    rows = rows.where("region_code IS NOT NULL")
+def norms(records: DataFrame, region: DataFrame, alias: DataFrame, tax: str | None = None, default_year: int | None = None, this_year: int | None = None, source: Column | None = None, votes: DataFrame | None = None) -> Loaded:
+    """Records with some of FIELDS to rates and benefits. A record gives a rate if it names an object or a rate, a benefit if it has a category, a kind or a size, and nothing if its region or tax stays unknown.
+
+    votes: what earlier runs have learned of municipal codes' beginnings, as Loaded has it. this_year is by default the present one.
+    """
+    named = lambda c: c if c != "region_code" else "raw_code"
+    rows = records.select(*(text.clean(F.col(c)).alias(named(c)) if c in records.columns else F.lit("").alias(named(c)) for c in FIELDS), (source if source is not None else F.lit("")).alias("source_file"))
+    rows = resolve.placed(rows, region, "raw_code", "region_name")
     rows = rows.withColumn("tax_code", F.lit(tax)) if tax else resolve.by_alias(rows, alias, "tax_name")
-    no_tax = _missed(rows.where("tax_code IS NULL"), "unmapped_taxes", F.col("tax_name"))
-    rows = rows.where("tax_code IS NOT NULL")
+    spoken = ["payer_text", "object_name", "benefit_category", "benefit_kind"]
+    rows = rows.select("*", *(russian.payer(F.col(c)).alias(f"{c}_payer") for c in spoken))
+    seen = Observation()
+    session.bind(records.sparkSession)
+    rows = session.kept(rows.observe(seen, F.count(F.lit(1)).alias("n")))
+    votes = resolve.votes_of(rows, "oktmo", "region_code", votes)
+    rows = resolve.by_prefix_vote(rows, "oktmo", "region_code", votes=votes)
+    no_region = _missed(rows.where("region_code IS NULL"), "unmapped_regions", F.coalesce(F.nullif("region_name", F.lit("")), "raw_code"))
+    no_tax = _missed(rows.where("region_code IS NOT NULL AND tax_code IS NULL"), "unmapped_taxes", F.col("tax_name"))
+    rows = rows.where("region_code IS NOT NULL AND tax_code IS NOT NULL")
     bounds = validity(*(F.col(c) for c in ("period_year", "date_from", "date_to", "npa_date")), default_year, this_year)
     rows = rows.select("*", *bounds, text.parse_date(F.col("date_from")).alias("period_from"), text.parse_date(F.col("date_to")).alias("period_to")).withColumn("npa_date", text.parse_date(F.col("npa_date")))
     flags = text.flags_for(F.col("payer"))
-    rates = payer_of(rows.where("rate_value <> '' OR object_name <> ''"), ["payer_text", "object_name"]).select("*", *flags)
+    is_rate, is_benefit = F.expr("rate_value <> '' OR object_name <> ''"), F.expr("benefit_category <> '' OR benefit_kind <> '' OR benefit_size <> ''")
+    rates = rows.where(is_rate).withColumn("first", F.lit(True)).withColumn("payer", first_payer(["payer_text_payer", "object_name_payer"])).select("*", *flags)
     rates = rates.withColumn("rate_text", F.col("rate_value")).withColumn("rate_value", text.parse_number(F.col("rate_text"))).withColumn("object_group", F.substring_index("object_name", ":", 1))
-    benefits = payer_of(rows.where("benefit_category <> '' OR benefit_kind <> '' OR benefit_size <> ''"), ["payer_text", "benefit_category", "benefit_kind"]).select("*", *flags)
-    named = {"category": "benefit_category", "kind": "benefit_kind", "size_text": "benefit_size", "size_unit": "benefit_unit"}
-    benefits = benefits.select("*", *(F.col(c).alias(n) for n, c in named.items()), text.parse_number(F.col("benefit_size")).alias("size_value"))
-    return Loaded(rates.select(*RATE), benefits.select(*BENEFIT), no_region.unionByName(no_tax).distinct())
+    benefits = rows.where(is_benefit).withColumn("first", ~is_rate).withColumn("payer", first_payer(["payer_text_payer", "benefit_category_payer", "benefit_kind_payer"])).select("*", *flags)
+    called = {"category": "benefit_category", "kind": "benefit_kind", "size_text": "benefit_size", "size_unit": "benefit_unit"}
+    benefits = benefits.select("*", *(F.col(c).alias(n) for n, c in called.items()), text.parse_number(F.col("benefit_size")).alias("size_value"))
+    return Loaded(rates.select(*RATE), benefits.select(*BENEFIT), no_region.unionByName(no_tax).distinct(), votes, seen.get["n"], (rates.select(*RATE, "first"), benefits.select(*BENEFIT, "first")))
 
 
 def norms_of_export(export: DataFrame, listed: DataFrame, region: DataFrame, alias: DataFrame, tax: str | None = None, source: Column | None = None) -> Loaded:
-    """Records of an export (attrs, tr, tb) with its dictionary (id, value) to rates and benefits. Regions and taxes are resolved once for each id; a value's code stands before its first hyphen."""
+    """Records of an export (attrs, tr, tb) with its dictionary (id, value) to rates and benefits. Regions and taxes are resolved once for each id; a value's code stands before its first hyphen. If both have a column file, each file's ids are its own, and it names the source."""
+    own = ["file"] * ("file" in export.columns and "file" in listed.columns)
     at = lambda name: F.try_element_at("attrs", F.lit(name))
     either = lambda m, a, b: F.coalesce(F.nullif(F.try_element_at(m, F.lit(a)), F.lit("")), F.try_element_at(m, F.lit(b)))
-    rows = export.withColumn("region_id", F.coalesce(at("Region_ID"), F.lit(""))).withColumn("tax_id", F.coalesce(at("Nalog_ID"), F.lit("")))
-    value = lambda ids: rows.select(F.col(ids).alias("id")).distinct().join(listed, "id", "left").withColumn("known", F.coalesce("value", F.lit("?"))).withColumn("value", F.coalesce("value", "id"))
+    seen = Observation()
+    source = source if source is not None else F.element_at(F.split("file", "/"), -1) if own else F.lit("")
+    rows = session.kept(export.select(*own, "attrs", "tr", "tb", F.coalesce(at("Region_ID"), F.lit("")).alias("region_id"), F.coalesce(at("Nalog_ID"), F.lit("")).alias("tax_id"), source.alias("source_file")).observe(seen, F.count(F.lit(1)).alias("n")))
+    listed = session.kept(listed.select(*own, "id", "value"))
+    value = lambda ids: rows.select(*own, F.col(ids).alias("id")).distinct().join(listed, [*own, "id"], "left").withColumn("known", F.coalesce("value", F.lit("?"))).withColumn("value", F.coalesce("value", "id"))
     parts = F.split("value", "-", 2)
-    places = value("region_id").withColumn("raw", F.trim(parts[0])).withColumn("name", F.coalesce(F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")), "value")).withColumn("none", F.lit(None).cast("string"))
-    places = resolve.regions(places, region, "raw", "name", "none").select(F.col("id").alias("region_id"), "region_code", F.col("known").alias("region_said"))
+    places = value("region_id").withColumn("raw", F.trim(parts[0])).withColumn("name", F.coalesce(F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")), "value"))
+    places = resolve.placed(places, region, "raw", "name").select(*own, F.col("id").alias("region_id"), "region_code", F.col("known").alias("region_said"))
     taxes = value("tax_id")
-    taxes = (taxes.withColumn("tax_code", F.lit(tax)) if tax else resolve.by_alias(taxes, alias, "value")).select(F.col("id").alias("tax_id"), "tax_code", F.col("known").alias("tax_said"))
-    rows = rows.join(places, "region_id", "left").join(taxes, "tax_id", "left")
+    taxes = (taxes.withColumn("tax_code", F.lit(tax)) if tax else resolve.by_alias(taxes, alias, "value")).select(*own, F.col("id").alias("tax_id"), "tax_code", F.col("known").alias("tax_said"))
+    rows = rows.join(resolve.dimension(session.kept(places)), [*own, "region_id"], "left").join(resolve.dimension(session.kept(taxes)), [*own, "tax_id"], "left")
     misses = _missed(rows.where("region_code IS NULL"), "unmapped_regions", F.col("region_said")).unionByName(_missed(rows.where("region_code IS NOT NULL AND tax_code IS NULL"), "unmapped_taxes", F.col("tax_said")))
     year = text.parse_year(F.coalesce(at("TaxPeriod"), F.lit("")))
     rows = rows.where("region_code IS NOT NULL AND tax_code IS NOT NULL").select(
         year.alias("year"), year.alias("year_from"), year.alias("year_to"), "region_code", "tax_code", text.clean(either("attrs", "Oktmo_ID", "Oktmo")).alias("oktmo"), text.clean(at("MunObraz")).alias("mo_name"),
         text.clean(at("LawDoc")).alias("npa_name"), text.clean(at("LawNum")).alias("npa_number"), text.parse_date(F.coalesce(at("LawDate"), F.lit(""))).alias("npa_date"), text.clean(at("LawOrgan")).alias("npa_authority"),
-        F.lit(None).cast("string").alias("period_from"), F.lit(None).cast("string").alias("period_to"), (source if source is not None else F.lit("")).alias("source_file"), "tr", "tb",
+        F.lit(None).cast("string").alias("period_from"), F.lit(None).cast("string").alias("period_to"), "source_file", "tr", "tb",
     )
     child = lambda name: text.clean(F.try_element_at("child", F.lit(name)))
 
     def flagged(nested: str) -> DataFrame:
-        each = rows.withColumn("child", F.explode(nested))
+        each = rows.select("*", F.posexplode(nested).alias("pos", "child")).withColumn("first", (F.col("pos") == 0) & (F.lit(nested == "tr") | (F.size("tr") == 0)))
         flags = text.payer_flags(F.col("child"))
         return each.select("*", *(flags[k].alias(f"for_{k}") for k in ("fl", "ul", "ip"))).withColumn("payer", text.payer_from_flags(F.col("for_fl"), F.col("for_ul"), F.col("for_ip")))
 
@@ -109,16 +153,17 @@ def norms_of_export(export: DataFrame, listed: DataFrame, region: DataFrame, ali
     rates = rates.withColumn("object_group", text.object_group(F.col("object_name"))[0]).withColumn("rate_value", text.parse_number(F.col("rate_text")))
     benefits = flagged("tb").withColumn("category", child("Category")).withColumn("amount", child("Amount")).withColumn("size_unit", child("Unit")).withColumn("condition", child("Condition")).withColumn("basis", text.clean(either("child", "Base", "LawArticle")))
     benefits = benefits.withColumn("kind", text.benefit_kind(F.col("amount"), F.col("size_unit"))).withColumn("size_text", F.trim(F.concat("amount", F.lit(" "), "size_unit"))).withColumn("size_value", text.parse_number(F.col("amount")))
-    return Loaded(rates.select(*RATE), benefits.select(*BENEFIT), misses.distinct())
+    return Loaded(rates.select(*RATE), benefits.select(*BENEFIT), misses.distinct(), None, seen.get["n"], (rates.select(*RATE, "first"), benefits.select(*BENEFIT, "first")))
 
 
 # ---------------------------------------------------------------- forms
 
 
 def _title_cells(rows: DataFrame) -> DataFrame:
-    """file, at and cell of the first rows of each table."""
+    """file, at and cell of the first rows of each table, tables in their order where rows have it."""
+    sheet = [c for c in ("table_at", "table") if c in rows.columns]
     top = rows.where(F.col("row_idx") < TITLE_ROWS)
-    return top.select("file", "table", "row_idx", F.posexplode("cells").alias("pos", "cell")).select("file", F.struct("table", "row_idx", "pos").alias("at"), text.clean(F.col("cell")).alias("cell")).where("cell <> ''")
+    return top.select("file", *sheet, "row_idx", F.posexplode("cells").alias("pos", "cell")).select("file", F.struct(*sheet, "row_idx", "pos").alias("at"), text.clean(F.col("cell")).alias("cell")).where("cell <> ''")
 
 
 def path_parts(path: Column) -> Column:
@@ -156,20 +201,41 @@ def guess_regions(rows: DataFrame, region: DataFrame) -> DataFrame:
     return rows.select("file").distinct().join(best, "file", "left").join(said, "file", "left").select("file", F.coalesce("of_path", "said").alias("region_code"))
 
 
+def guess_places(rows: DataFrame, region: DataFrame) -> DataFrame:
+    """file, year and region_code of each file, from its path and its first rows, which are written once."""
+    top = session.kept(rows.where(F.col("row_idx") < TITLE_ROWS))
+    return guess_years(top).join(guess_regions(top, region), "file")
+
+
 def forms(rows: DataFrame, codes: DataFrame, region: DataFrame, tax: str, year: int | None = None, region_code: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """R8 for whole files: raw rows to facts, and a problem for each file that gives none. codes: tax_code, year, payer, row_code, col_index, indicator_id."""
+    """R8 for whole files: raw rows to facts, and a problem for each file that gives none. codes: tax_code, year, payer, row_code, col_index, indicator_id.
+
+    The rows are written once with clean cells, and what the files are a row a file.
+    """
+    rows = session.kept(rows.withColumn("cells", F.transform("cells", text.clean)))
     files = rows.select("file").distinct()
-    files = files.withColumn("year", F.lit(year)) if year is not None else files.join(guess_years(rows), "file", "left")
+    files = files.withColumn("year", F.lit(year)) if year is not None else guess_years(rows)
     files = files.withColumn("region_code", F.lit(region_code)) if region_code is not None else files.join(guess_regions(rows, region), "file", "left")
+    files = resolve.dimension(session.kept(files))
     mine = codes.where(F.col("tax_code") == tax)
     placed = rows.join(files.where("year IS NOT NULL AND region_code IS NOT NULL"), "file")
-    found = resolve.by_row_code(placed.withColumn("cells", F.transform("cells", text.clean)), mine, ["year"]).join(files.select("file", "region_code"), "file")
-    facts = found.select("year", "region_code", F.lit(tax).alias("tax_code"), "indicator_id", "payer", "value", F.element_at(F.split("file", "/"), -1).alias("source_file"))
-    state = files.join(mine.select("year").distinct().withColumn("mapped", F.lit(True)), "year", "left").join(found.groupBy("file").agg(F.count(F.lit(1)).alias("values")), "file", "left")
+    found = session.kept(resolve.by_row_code(placed, mine, ["year"]))
+    facts = found.join(files.select("file", "region_code"), "file").select("year", "region_code", F.lit(tax).alias("tax_code"), "indicator_id", "payer", "value", F.element_at(F.split("file", "/"), -1).alias("source_file"))
+    state = files.join(F.broadcast(mine.select("year").distinct().withColumn("mapped", F.lit(True))), "year", "left").join(found.groupBy("file").agg(F.count(F.lit(1)).alias("values")), "file", "left")  # years are few
     problem = F.when(F.col("year").isNull(), "no year").when(F.col("region_code").isNull(), "no region").when(F.col("mapped").isNull(), "no codes for the year").when(F.col("values").isNull(), "no known code")
     return facts, state.select("file", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def form_stats(rows: DataFrame, facts: DataFrame, problems: DataFrame, codes: DataFrame, most: int = 20) -> DataFrame:
+    """For each file rows_read, values, its problem and, where it has no known code, the first cells that look like one."""
+    read = rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows_read"))
+    saved = facts.groupBy(F.col("source_file").alias("name")).agg(F.count(F.lit(1)).alias("values"))
+    lost = rows.join(problems.where("problem = 'no known code'").select("file"), "file", "left_semi").select("file", F.explode("cells").alias("cell")).withColumn("cell", text.clean(F.col("cell")))
+    unknown = lost.where(F.regexp_like("cell", F.lit(r"^\d{3,4}$"))).distinct().withColumn("bare", resolve.bare_code(F.col("cell"))).join(codes.select(resolve.bare_code(F.col("row_code")).alias("bare")), "bare", "left_anti")
+    first = unknown.withColumn("at", F.row_number().over(Window.partitionBy("file").orderBy("cell"))).where(F.col("at") <= most).groupBy("file").agg(F.array_sort(F.collect_list("cell")).alias("unknown_codes"))
+    return read.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(saved, "name", "left").join(problems, "file", "left").join(first, "file", "left").select("file", "rows_read", F.coalesce("values", F.lit(0)).alias("values"), "problem", F.coalesce("unknown_codes", F.array().cast("array<string>")).alias("unknown_codes"))
+
+
 def replace_slices(old: DataFrame, new: DataFrame) -> DataFrame:
     """K2: the facts with every (year, region, tax) that new has taken from new alone."""
     slice_ = ["year", "region_code", "tax_code"]

@@ -130,12 +130,15 @@ def export_benefits(d: Domain) -> DataFrame:
 
 
 def _form_rows(d: Domain) -> DataFrame:
-    """A file for each nation, its region in the name of every second, else in a title."""
+    """A file of two sheets for each nation, its region in the name of every second, else in a title. The eighth has no year, the ninth no region, the tenth no known code; each fifth row lacks its second number."""
     c, k = d.table("customer").join(d.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")), F.col("c_custkey")
     n = F.col("c_nationkey")
-    file = F.concat(F.lit("/in/"), (2010 + n % 4).cast("string"), F.lit("/5tn_"), F.when(n % 2 == 0, Domain.code(n)).otherwise("x"), F.lit("_f"), (n + 100).cast("string"), F.lit("q.xlsx"))
-    body = c.select(file.alias("file"), F.lit("1").alias("table"), (k + 30).alias("row_idx"), F.array("c_name", F.concat(F.lit("0"), (100 * (k % 4 + 1)).cast("string")), k.cast("string"), F.concat((k * 2).cast("string"), F.lit(",0"))).alias("cells"))
-    title = c.select(file.alias("file"), F.lit("1").alias("table"), F.lit(0).cast("long").alias("row_idx"), F.array(F.lit("по форме"), F.concat(F.lit("по "), F.initcap("n_name"))).alias("cells")).distinct()
+    year = F.when(n == 8, "x").otherwise((2010 + n % 4).cast("string"))
+    file = F.concat(F.lit("/in/"), year, F.lit("/5tn_"), F.when(n % 2 == 0, Domain.code(n)).otherwise("x"), F.lit("_f"), (n + 100).cast("string"), F.lit("q.xlsx"))
+    code = F.concat(F.lit("0"), (F.when(n == 10, 500).otherwise(100) * (k % 4 + 1)).cast("string"))
+    numbers = F.when(k % 5 == 0, F.array(k.cast("string"))).otherwise(F.array(k.cast("string"), F.concat((k * 2).cast("string"), F.lit(",0"))))
+    body = c.select(file.alias("file"), F.when(k % 2 == 0, "second").otherwise("first").alias("table"), (k % 2).cast("int").alias("table_at"), (k + 30).alias("row_idx"), F.concat(F.array("c_name", code), numbers).alias("cells"))
+    title = c.select(file.alias("file"), F.lit("second").alias("table"), F.lit(0).alias("table_at"), F.lit(0).cast("long").alias("row_idx"), F.array(F.lit("по форме"), F.concat(F.lit("по "), F.when(n == 9, "форме").otherwise(F.initcap("n_name")))).alias("cells")).distinct()
     return body.unionByName(title)
 
 
@@ -148,11 +151,12 @@ def _codes(d: Domain) -> DataFrame:
     return d.spark.createDataFrame(rows, "tax_code string, year int, payer string, row_code string, col_index int, indicator_id int")
 
 
-_FORM = f"""f_ AS (SELECT c_custkey AS k, c_nationkey AS n, 2010 + c_nationkey % 4 AS year, {CODE.format('c_nationkey')} AS region_code, c_custkey % 4 + 1 AS ind FROM customer)"""
+_FORM = f"""f_ AS (SELECT c_custkey AS k, c_nationkey AS n, CASE WHEN c_nationkey <> 8 THEN 2010 + c_nationkey % 4 END AS year, CASE WHEN c_nationkey <> 9 THEN {CODE.format('c_nationkey')} END AS region_code, c_custkey % 4 + 1 AS ind, c_nationkey <> 10 AS known FROM customer)"""
 
 
 @query(
-    """SELECT CAST(year AS INT) AS year, region_code, 'tn' AS tax_code, CAST(ind AS INT) AS indicator_id, payer, CAST(max(k * CASE payer WHEN 'ul' THEN 1 ELSE 2 END) AS DOUBLE) AS value FROM f_, (VALUES ('ul'), ('fl')) p(payer) WHERE year < 2013 AND ind < 4 GROUP BY ALL""",
+    """SELECT CAST(year AS INT) AS year, region_code, 'tn' AS tax_code, CAST(ind AS INT) AS indicator_id, payer, CAST(arg_max(k * CASE payer WHEN 'ul' THEN 1 ELSE 2 END, (k % 2) * 1000000000 + k) AS DOUBLE) AS value
+    FROM f_, (VALUES ('ul'), ('fl')) p(payer) WHERE year < 2013 AND region_code IS NOT NULL AND known AND ind < 4 AND (payer = 'ul' OR k % 5 <> 0) GROUP BY ALL""",
     _FORM,
 )
 def load_forms(d: Domain) -> DataFrame:
@@ -160,20 +164,34 @@ def load_forms(d: Domain) -> DataFrame:
     return found.drop("source_file")
 
 
-@query("SELECT DISTINCT CAST(n AS INT) AS n, 'no codes for the year' AS problem FROM f_ WHERE year = 2013", _FORM)
+_PROBLEM = "CASE WHEN year IS NULL THEN 'no year' WHEN region_code IS NULL THEN 'no region' WHEN year = 2013 THEN 'no codes for the year' WHEN NOT known THEN 'no known code' END"
+
+
+@query(f"SELECT DISTINCT CAST(n AS INT) AS n, {_PROBLEM} AS problem FROM f_ WHERE {_PROBLEM} IS NOT NULL", _FORM)
 def form_problems(d: Domain) -> DataFrame:
     _, problems = loading.forms(_form_rows(d), _codes(d), _subjects(d), "tn")
     return problems.select(_file_number(), "problem")
 
 
+@query(
+    f"""SELECT CAST(n AS INT) AS n, count(*) + 1 AS rows_read, CAST(CASE WHEN {_PROBLEM} IS NULL THEN count(DISTINCT ind) FILTER (ind < 4) + count(DISTINCT ind) FILTER (ind < 4 AND k % 5 <> 0) ELSE 0 END AS BIGINT) AS \"values\", {_PROBLEM} AS problem,
+    CASE WHEN {_PROBLEM} = 'no known code' THEN array_to_string(list_sort(list_distinct(list_concat(list(CAST(k AS VARCHAR)) FILTER (k BETWEEN 100 AND 9999 AND k NOT IN (100, 200, 300)), list('0500') FILTER (ind = 1))))[:20], ',') ELSE '' END AS unknown
+    FROM (SELECT n, k, ind, year, region_code, known FROM f_) GROUP BY n, year, region_code, known""",
+    _FORM,
+)
+def form_statistics(d: Domain) -> DataFrame:
+    rows = _form_rows(d)
+    found, problems = loading.forms(rows, _codes(d), _subjects(d), "tn")
+    stats = loading.form_stats(rows, found, problems, _codes(d))
+    return stats.select(_file_number(), "rows_read", "values", "problem", F.array_join("unknown_codes", ",").alias("unknown"))
+
+
 @query("SELECT DISTINCT n AS n, CAST(year AS INT) AS year, region_code FROM f_", _FORM)
 def guess_places(d: Domain) -> DataFrame:
-    rows = _form_rows(d)
-    both = loading.guess_years(rows).join(loading.guess_regions(rows, _subjects(d)), "file")
-    return both.select(_file_number(), "year", "region_code")
+    return loading.guess_places(_form_rows(d), _subjects(d)).select(_file_number(), "year", "region_code")
 
 
-@query("SELECT CAST(n AS INT) AS n, CASE WHEN count(DISTINCT CASE WHEN ind < 4 THEN ind END) >= 3 THEN 'forms' ELSE 'unknown' END AS kind FROM f_ GROUP BY 1", _FORM)
+@query("SELECT CAST(n AS INT) AS n, CASE WHEN count(DISTINCT CASE WHEN ind < 4 AND known THEN ind END) >= 3 THEN 'forms' ELSE 'unknown' END AS kind FROM f_ GROUP BY 1", _FORM)
 def classify_files(d: Domain) -> DataFrame:
     rows = _form_rows(d)
     none = d.spark.createDataFrame([], "file string, fields array<string>")

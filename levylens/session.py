@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +18,28 @@ def bind(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; in local mode one of the driver's where that is unset."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_levylens_shared", None)
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="levylens-")
+        sc._levylens_shared = root
+    return root.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept below spark.checkpoint.dir; in local mode a folder of the driver's where that is unset."""
+    """df, computed once and kept below the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        root = sc.getConf().get("spark.checkpoint.dir")
-        if not root and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="levylens-"))
+        sc.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once below the shared folder by columns, so what reads it reads only the columns it needs."""
+    path = f"{_shared(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

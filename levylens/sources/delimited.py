@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from levylens import session
 
-RAW = "file string, table string, row_idx long, cells array<string>"
+RAW = "file string, table string, table_at int, row_idx long, cells array<string>"
 SAMPLE_BYTES, LOOKAHEAD = 1 << 16, 40
 DELIMITERS = ";\t,|"
 #: The table of a file that could not be read.
@@ -58,36 +58,79 @@ def parse_delimited(content: bytes, encoding: str | None = None, delimiter: str
     return [[clean_cell(c) for c in row] for row in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter or detect_delimiter(text[:SAMPLE_BYTES]))]
 
 
-def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path, length, modificationTime and content of the files below path; hidden and lock files stay out."""
-    name = F.element_at(F.split("path", "/"), -1)
+#: Folders whose files are none of the data's.
+SKIPPED = (".git", ".venv", "venv", "__pycache__", ".pytest_cache", "node_modules", "_spark_metadata")
+#: Tasks among which the members of one archive or the sheets of one workbook are dealt, at most; each gets the file's bytes.
+SPREAD = 8
+
+
+def files(spark: SparkSession, path: str | list[str], glob: str = "*", suffixes: tuple[str, ...] | None = None, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """Path, length, modificationTime and content of the files below path, or of the listed ones; hidden and lock files, files of other suffixes and those in skipped folders stay out. Content is read only where it is used."""
+    at = F.split("path", "/")
+    name, folders = F.element_at(at, -1), F.slice(at, 1, F.size(at) - 1)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return found.where(~name.startswith(".") & ~name.startswith("~$"))
+    found = found.where(~name.startswith(".") & ~name.startswith("~$"))
+    if isinstance(path, str) and skipped:
+        base = path.rstrip("/").removeprefix("file:").lstrip("/").count("/") + 1
+        below = F.slice(F.filter(folders, lambda x: (x != "") & ~x.endswith(":")), base + 1, F.size(folders))
+        found = found.where(~F.arrays_overlap(below, F.array(*map(F.lit, skipped))))
+    return found.where(F.regexp_like(F.lower(name), F.lit(rf"\.({'|'.join(suffixes)})$"))) if suffixes else found
 
 
-def read_tables(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """The rows of every table in every file, by suffix; gz and zip are opened (S4, S9). A file is read whole by one task; large exports go through read_large().
+def read_tables(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """The rows of every table in every file, by suffix, with the tables' order; gz and zip are opened.
 
-    I4: a file that cannot be read gives one row, whose table is ERROR and whose cells say why.
+    Rows are sent on as they are read. The members of an archive and the sheets of a workbook are dealt
+    among tasks; any other file is read by one (read_ragged() splits delimited ones). I4: a file that
+    cannot be read gives one row, whose table is ERROR and whose cells say why.
     """
+    return tables_of(files(spark, path, glob).select("path", "content"))
+
+
+def tables_of(found: DataFrame) -> DataFrame:
+    """read_tables() of files that are at hand as path and content."""
     from . import containers
 
-    session.bind(spark)
+    session.bind(found.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(file: str, table: str, at: int, some: list[list[str]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array([table] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], ["file", "table", "row_idx", "cells"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    n = min(SPREAD, containers.n_parts(file, content.as_buffer()))
+                except Exception:  # noqa: BLE001  the reader will say why
+                    n = 1
+                for k in range(n):
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int32()), pa.array([n], pa.int32()), pa.array([content.as_py()], pa.binary())], ["path", "k", "n", "content"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for file, k, n, content in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                rows: list[tuple] = []
                 try:
-                    for table, rows in containers.tables(file, content):
-                        for at in range(0, len(rows), 10_000):
-                            yield out(file, table, at, rows[at : at + 10_000])
+                    parts = range(k, containers.n_parts(file, content.as_buffer()), n) if n > 1 else [None]
+                    at = -1
+                    for part in parts:
+                        for table, lines in containers.streams(file, io.BytesIO(content.as_buffer()), part):
+                            at = at + 1 if part is None else part
+                            for i, cells in enumerate(lines):
+                                rows.append((file, table, at, i, cells))
+                                if len(rows) >= 2_000:
+                                    yield _raw(rows)
+                                    rows = []
+                            if table.rpartition(":")[2] == containers.EXPORT:
+                                rows.append((file, table, at, 0, []))
                 except Exception as e:  # noqa: BLE001  whatever a broken file makes its reader raise
-                    yield out(file, ERROR, 0, [[type(e).__name__, str(e)[:500]]])
+                    rows.append((file, ERROR, 0, 0, [type(e).__name__, str(e)[:500]]))
+                yield _raw(rows)
+
+    spread = found.mapInArrow(deal, "path string, k int, n int, content binary").repartition("path", "k")
+    return spread.mapInArrow(run, RAW)
+
 
-    return files(spark, path, glob).select("path", "content").mapInArrow(run, RAW)
+def _raw(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["file", "table", "table_at", "row_idx", "cells"])
 
 
 def read_large(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8", schema: str | None = None) -> DataFrame:
@@ -157,9 +200,10 @@ def load_aliases(path: str) -> dict[str, list[str]]:
         return {k: v for k, v in json.load(f).items() if not k.startswith("_")}
 
 
-def records(tables: DataFrame, columns: dict[str, int], header_at: int) -> DataFrame:
-    """Named fields of the rows below the header."""
-    return tables.where(F.col("row_idx") > header_at).select("file", "table", "row_idx", *(F.get("cells", F.lit(i)).alias(k) for k, i in columns.items()))
+def records(tables: DataFrame, columns: dict[str, int], header_at: int, most: int | None = None) -> DataFrame:
+    """Named fields of the rows below the header, of the first `most` of each table if that is given."""
+    upto = F.lit(True) if most is None else F.col("row_idx") <= header_at + most
+    return tables.where((F.col("row_idx") > header_at) & upto).select("file", "table", "row_idx", *(F.get("cells", F.lit(i)).alias(k) for k, i in columns.items()))
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:

@@ -1,17 +1,21 @@
-"""HTML tables, XML exports of norms, and links of pages."""
+"""HTML tables and links of pages."""
 
 from __future__ import annotations
 
 import html
+import io
 import re
+from collections.abc import Iterator
+from typing import TextIO
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import delimited
+from .export import looks_like_export, read_export, read_list  # noqa: F401
 
 LONGEST_ROW = 32 << 20
-RECORD_SCHEMA = "attrs map<string,string>, tr array<map<string,string>>, tb array<map<string,string>>"
+_row = re.compile(r"(?i)<tr\b[^>]*>")
 
 
 def html_cells(row: str) -> list[str]:
@@ -27,41 +31,22 @@ def html_cells(row: str) -> list[str]:
 
 def html_rows(text: str) -> list[list[str]]:
     """All rows of a page; the last may lack its end."""
-    parts = (p for p in re.split(r"(?i)<tr\b[^>]*>", text)[1:] if len(p) <= LONGEST_ROW)
-    return [c for c in map(html_cells, parts) if c]
+    return list(html_stream(io.StringIO(text)))
 
 
-def _unescape(v: Column) -> Column:
-    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        v = F.replace(v, F.lit(entity), F.lit(c))
-    return v
-
-
-def tag_attributes(raw: Column) -> Column:
-    """Attributes of a tag in either kind of quotes, with the entities of XML undone; of repeated names the last counts."""
-    pattern = r"""([\w.:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    names, a, b = (F.regexp_extract_all(raw, F.lit(pattern), F.lit(k)) for k in (1, 2, 3))
-    values = F.zip_with(a, b, lambda x, y: F.when(x != "", x).otherwise(y))
-    values = F.transform(values, _unescape)
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda x, i: F.array_position(F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1))), x["k"]) == 0)
-    return F.map_from_entries(last)
-
-
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an export in UTF-8, split at their ends, so broken markup between them does no harm; the last may lack its end, and a record may close itself."""
-    raw = spark.read.option("lineSep", "</tp>").text(path)
-    pieces = raw.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<tp\b(?:(?!<tp\b).)*"), F.lit(0))).alias("r"))
-    inner = lambda tag: F.transform(F.regexp_extract_all("r", F.lit(rf"(?s)<{tag}\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"), F.lit(1)), tag_attributes)
-    head = F.regexp_extract("r", r"""(?s)<tp\b((?:[^>"']|"[^"]*"|'[^']*')*)>""", 1)
-    return pieces.select(tag_attributes(head).alias("attrs"), inner("tr").alias("tr"), inner("tb").alias("tb"))
-
-
-def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """Id and value of the export's dictionary."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.regexp_like("value", F.lit(r"<li\s")))
-    a = tag_attributes(F.col("value"))
-    return raw.select(F.try_element_at(a, F.lit("ID")).alias("id"), F.try_element_at(a, F.lit("List_value")).alias("value")).where("id IS NOT NULL").dropDuplicates(["id"])
+def html_stream(page: TextIO, chunk: int = 1 << 18) -> Iterator[list[str]]:
+    """Rows of a page as it is read; a row and a chunk are held, and a row longer than LONGEST_ROW is passed over."""
+    left, inside = "", False
+    while block := page.read(chunk):
+        *whole, left = _row.split(left + block)
+        for part in whole:
+            if inside and len(part) <= LONGEST_ROW and (cells := html_cells(part)):
+                yield cells
+            inside = True
+        if len(left) > LONGEST_ROW:  # a tag may have begun at the end
+            left, inside = left[-64:], False
+    if inside and (cells := html_cells(left)):
+        yield cells
 
 
 def transcode(content: Column, encoding: str = "windows-1251") -> Column:
@@ -69,11 +54,6 @@ def transcode(content: Column, encoding: str = "windows-1251") -> Column:
     return F.decode(content, encoding)
 
 
-def looks_like_export(head: str) -> bool:
-    """S18."""
-    return "<tp" in head or ("List_value" in head and "<li " in head)
-
-
 def links(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """Links of each page, made absolute, each at its first place."""
     href = F.regexp_extract_all(page, F.lit(r"""href\s*=\s*["']([^"'#]+)["']"""), F.lit(1))
