@@ -191,15 +191,15 @@ def guess_places(d: Domain) -> DataFrame:
     return loading.guess_places(_form_rows(d), _subjects(d)).select(_file_number(), "year", "region_code")
 
 
-@query("SELECT CAST(n AS INT) AS n, CASE WHEN count(DISTINCT CASE WHEN ind < 4 AND known THEN ind END) >= 3 THEN 'forms' ELSE 'unknown' END AS kind FROM f_ GROUP BY 1", _FORM)
+@query("SELECT CAST(n AS INT) AS n, CASE WHEN count(DISTINCT CASE WHEN ind < 4 AND known THEN ind END) >= 3 THEN 'forms' ELSE 'unknown' END AS kind, CASE WHEN kind = 'forms' THEN 'tn' END AS tax FROM f_ GROUP BY 1", _FORM)
 def classify_files(d: Domain) -> DataFrame:
-    rows = _form_rows(d)
+    rows = _form_rows(d).withColumn("row_idx", F.col("row_idx") % 2000).withColumn("table", F.lit("own")).withColumn("table_at", F.lit(0))
     none = d.spark.createDataFrame([], "file string, fields array<string>")
     codes = _codes(d).unionByName(d.spark.createDataFrame([("tn", 2010, "ul", c, 1, 9) for c in ("9001", "9002")], _codes(d).schema))
-    wide = rows.unionByName(rows.select("file", "table", (F.col("row_idx") + 5_000_000).alias("row_idx"), F.array(F.lit("x"), F.lit("9001")).alias("cells")))  # beyond the rows that are looked at
-    few = wide.withColumn("row_idx", F.when(F.col("row_idx") < 5_000_000, F.col("row_idx") % 2000).otherwise(F.col("row_idx")))
-    extra = few.select("file", "table", F.lit(5).cast("long").alias("row_idx"), F.explode(F.array(F.array(F.lit("x"), F.lit("9001")), F.array(F.lit("x"), F.lit("9002")))).alias("cells")).distinct()
-    return importing.classify(few.unionByName(extra), codes, none).select(_file_number(), "kind")
+    added = lambda table, at, idx, code: rows.select("file", F.lit(table).alias("table"), F.lit(at).alias("table_at"), F.lit(idx).cast("long").alias("row_idx"), F.array(F.lit("x"), F.lit(code)).alias("cells")).distinct()
+    later = added("a later one", 1, 5, "9001").unionByName(added("own", 0, 5_000_000, "9001"))  # neither another table's rows nor those beyond the first are looked at
+    extra = added("own", 0, 5, "9001").unionByName(added("own", 0, 6, "9002"))
+    return importing.classify(rows.unionByName(later).unionByName(extra), codes, none).select(_file_number(), "kind", "tax")
 
 
 # ---------------------------------------------------------------- methodology

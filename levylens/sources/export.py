@@ -116,3 +116,41 @@ def stream_records(stream: IO[bytes], encoding: str | None = None, longest: int
         if len(left) > longest:
             left = left[-chunk:]
     yield from records_of(decoded(left, encoding))
+
+
+def read_packed(spark: SparkSession, paths: list[str], encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records and dictionary (file, id, value) of the exports inside zip archives, a task an archive; of repeated ids the least value."""
+    import io
+    import zipfile
+
+    from . import containers, delimited
+
+    session.bind(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
+                    for name in containers.members(z):
+                        if not name.lower().endswith(".xml"):
+                            continue
+                        with z.open(name) as f:
+                            head = f.read(PROBE)
+                        if not looks_like_export(decoded(head, encoding)):
+                            continue
+                        with z.open(name) as f:
+                            items = [attributes(m[1]) for m in _item.finditer(decoded(f.read(LISTED).split(b"</List", 1)[0], encoding))]
+                        yield _batch([(file, a, None, None) for a in items])
+                        rows: list[tuple] = []
+                        with z.open(name) as f:
+                            for r in stream_records(f, encoding):
+                                rows.append((file, *r))
+                                if len(rows) >= 2_000:
+                                    yield _batch(rows)
+                                    rows = []
+                        yield _batch(rows)
+
+    found = session.kept(delimited.files(spark, paths).select("path", "content").mapInArrow(run, RECORD))
+    at = lambda name: F.try_element_at("attrs", F.lit(name))
+    listed = found.where("tr IS NULL").select("file", at("ID").alias("id"), at("List_value").alias("value")).where("id <> '' AND value <> ''")
+    return found.where("tr IS NOT NULL"), listed.groupBy("file", "id").agg(F.min("value").alias("value"))
