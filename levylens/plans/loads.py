@@ -232,6 +232,39 @@ def methodology_codes(d: Domain) -> DataFrame:
     return methodology.codes(_map(d), known).select("tax_code", "year", "payer", "row_code", "col_index", "indicator_id")
 
 
+_SHEET = ["Показатель (наименование)", "Код строки юл", "Код строки фл", "Столбец для юридических лиц"]
+
+
+def _sheets(d: Domain) -> DataFrame:
+    """A sheet for each of three years: a title, a header, and a row for each part, of which each eleventh has a number."""
+    p, k = d.table("part"), F.col("p_partkey")
+    title = F.concat((2010 + k % 3).cast("string"), F.lit(" - form"))
+    name = F.when(k % 11 == 0, F.concat((k % 5 + 1).cast("string"), F.lit(". "), "p_brand", F.lit(" "), "p_size")).otherwise(F.concat(F.initcap("p_name"), F.when(k % 6 == 0, "  и др.").otherwise("")))
+    rows = p.select(title.alias("table"), (k + 5).alias("row_idx"), F.array(name, F.when(k % 7 == 0, "").otherwise(F.concat((1000 + k % 997).cast("string"), F.when(k % 2 == 0, ".0").otherwise(""))), F.when(k % 3 == 0, "").otherwise((2000 + k % 991).cast("string")), F.when(k % 4 == 0, "1").otherwise("")).alias("cells"))
+    head = lambda at, cells: p.select(title.alias("table"), F.lit(at).cast("long").alias("row_idx"), F.array(*map(F.lit, cells)).alias("cells")).distinct()
+    return rows.unionByName(head(0, ["Методичка"])).unionByName(head(2, _SHEET)).withColumn("file", F.lit("m.xlsx"))
+
+
+@query(
+    """SELECT 'tn' AS tax_code, year, section, level, "group", name, CASE WHEN other > 0 THEN base || '--' || (1 + sum(other) OVER (PARTITION BY year, base ORDER BY k ROWS UNBOUNDED PRECEDING)) ELSE base END AS slug,
+    CASE WHEN section IN ('1', '2', '3') THEN 'единиц' WHEN section IN ('4', '5') THEN 'тыс. руб.' END AS unit, nullif(code_ul, '') AS code_ul, nullif(code_fl, '') AS code_fl, CASE WHEN k % 4 = 0 THEN 1 END AS col_ul, CAST(NULL AS INT) AS col_fl, CAST(sort_order AS INT) AS sort_order
+    FROM (SELECT *, CAST(name <> first_value(name) OVER (PARTITION BY year, base ORDER BY k) AS INT) AS other FROM (
+      SELECT *, substr('s' || coalesce(section, '0') || '--' || CASE WHEN several AND "group" IS NOT NULL THEN replace(gkey, ' ', '-') || '--' ELSE '' END || replace(key, ' ', '-'), 1, 180) AS base FROM lev_
+      JOIN (SELECT section AS s_, key AS k_, count(DISTINCT gkey) > 1 AS several FROM lev_ GROUP BY ALL) ON s_ IS NOT DISTINCT FROM section AND k_ = key))""",
+    """raw_ AS (SELECT p_partkey AS k, CAST(2010 + p_partkey % 3 AS INT) AS year, CASE WHEN p_partkey % 11 = 0 THEN CAST(p_partkey % 5 + 1 AS VARCHAR) END AS number, CASE WHEN p_partkey % 11 = 0 THEN p_brand || ' ' || p_size ELSE
+      list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') || CASE WHEN p_partkey % 6 = 0 THEN ' и др.' ELSE '' END END AS name,
+      CASE WHEN p_partkey % 7 = 0 THEN '' ELSE CAST(1000 + p_partkey % 997 AS VARCHAR) END AS code_ul, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(2000 + p_partkey % 991 AS VARCHAR) END AS code_fl FROM part),
+    ev_ AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY k) AS sort_order, last_value(number IGNORE NULLS) OVER (PARTITION BY year ORDER BY k ROWS UNBOUNDED PRECEDING) AS section,
+      number IS NOT NULL AND row_number() OVER (PARTITION BY year, number ORDER BY k) = 1 AS starts, coalesce(nullif(code_ul, ''), code_fl) LIKE '%0' AS round FROM raw_ WHERE code_ul <> '' OR code_fl <> ''),
+    op_ AS (SELECT *, CASE WHEN starts THEN '' WHEN number IS NOT NULL THEN name WHEN round THEN '' END AS event FROM ev_),
+    st_ AS (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY year ORDER BY k ROWS UNBOUNDED PRECEDING), '') AS open FROM op_),
+    lv_ AS (SELECT *, CAST(CASE WHEN starts THEN 0 WHEN number IS NOT NULL THEN 2 WHEN event IS NOT NULL OR open = '' THEN 1 ELSE 3 END AS INT) AS level FROM st_),
+    lev_ AS (SELECT *, CASE WHEN level = 3 THEN open END AS "group", trim(regexp_replace(lower(name), '[^0-9a-zа-я]+', ' ', 'g')) AS key, CASE WHEN level = 3 THEN trim(regexp_replace(lower(open), '[^0-9a-z]+', ' ', 'g')) ELSE '' END AS gkey FROM lv_)""",
+)
+def methodology_scan(d: Domain) -> DataFrame:
+    return methodology.scan_workbook(_sheets(d), "tn")
+
+
 # ---------------------------------------------------------------- service
 
 

@@ -134,16 +134,57 @@ def test_reports_and_made_up_facts(spark, region):
     assert one == two != other and len(one) == 3 * 2 * 3 * 2
 
 
+HEAD = ["№", "Показатель", "Код строки для юридических лиц", "Код строки для физических лиц", "Столбец для юридических лиц", "Графа для физических лиц"]
+
+
+def sheet_rows(title, at, rows):
+    return [("m.xlsx", title, at, k, r) for k, r in enumerate([["Методичка"], HEAD, *rows])]
+
+
 def test_methodology_of_a_workbook(spark, tmp_path):
-    sheet = [["Раздел 1", "", "", "", ""], ["", "Группа", "", "", ""], ["", "", "Сумма, тыс. руб.", "1100", "2100.0"], ["", "", "Количество единиц", "1200", ""], ["Раздел 2", "", "Прочее", "15", ""]]
-    rows = spark.createDataFrame([("m.xlsx", f"{y} год", k, c) for y in (2019, 2020) for k, c in enumerate(sheet[: 4 if y == 2020 else 5])], "file string, table string, row_idx long, cells array<string>")
-    flat = methodology.scan_sheet(rows, "tn")
-    got = [(r.year, r.section, r.group, r.code_ul, r.code_fl, r.unit) for r in flat.orderBy("year", "sort_order").collect()]
-    assert got[:3] == [(2019, "Раздел 1", "Группа", "1100", "2100", "тыс. руб."), (2019, "Раздел 1", "Группа", "1200", None, "ед."), (2019, "Раздел 2", None, "015", None, None)]
+    one = [
+        ["", "1. Всего, единиц", "1100", "2100"],
+        ["", "Показатель без кода", "", ""],
+        ["", "1. Автомобили легковые", "1311.0", "2311"],
+        ["", "до 100 л.с.", "1312", "2312"],
+        ["", "свыше 100 л.с.", "1313", ""],
+        ["", "Прочие", "1350", "2350"],
+        ["", "до 100 л.с.", "1351", ""],
+        ["", "1 . Мотоциклы", "1361", ""],
+        ["", "До 100 л.с.", "1362", ""],
+        ["", "4. По водным, тыс. руб.", "040", "045"],
+        ["", "4. Сумма (всего)", "15", ""],
+        ["", "Сумма всего", "17", ""],
+        ["", "Сумма - всего", "19", ""],
+    ]
+    two = [["", "1. Всего, единиц", "010", "010", "1", "2"], ["", "2. Вне", "021", "", "", ""]]
+    rows = sheet_rows("2019 - 5-ТН", 1, one) + sheet_rows("2006_форма", 0, two) + sheet_rows("без года", 2, two)
+    rows = spark.createDataFrame(rows, "file string, table string, table_at int, row_idx long, cells array<string>")
+    flat = methodology.scan_workbook(rows, "tn")
+    got = [(r.section, r.level, r.group, r.name, r.slug, r.unit, r.code_ul, r.code_fl) for r in flat.where("year = 2019").orderBy("sort_order").collect()]
+    cars, bikes = "Автомобили легковые", "Мотоциклы"
+    assert got == [
+        ("1", 0, None, "Всего, единиц", "s1--всего-единиц", "единиц", "1100", "2100"),
+        ("1", 2, None, cars, "s1--автомобили-легковые", "единиц", "1311", "2311"),
+        ("1", 3, cars, "до 100 л.с.", "s1--автомобили-легковые--до-100-л-с", "единиц", "1312", "2312"),
+        ("1", 3, cars, "свыше 100 л.с.", "s1--свыше-100-л-с", "единиц", "1313", None),
+        ("1", 1, None, "Прочие", "s1--прочие", "единиц", "1350", "2350"),
+        ("1", 1, None, "до 100 л.с.", "s1--до-100-л-с", "единиц", "1351", None),
+        ("1", 2, None, bikes, "s1--мотоциклы", "единиц", "1361", None),
+        ("1", 3, bikes, "До 100 л.с.", "s1--мотоциклы--до-100-л-с", "единиц", "1362", None),
+        ("4", 0, None, "По водным, тыс. руб.", "s4--по-водным-тыс-руб", "тыс. руб.", "040", "045"),
+        ("4", 2, None, "Сумма (всего)", "s4--сумма-всего", "тыс. руб.", "15", None),
+        ("4", 3, "Сумма (всего)", "Сумма всего", "s4--сумма-всего--сумма-всего", "тыс. руб.", "17", None),
+        ("4", 3, "Сумма (всего)", "Сумма - всего", "s4--сумма-всего--сумма-всего--2", "тыс. руб.", "19", None),
+    ]
+    assert [(r.slug, r.col_ul, r.col_fl, r.sort_order) for r in flat.where("year = 2006").orderBy("sort_order").collect()] == [("s1--всего-единиц", 1, 2, 1), ("s2--вне", None, None, 2)]
+    assert flat.select("year").distinct().count() == 2
     methodology.write_map(flat, str(tmp_path / "map"))
     assert sorted(map(str, methodology.read_map(spark, str(tmp_path / "map")).collect())) == sorted(map(str, flat.collect()))
     known = methodology.indicators(flat).orderBy("sort_order").collect()
-    assert [(k.name, k.sort_order) for k in known] == [("Группа: Сумма, тыс. руб.", 1), ("Группа: Количество единиц", 2), ("Прочее", 10003)]
+    assert [(k.name, k.sort_order) for k in known][:3] == [("Всего, единиц", 1), (cars, 2), (f"{cars}: до 100 л.с.", 3)] and known[-1].sort_order == 10_002
+    codes = methodology.codes(flat, methodology.indicators(flat).select("tax_code", "slug", F.xxhash64("slug").alias("id")))
+    assert [r.col_index for r in codes.where("year = 2006 AND payer = 'fl' AND row_code = '010'").collect()] == [2]
 
 
 def test_stop_words_and_payers(spark):
