@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from levylens import session
 from levylens.functions import russian, text
 from levylens.operators import facts, loading, methodology, norms, resolve, service, shape, terms
-from levylens.sources import report
+from levylens.sources import export, ragged, report
 from levylens.streaming import importing
 
 from .bridge import CODE, COUNTS, FACT, INDICATOR, NORM, REGION, STOPS, TEXT, WORDS, YEARS, Domain
@@ -126,6 +127,66 @@ def export_benefits(d: Domain) -> DataFrame:
     return found.benefits.select("npa_number", "region_code", "tax_code", "payer", "category", "kind", "size_text")
 
 
+# ---------------------------------------------------------------- files that Spark writes from the tables, read back
+
+
+def _written(rows: DataFrame) -> str:
+    """The folder, below the shared one, to which a column of text is written."""
+    path = session.fresh(rows.sparkSession)
+    rows.write.text(path)
+    return path
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS place, '№ «' || o_orderpriority || '» & > ' || o_orderstatus AS law, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS n_tr, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END AS n_tb, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 50 AS VARCHAR) || ',5' END AS rate FROM orders"""
+)
+def export_scan(d: Domain) -> DataFrame:
+    """An export of a record an order, in lines that do not fit the records, with entities, either quotes and records that close themselves."""
+    k, o = F.col("o_orderkey"), d.table("orders")
+    head = F.concat(F.lit("<junk/><tp ID='"), k.cast("string"), F.lit("' Region_ID=\"x\" Region_ID = \""), F.col("o_custkey").cast("string"), F.lit("\" LawDoc=\"&#8470; &laquo;"), "o_orderpriority", F.lit("&raquo; &amp; > "), "o_orderstatus", F.lit("\""))
+    body = F.concat(F.lit(">\n<tr TaxRates='"), (k % 50).cast("string"), F.lit(",5'/><tb Amount='1'/>\n<tb\nAmount='2'></tb></tp>"))
+    path = _written(o.select(F.concat(head, F.when(k % 5 == 0, "/>").otherwise(body)).alias("value")))
+    at = lambda name: F.col("attrs")[name]
+    return export.read_export(d.spark, path).select(at("ID").alias("id"), at("Region_ID").alias("place"), at("LawDoc").alias("law"), F.size("tr").alias("n_tr"), F.size("tb").alias("n_tb"), F.get("tr", F.lit(0))["TaxRates"].alias("rate"))
+
+
+@query("SELECT doc_id, CAST(4 AS INT) AS n_cells, regexp_replace(coalesce(text, ''), '[^0-9A-Za-z]+', '', 'g') AS letters, lang, coalesce(source, '') AS source FROM documents")
+def ragged_scan(d: Domain) -> DataFrame:
+    """A line of cells a document, whose text, quoted, holds line ends, quotes and delimiters."""
+    docs = d.table("documents")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    path = _written(docs.select(F.concat_ws(";", F.col("doc_id").cast("string"), quoted, "lang", F.coalesce("source", F.lit(""))).alias("value")))
+    rows = ragged.read_ragged(d.spark, path, encoding="utf-8", delimiter=";")
+    return rows.select(F.col("cells")[0].cast("long").alias("doc_id"), F.size("cells").alias("n_cells"), F.regexp_replace(F.col("cells")[1], "[^0-9A-Za-z]+", "").alias("letters"), F.col("cells")[2].alias("lang"), F.col("cells")[3].alias("source"))
+
+
+@query(
+    """SELECT CAST(k AS VARCHAR) AS npa_number, region_code, tax AS tax_code, payer, floor(price) + 0.5 AS rate_value, 'year=' || y AS source_file FROM ok_ WHERE k % 5 < 2""",
+    _ORDER,
+)
+def import_run(d: Domain) -> DataFrame:
+    """Files of records for each year, each part with a title and a header of its own, found, classified, read and loaded by a run over their folder."""
+    cells = [c for c in loading.FIELDS if c in _records(d).columns]
+    body = _records(d).withColumn("year", F.regexp_extract(F.coalesce(F.nullif("period_year", F.lit("")), "date_from"), r"\d{4}", 0))
+    lines = body.select("year", F.lit(2).alias("place"), F.concat_ws(";", *cells).alias("value"))
+    titles = body.select("year").distinct().select("year", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("Title").alias("value")), F.struct(F.lit(1).alias("place"), F.lit(";".join(cells)).alias("value")))).alias("x")).select("year", "x.*")
+    path = session.fresh(d.spark)
+    lines.unionByName(titles).repartition("year").sortWithinPartitions("year", "place").select("year", "value").write.partitionBy("year").text(path)
+    aliases = {c: [c.replace("_", " ")] for c in cells}
+    found: list[DataFrame] = []
+
+    def kinds(rows: DataFrame) -> DataFrame:
+        return importing.classify(rows, _codes(d), importing.bind_headers(rows, aliases, ["region code", "rate value"]))
+
+    def load(rows: DataFrame) -> None:
+        records = importing.named_records(rows, importing.bind_headers(rows, aliases, ["region code", "rate value"]), cells)
+        own = loading.norms(records.withColumn("source", F.element_at(F.split("file", "/"), -2)), d.region, d.spark.createDataFrame(ALIASES, "tax_code string, alias string"), this_year=2030, source=F.col("source"))
+        found.append(session.kept(own.rates))
+
+    importing.run(d.spark, path, d.spark.createDataFrame([], importing.LEDGER), kinds, {"rates": load})
+    return found[0].where("rate_value IS NOT NULL").select("npa_number", "region_code", "tax_code", "payer", "rate_value", "source_file")
+
+
 # ---------------------------------------------------------------- form files
 
 

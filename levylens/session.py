@@ -30,6 +30,11 @@ def _shared(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{_shared(spark)}/kept-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept below the shared folder."""
     sc = df.sparkSession.sparkContext
@@ -40,6 +45,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def kept(df: DataFrame) -> DataFrame:
     """df, written once below the shared folder by columns, so what reads it reads only the columns it needs."""
-    path = f"{_shared(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
