@@ -1,14 +1,20 @@
 """Term counts by tax, year, region and payer, and the clouds drawn from them.
 
-texts: doc_id, tax_code, region_code, payer, text and the period (year_from, year_to). A text is cut
-into words once, in its own row: stop words, stems, pairs of neighbours and the first place of each
-term in the text are array expressions, so the words are counted before any exchange. Years are spread
-over the counts, not over the texts.
+texts: tax_code, region_code, payer, text and the period (year_from, year_to). Texts are cut into words in
+Arrow batches: a batch's words become codes of its distinct ones, of which each is stemmed and looked up
+among the stop words once, and pairs of neighbours, first places and counts are arithmetic on codes. So
+words are counted before any exchange. Years are spread over the counts, not over the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,48 +26,86 @@ from . import norms
 BUCKET = ["tax_code", "year", "region_code", "payer"]
 PERIOD = ["tax_code", "region_code", "payer", "year_from", "year_to"]
 RF = "00"
+CELL = "tax_code string, region_code string, payer string, year_from int, year_to int, term string, surface string, is_bigram int, n long, docs long"
+#: Characters of text that are cut into words at once.
+SLICE = 1 << 21
+_word = re.compile("[а-яa-z0-9][а-яa-z0-9-]*")
+_number = re.compile("[0-9-]+")
 
+#: Distinct words to their terms.
+Stemmer = Callable[[list[str]], list[str]]
 
-def words_of(content: Column, stops: list[str], stem: bool) -> Column:
-    """the words of a text as (pos, surface, term), without numbers, short words and stop words; places count all words."""
-    plain = text.tokenize(content)
-    if stem:
-        both = F.arrays_zip(plain.alias("surface"), russian.stems_udf(plain).alias("term"))
-        placed = F.transform(both, lambda w, i: F.struct(i.alias("pos"), w["surface"].alias("surface"), w["term"].alias("term")))
-    else:
-        placed = F.transform(plain, lambda w, i: F.struct(i.alias("pos"), w.alias("surface"), w.alias("term")))
-    left_out = lambda w: w["surface"].isin(stops or [""]) | w["term"].isin(stops or [""])
-    return F.filter(placed, lambda w: ~F.regexp_like(w["surface"], F.lit("^[0-9-]+$")) & (F.length(w["surface"]) >= 3) & ~left_out(w))
-
-
-def pairs_of(words: str) -> Column:
-    """Words of a column that stood side by side, as words; a word left out between them parts them."""
-    after = lambda i: F.get(F.col(words), i + 1)
-    join = lambda w, i, name: F.concat(w[name], F.lit(" "), after(i)[name]).alias(name)
-    found = F.transform(words, lambda w, i: F.when(after(i)["pos"] == w["pos"] + 1, F.struct(w["pos"].alias("pos"), join(w, i, "surface"), join(w, i, "term"))))
-    return F.filter(found, lambda p: p.isNotNull())
 
+def snowball(words: list[str]) -> list[str]:
+    return [russian.stem(w) for w in words]
 
-def _by_term(words: Column) -> Column:
-    return F.sort_array(F.transform(words, lambda w: F.struct(w["term"].alias("term"), w["surface"].alias("surface"))))
 
+def _counted(terms: np.ndarray, surfaces: np.ndarray, row: np.ndarray, period: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Period, term, surface, occurrences and texts of each distinct triple; surfaces are numbered in order, and a text counts for its first surface of a term."""
+    order = np.lexsort((surfaces, terms, row))
+    row, terms, surfaces = row[order], terms[order], surfaces[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (terms[1:] != terms[:-1])
+    p = period[row]
+    order = np.lexsort((surfaces, terms, p))
+    p, terms, surfaces, fresh = p[order], terms[order], surfaces[order], fresh[order]
+    edge = np.ones(len(p), bool)
+    edge[1:] = (p[1:] != p[:-1]) | (terms[1:] != terms[:-1]) | (surfaces[1:] != surfaces[:-1])
+    at = np.flatnonzero(edge)
+    return p[at], terms[at], surfaces[at], np.diff(np.append(at, len(p))), np.add.reduceat(fresh, at) if len(at) else at
 
-def _marked(ordered: str, is_bigram: int) -> Column:
-    """A column's words in order, each with whether it is the text's first of its term."""
-    fresh = lambda w, i: ((i == 0) | (w["term"] != F.get(F.col(ordered), i - 1)["term"])).cast("int")
-    return F.transform(ordered, lambda w, i: F.struct(w["term"].alias("term"), w["surface"].alias("surface"), fresh(w, i).alias("first"), F.lit(is_bigram).alias("is_bigram")))
 
+def count_slice(texts: list[str], period: np.ndarray, stops: frozenset[str], stemmer: Stemmer | None, unigrams: bool, bigrams: bool) -> list[tuple]:
+    """For words and pairs of some texts: period, terms, surfaces, whether pairs, occurrences and texts.
 
-def cells(texts: DataFrame, stops: list[str], unigrams: bool = True, bigrams: bool = True, stem: bool = True) -> DataFrame:
-    """A8 before the years: occurrences and texts of each term and surface by tax, region, payer and period; one exchange, after partial sums.
-
-    What a lambda looks into is a column of the step before, so it is computed once a text and not once a word.
+    Words of one character are none; numbers, words under three characters and stop words (as written or
+    stemmed) are left out but keep their places, so they part the words beside them.
     """
-    listed = texts.select(*PERIOD, words_of(F.col("text"), stops, stem).alias("words"))
-    kinds = [("one", _by_term(F.col("words")), 0)] * unigrams + [("two", _by_term(pairs_of("words")), 1)] * bigrams
-    ordered = listed.select(*PERIOD, *(c.alias(name) for name, c, _ in kinds))
-    rows = ordered.select(*PERIOD, F.explode(F.concat(*(_marked(name, k) for name, _, k in kinds))).alias("w")).select(*PERIOD, "w.*")
-    return rows.groupBy(*PERIOD, "term", "surface", "is_bigram").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+    said = [[w for w in _word.findall(t.lower().replace("ё", "е")) if len(w) > 1] for t in texts]
+    row = np.repeat(np.arange(len(said)), [len(x) for x in said])
+    words = pd.factorize(np.array([w for x in said for w in x], object), sort=True)
+    code, listed = words[0], list(words[1])
+    terms = stemmer(listed) if stemmer else listed
+    kept = np.array([len(w) >= 3 and not _number.fullmatch(w) and w not in stops and t not in stops for w, t in zip(listed, terms)], bool)
+    numbers, named = pd.factorize(np.array(terms, object))
+    at = np.flatnonzero(kept[code]) if len(listed) else np.zeros(0, np.int64)
+    surface, of, n = np.array(listed, object), np.array(list(named), object), max(1, len(listed))
+    out = []
+    if unigrams and len(at):
+        p, t, s, times, docs = _counted(numbers[code[at]], code[at], row[at], period)
+        out.append((p, of[t], surface[s], 0, times, docs))
+    if bigrams and len(at):
+        two = at[:-1][(np.diff(at) == 1) & (row[at[1:]] == row[at[:-1]])]
+        a, b = code[two], code[two + 1]
+        p, t, s, times, docs = _counted(numbers[a] * n + numbers[b], a * n + b, row[two], period)
+        out.append((p, of[t // n] + " " + of[t % n], surface[s // n] + " " + surface[s % n], 1, times, docs))
+    return out
+
+
+def cells(texts: DataFrame, stops: list[str], unigrams: bool = True, bigrams: bool = True, stem: bool | Stemmer = True) -> DataFrame:
+    """A8 before the years: occurrences and texts of each term and surface by tax, region, payer and period; one exchange, after partial sums. stem: Snowball's stems, the words themselves, or terms of one's own."""
+    stemmer, left_out = (stem if callable(stem) else snowball if stem else None), frozenset(stops)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.select(PERIOD).to_pandas()
+            said = [t or "" for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([len(t) for t in said])
+            a = 0
+            while a < len(said):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")))
+                some = frame.iloc[a:b]
+                group = some.groupby(PERIOD, dropna=False, sort=False).ngroup().to_numpy()
+                first = np.unique(group, return_index=True)[1] + a
+                for p, terms, surfaces, two, times, docs in count_slice(said[a:b], group, left_out, stemmer, unigrams, bigrams):
+                    own = batch.select(PERIOD).take(pa.array(first[p]))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(terms, pa.string()), pa.array(surfaces, pa.string()), pa.array(np.full(len(p), two, np.int32)), pa.array(times, pa.int64()), pa.array(docs, pa.int64())], [*PERIOD, "term", "surface", "is_bigram", "n", "docs"])
+                a = b
+
+    session.bind(texts.sparkSession)
+    kinds = dict(c.split() for c in CELL.split(", "))
+    rows = texts.select(*(F.col(c).cast(kinds[c]).alias(c) for c in PERIOD), F.col("text").cast("string").alias("text")).mapInArrow(run, CELL)
+    return rows.groupBy(*PERIOD, "term", "surface", "is_bigram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def count_terms(counted: DataFrame, last: int) -> DataFrame:
@@ -89,7 +133,7 @@ def display_forms(words: DataFrame, n: Column | None = None) -> DataFrame:
     return counted.groupBy("term").agg(F.min_by("surface", F.struct(-F.col("n"), "surface")).alias("display"))
 
 
-def build_cube(texts: DataFrame, stops: list[str], last: int, top: int = 400, with_bigrams: bool = True, stem: bool = True) -> DataFrame:
+def build_cube(texts: DataFrame, stops: list[str], last: int, top: int = 400, with_bigrams: bool = True, stem: bool | Stemmer = True) -> DataFrame:
     """Q11's cube: unigrams and bigrams, with the sum over regions, pruned after it.
 
     The cells are kept in the checkpoint folder: their two uses prune and filter them differently, so
@@ -97,10 +141,74 @@ def build_cube(texts: DataFrame, stops: list[str], last: int, top: int = 400, wi
     """
     session.bind(texts.sparkSession)
     counted = session.checkpointed(cells(texts, stops, bigrams=with_bigrams, stem=stem))
-    years = F.size(F.col("years")).cast("long")
-    # a surface counts once for each bucket that its text is in
-    spread = counted.withColumn("years", norms.years_of(last))
-    return top_terms(with_all_regions(count_terms(counted, last)), top).join(display_forms(spread, F.col("n") * years), "term", "left")
+    return top_terms(with_all_regions(count_terms(counted, last)), top).join(display_forms(spread_surfaces(counted, last), F.col("n")), "term", "left")
+
+
+class Cube:
+    """A cube kept below a path, to which texts are added run by run.
+
+    Each run's counts and surfaces are sums of its own texts, before any pruning, in a partition of its
+    own, so a run that is repeated replaces itself. After a run only the buckets that it touched (and
+    their sums over regions) are ranked again, from the sums of all runs.
+    """
+
+    COUNTS = "tax_code string, year int, region_code string, payer string, term string, is_bigram int, term_freq long, doc_freq long"
+    SURFACES = "term string, surface string, n long"
+
+    def __init__(self, spark: SparkSession, path: str, last: int, top: int = 400):
+        self.spark, self.path, self.last, self.top = spark, path.rstrip("/"), last, top
+
+    def _all(self, what: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, run long").parquet(f"{self.path}/{what}")
+
+    def add(self, texts: DataFrame, stops: list[str], run: int, bigrams: bool = True, stem: bool | Stemmer = True) -> None:
+        """Adds texts as the run of that number; a run that was added before is replaced, with the buckets that it had touched."""
+        counted = session.kept(cells(texts, stops, bigrams=bigrams, stem=stem))
+        place = lambda what: f"{self.path}/{what}/run={run}"
+        slot = ["tax_code", "year", "payer"]
+        before = self._touched(run)
+        count_terms(counted, self.last).select(*(c.split()[0] for c in self.COUNTS.split(", "))).write.mode("overwrite").partitionBy("tax_code", "year").parquet(place("counts"))
+        spread_surfaces(counted, self.last).write.mode("overwrite").parquet(place("surfaces"))
+        rows = self._all("counts", self.COUNTS)
+        touched = rows.where(F.col("run") == run).select(*slot).distinct()
+        touched = session.kept(touched.unionByName(before).distinct() if before is not None else touched)
+        mine = _only(rows, touched, slot)
+        summed = mine.groupBy(*BUCKET, "term", "is_bigram").agg(F.sum("term_freq").alias("term_freq"), F.sum("doc_freq").alias("doc_freq"))
+        ranked = session.kept(top_terms(with_all_regions(summed), self.top))
+        gone = _only(touched, ranked, slot, "left_anti") if before is not None else None
+        ranked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*slot).parquet(f"{self.path}/cube")
+        if gone is not None and gone.limit(1).count():  # slots that only the replaced run had
+            left = _only(self._cube(), session.kept(gone), slot, "left_anti")
+            session.kept(left).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*slot).parquet(f"{self.path}/cube")
+
+    def _touched(self, run: int) -> DataFrame | None:
+        from pyspark.errors import AnalysisException
+
+        try:
+            rows = self._all("counts", self.COUNTS).where(F.col("run") == run)
+            return session.kept(rows.select("tax_code", "year", "payer").distinct())
+        except AnalysisException:
+            return None
+
+    def _cube(self) -> DataFrame:
+        return self.spark.read.schema(self.COUNTS).parquet(f"{self.path}/cube")
+
+    def read(self) -> DataFrame:
+        """The cube as build_cube() over all runs' texts gives it."""
+        shown = display_forms(self._all("surfaces", self.SURFACES), F.col("n"))
+        return self._cube().join(shown, "term", "left")
+
+
+def _only(rows: DataFrame, others: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows whose columns, null like null, are (left_semi) or are not (left_anti) among the others'."""
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in columns]
+    return rows.alias("r").join(others.select(*columns).distinct().alias("o"), same, how)
+
+
+def spread_surfaces(counted: DataFrame, last: int) -> DataFrame:
+    """term, surface and n: how often, once for each bucket that a text is in."""
+    years = F.size(norms.years_of(last)).cast("long")
+    return counted.groupBy("term", "surface").agg(F.sum(F.col("n") * years).alias("n"))
 
 
 def stop_forms(lists: DataFrame, extra: list[str] = ()) -> DataFrame:
