@@ -94,7 +94,7 @@ def norms(records: DataFrame, region: DataFrame, alias: DataFrame, tax: str | No
     votes: what earlier runs have learned of municipal codes' beginnings, as Loaded has it. this_year is by default the present one.
     """
     named = lambda c: c if c != "region_code" else "raw_code"
-    rows = records.select(*(text.clean(F.col(c)).alias(named(c)) if c in records.columns else F.lit("").alias(named(c)) for c in FIELDS), (source if source is not None else F.lit("")).alias("source_file"))
+    rows = session.spread(records).select(*(text.clean(F.col(c)).alias(named(c)) if c in records.columns else F.lit("").alias(named(c)) for c in FIELDS), (source if source is not None else F.lit("")).alias("source_file"))
     rows = resolve.placed(rows, region, "raw_code", "region_name")
     rows = rows.withColumn("tax_code", F.lit(tax)) if tax else resolve.by_alias(rows, alias, "tax_name")
     spoken = ["payer_text", "object_name", "benefit_category", "benefit_kind"]

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +30,7 @@ RF = "00"
 CELL = "tax_code string, region_code string, payer string, year_from int, year_to int, term string, surface string, is_bigram int, n long, docs long"
 #: Characters of text that are cut into words at once.
 SLICE = 1 << 21
-_word = re.compile("[а-яa-z0-9][а-яa-z0-9-]*")
+_word = re.compile("[а-яa-z0-9][а-яa-z0-9-]+")
 _number = re.compile("[0-9-]+")
 
 #: Distinct words to their terms.
@@ -52,38 +53,46 @@ def _counted(terms: np.ndarray, surfaces: np.ndarray, row: np.ndarray, period: n
     edge = np.ones(len(p), bool)
     edge[1:] = (p[1:] != p[:-1]) | (terms[1:] != terms[:-1]) | (surfaces[1:] != surfaces[:-1])
     at = np.flatnonzero(edge)
-    return p[at], terms[at], surfaces[at], np.diff(np.append(at, len(p))), np.add.reduceat(fresh, at) if len(at) else at
+    return p[at], terms[at], surfaces[at], np.diff(np.append(at, len(p))), np.add.reduceat(fresh, at, dtype=np.int64) if len(at) else at
 
 
-def count_slice(texts: list[str], period: np.ndarray, stops: frozenset[str], stemmer: Stemmer | None, unigrams: bool, bigrams: bool) -> list[tuple]:
+def count_slice(texts: list[str], period: np.ndarray, stops: frozenset[str], stemmer: Stemmer | None, unigrams: bool, bigrams: bool) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, int, np.ndarray, np.ndarray]]:
     """For words and pairs of some texts: period, terms, surfaces, whether pairs, occurrences and texts.
 
     Words of one character are none; numbers, words under three characters and stop words (as written or
     stemmed) are left out but keep their places, so they part the words beside them.
     """
-    said = [[w for w in _word.findall(t.lower().replace("ё", "е")) if len(w) > 1] for t in texts]
+    said = [_word.findall(t.lower().replace("ё", "е")) for t in texts]
     row = np.repeat(np.arange(len(said)), [len(x) for x in said])
-    words = pd.factorize(np.array([w for x in said for w in x], object), sort=True)
-    code, listed = words[0], list(words[1])
-    terms = stemmer(listed) if stemmer else listed
-    kept = np.array([len(w) >= 3 and not _number.fullmatch(w) and w not in stops and t not in stops for w, t in zip(listed, terms)], bool)
-    numbers, named = pd.factorize(np.array(terms, object))
-    at = np.flatnonzero(kept[code]) if len(listed) else np.zeros(0, np.int64)
-    surface, of, n = np.array(listed, object), np.array(list(named), object), max(1, len(listed))
-    out = []
+    coded = pa.array(chain.from_iterable(said), pa.string()).dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    code, listed = place[coded.indices.to_numpy()], coded.dictionary.take(order)
+    words = listed.to_pylist()
+    terms = stemmer(words) if stemmer else words
+    kept = np.array([len(w) >= 3 and not _number.fullmatch(w) and w not in stops and t not in stops for w, t in zip(words, terms)], bool)
+    named = pa.array(terms, pa.string()).dictionary_encode()
+    number, named, n = named.indices.to_numpy().astype(np.int64), named.dictionary, max(1, len(words))
+    at = np.flatnonzero(kept[code]) if words else np.zeros(0, np.int64)
     if unigrams and len(at):
-        p, t, s, times, docs = _counted(numbers[code[at]], code[at], row[at], period)
-        out.append((p, of[t], surface[s], 0, times, docs))
+        p, t, s, times, docs = _counted(number[code[at]], code[at], row[at], period)
+        yield p, named.take(pa.array(t)), listed.take(pa.array(s)), 0, times, docs
     if bigrams and len(at):
         two = at[:-1][(np.diff(at) == 1) & (row[at[1:]] == row[at[:-1]])]
         a, b = code[two], code[two + 1]
-        p, t, s, times, docs = _counted(numbers[a] * n + numbers[b], a * n + b, row[two], period)
-        out.append((p, of[t // n] + " " + of[t % n], surface[s // n] + " " + surface[s % n], 1, times, docs))
-    return out
+        p, t, s, times, docs = _counted(number[a] * n + number[b], a * n + b, row[two], period)
+        both = lambda x, k: pc.binary_join_element_wise(x.take(pa.array(k // n)), x.take(pa.array(k % n)), " ")
+        yield p, both(named, t), both(listed, s), 1, times, docs
 
 
 def cells(texts: DataFrame, stops: list[str], unigrams: bool = True, bigrams: bool = True, stem: bool | Stemmer = True) -> DataFrame:
-    """A8 before the years: occurrences and texts of each term and surface by tax, region, payer and period; one exchange, after partial sums. stem: Snowball's stems, the words themselves, or terms of one's own."""
+    """A8 before the years: occurrences and texts of each term and surface by tax, region, payer and period."""
+    return partial_cells(texts, stops, unigrams, bigrams, stem).groupBy(*PERIOD, "term", "surface", "is_bigram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def partial_cells(texts: DataFrame, stops: list[str], unigrams: bool = True, bigrams: bool = True, stem: bool | Stemmer = True) -> DataFrame:
+    """cells() as sums of some texts each, without an exchange. stem: Snowball's stems, the words themselves, or terms of one's own."""
     stemmer, left_out = (stem if callable(stem) else snowball if stem else None), frozenset(stops)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,18 +108,17 @@ def cells(texts: DataFrame, stops: list[str], unigrams: bool = True, bigrams: bo
                 first = np.unique(group, return_index=True)[1] + a
                 for p, terms, surfaces, two, times, docs in count_slice(said[a:b], group, left_out, stemmer, unigrams, bigrams):
                     own = batch.select(PERIOD).take(pa.array(first[p]))
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(terms, pa.string()), pa.array(surfaces, pa.string()), pa.array(np.full(len(p), two, np.int32)), pa.array(times, pa.int64()), pa.array(docs, pa.int64())], [*PERIOD, "term", "surface", "is_bigram", "n", "docs"])
+                    yield pa.RecordBatch.from_arrays([*own.columns, terms, surfaces, pa.array(np.full(len(p), two, np.int32)), pa.array(times, pa.int64()), pa.array(docs, pa.int64())], [*PERIOD, "term", "surface", "is_bigram", "n", "docs"])
                 a = b
 
     session.bind(texts.sparkSession)
     kinds = dict(c.split() for c in CELL.split(", "))
-    rows = texts.select(*(F.col(c).cast(kinds[c]).alias(c) for c in PERIOD), F.col("text").cast("string").alias("text")).mapInArrow(run, CELL)
-    return rows.groupBy(*PERIOD, "term", "surface", "is_bigram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return session.spread(texts.select(*(F.col(c).cast(kinds[c]).alias(c) for c in PERIOD), F.col("text").cast("string").alias("text"))).mapInArrow(run, CELL)
 
 
 def count_terms(counted: DataFrame, last: int) -> DataFrame:
-    """Occurrences and texts of each term in each bucket."""
-    yearly = norms.explode_years(counted.groupBy(*PERIOD, "term", "is_bigram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), last)
+    """Occurrences and texts of each term in each bucket, from cells() or partial_cells(); one exchange."""
+    yearly = norms.explode_years(counted.select(*PERIOD, "term", "is_bigram", "n", "docs"), last)
     return yearly.groupBy(*BUCKET, "term", "is_bigram").agg(F.sum("n").alias("term_freq"), F.sum("docs").alias("doc_freq"))
 
 
@@ -136,12 +144,13 @@ def display_forms(words: DataFrame, n: Column | None = None) -> DataFrame:
 def build_cube(texts: DataFrame, stops: list[str], last: int, top: int = 400, with_bigrams: bool = True, stem: bool | Stemmer = True) -> DataFrame:
     """Q11's cube: unigrams and bigrams, with the sum over regions, pruned after it.
 
-    The cells are kept in the checkpoint folder: their two uses prune and filter them differently, so
-    Spark would not share an exchange and would cut every text into words twice.
+    The partial cells are written once, by columns, so texts are cut into words once. The pruned cube is
+    written too, and surfaces are counted only of the terms that it has.
     """
-    session.bind(texts.sparkSession)
-    counted = session.checkpointed(cells(texts, stops, bigrams=with_bigrams, stem=stem))
-    return top_terms(with_all_regions(count_terms(counted, last)), top).join(display_forms(spread_surfaces(counted, last), F.col("n")), "term", "left")
+    counted = session.kept(partial_cells(texts, stops, bigrams=with_bigrams, stem=stem))
+    cube = session.kept(top_terms(with_all_regions(count_terms(counted, last)), top))
+    mine = counted.join(cube.select("term").distinct(), "term", "left_semi")
+    return cube.join(display_forms(spread_surfaces(mine, last), F.col("n")), "term", "left")
 
 
 class Cube:
@@ -163,7 +172,7 @@ class Cube:
 
     def add(self, texts: DataFrame, stops: list[str], run: int, bigrams: bool = True, stem: bool | Stemmer = True) -> None:
         """Adds texts as the run of that number; a run that was added before is replaced, with the buckets that it had touched."""
-        counted = session.kept(cells(texts, stops, bigrams=bigrams, stem=stem))
+        counted = session.kept(partial_cells(texts, stops, bigrams=bigrams, stem=stem))
         place = lambda what: f"{self.path}/{what}/run={run}"
         slot = ["tax_code", "year", "payer"]
         before = self._touched(run)

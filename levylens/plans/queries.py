@@ -176,7 +176,7 @@ def payer_explode(d: Domain) -> DataFrame:
 
 
 def _cells(d: Domain, bigrams: bool = False, unigrams: bool = True) -> DataFrame:
-    return terms.cells(d.text, STOPS, unigrams, bigrams, stem=False)
+    return terms.partial_cells(d.text, STOPS, unigrams, bigrams, stem=False)
 
 
 _AS_LONG = "tax_code, year, region_code, payer, term, CAST(term_freq AS BIGINT) AS term_freq, CAST(doc_freq AS BIGINT) AS doc_freq, is_bigram"

@@ -43,6 +43,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it is read from fewer files than there are cores, so that work in Python has them all; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, written once below the shared folder by columns, so what reads it reads only the columns it needs."""
     path = fresh(df.sparkSession)

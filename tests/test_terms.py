@@ -55,12 +55,12 @@ def test_slices_of_a_batch_add_up(monkeypatch):
     texts = [r[-1] or "" for r in rows]
     whole = Counter()
     for p, t, s, two, n, d in terms.count_slice(texts, terms.np.zeros(len(texts), int), frozenset(STOPS), None, True, True):
-        for x in zip(p, t, s, n, d):
+        for x in zip(p, t.to_pylist(), s.to_pylist(), n, d):
             whole[(two, *x[1:3])] += 1000 * x[3] + x[4]
     parts = Counter()
     for text in texts:
         for p, t, s, two, n, d in terms.count_slice([text], terms.np.zeros(1, int), frozenset(STOPS), None, True, True):
-            for x in zip(p, t, s, n, d):
+            for x in zip(p, t.to_pylist(), s.to_pylist(), n, d):
                 parts[(two, *x[1:3])] += 1000 * x[3] + x[4]
     assert whole == parts and whole
 
