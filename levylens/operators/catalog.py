@@ -58,6 +58,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return latest(both, keys, ["age_"]).drop("age_")
 
 
+def refresh(old: DataFrame, new: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """A dimension after a load: new rows take the place of old ones with their key, but for the columns kept, which only a new key sets."""
+    first = old.select(*keys, *(F.col(c).alias(f"{c}_old") for c in kept), F.lit(True).alias("known_"))
+    rows = upsert(old, new.select(*old.columns), keys).join(first, keys, "left")
+    return rows.select(*(F.when(F.col("known_"), F.col(f"{c}_old")).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in old.columns))
+
+
 def ambiguous(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Keys with more than one value."""
     return rows.groupBy(*by).agg(F.countDistinct(value).alias("kinds")).where("kinds > 1")

@@ -23,7 +23,7 @@ def for_payer(payer: str | None) -> Column:
 
 def matches(text: str | None, columns: list[str]) -> Column:
     """A case-blind pattern anywhere in the columns, one after the other; null is empty; % and _ are live."""
-    needle = (text or "").strip().lower()
+    needle = (text or "").strip().lower().replace("\\", "\\\\")  # a backslash is a letter like any other
     if not needle:
         return F.lit(True)
     parts = [x for c in columns for x in (F.lit(" "), F.coalesce(c, F.lit("")))][1:]

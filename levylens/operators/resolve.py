@@ -84,7 +84,7 @@ def tax_aliases(tax: DataFrame, alias: DataFrame) -> DataFrame:
     """tax_code, alias and at: what a tax may be called, its name, short name and code before the listed aliases (tax_code, alias, and at if their order matters)."""
     own = F.array(*(F.col(c) for c in ("name", "short_name", "code") if c in tax.columns))
     place = F.col("sort_order") if "sort_order" in tax.columns else F.lit(0)
-    called = tax.select(F.col("code").alias("tax_code"), place.alias("place"), F.posexplode(own).alias("pos", "alias")).where("alias IS NOT NULL").select("tax_code", "alias", F.struct(F.lit(0).alias("listed"), place.cast("long").alias("a"), F.col("tax_code").alias("b"), F.col("pos").cast("long").alias("c")).alias("at"))
+    called = tax.select(F.col("code").alias("tax_code"), place.alias("place"), F.posexplode(own).alias("pos", "alias")).where("alias IS NOT NULL").select("tax_code", "alias", F.struct(F.lit(0).alias("listed"), F.col("place").cast("long").alias("a"), F.col("tax_code").alias("b"), F.col("pos").cast("long").alias("c")).alias("at"))
     order = F.col("at").cast("long") if "at" in alias.columns else F.lit(0).cast("long")
     return called.unionByName(alias.select("tax_code", "alias", F.struct(F.lit(1).alias("listed"), order.alias("a"), F.col("alias").alias("b"), F.lit(0).cast("long").alias("c")).alias("at")))
 

@@ -58,6 +58,11 @@ def key_rows(form: DataFrame, indicator: DataFrame) -> DataFrame:
     return form.join(indicator.where("level = 0").select(F.col("id").alias("indicator_id")), "indicator_id", "left_semi")
 
 
+def key_indicators(fact: DataFrame, region: DataFrame, indicator: DataFrame, tax: str, year: int, region_code: str) -> DataFrame:
+    """Q5: the form's rows of a region's key indicators, in the form's order."""
+    return key_rows(facts.form_table(fact, region, indicator, tax, year, region_code), indicator).orderBy("section", "sort_order", "indicator_id")
+
+
 def filled(form: DataFrame, name: str = "") -> DataFrame:
     """Rows with a total, whose name holds a text."""
     return form.where("total_value IS NOT NULL").where(F.contains(F.lower("name"), F.lit(name.strip().lower())))

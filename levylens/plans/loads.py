@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from levylens import session
 from levylens.functions import russian, text
-from levylens.operators import facts, loading, methodology, norms, resolve, service, shape, terms
+from levylens.operators import catalog, exports, facts, loading, methodology, norms, resolve, service, shape, terms
 from levylens.sources import export, ragged, report
 from levylens.streaming import importing
 
 from .bridge import CODE, COUNTS, FACT, INDICATOR, NORM, REGION, STOPS, TEXT, WORDS, YEARS, Domain
-from .queries import _PICK, _VALID, LAST, RF, TAX, YEAR, query
+from .queries import _PICK, _STATS, _VALID, LAST, ORACLES, RF, TAX, YEAR, query
 
 ALIASES = [("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"), ("5-LOW", "low")]
 WORDED = [("Физические лица", "fl"), ("Организации инвалидов", "ul"), ("Индивидуальные предприниматели", "ip"), ("Все категории", "all")]
@@ -368,6 +368,39 @@ def profile(d: Domain) -> DataFrame:
     return out.withColumn("years", F.size("years"))
 
 
+_PAYERS = ("ul", "fl", "total")
+_WIDE = lambda names: ", ".join(f"max(CASE WHEN payer = '{p}' THEN {v} END) AS \"{p}_{names[c]}\"" for p in _PAYERS for c, v in (("value", "value"), ("avg", "round(avg, 4)"), ("rank", "rank")))
+
+
+@query("SELECT section, name AS indicator, unit, " + _WIDE(exports.SHOWN) + " FROM indicator_ i JOIN own_ ON i.id = indicator_id GROUP BY section, name, unit, i.id", REGION, INDICATOR, FACT, _STATS)
+def export_form(d: Domain) -> DataFrame:
+    return exports.form(d.fact, d.region, d.indicator, TAX, YEAR, RF)
+
+
+@query("SELECT i.id AS indicator_id, section, name, unit, sort_order, " + _WIDE({"value": "value", "avg": "avg", "rank": "rank"}) + " FROM indicator_ i JOIN own_ ON i.id = indicator_id WHERE i.id < 3 GROUP BY 1, 2, 3, 4, 5", REGION, INDICATOR, FACT, _STATS)
+def key_indicators(d: Domain) -> DataFrame:
+    return service.key_indicators(d.fact, d.region, d.indicator.withColumn("level", (F.col("id") > 2).cast("int")), TAX, YEAR, RF)
+
+
+@query(
+    f"SELECT id, year, year_from, year_to, oktmo, NULL::VARCHAR AS mo_name, payer, NULL::VARCHAR AS payer_text, object_name, rate_value, NULL::VARCHAR AS rate_text FROM norm_ WHERE {_PICK} AND region_code = '03' AND for_ul = 1 AND lower(object_name) LIKE '%a%' ORDER BY coalesce(object_group, object_name) NULLS FIRST, object_name NULLS FIRST, rate_value, id LIMIT 100000",
+    NORM,
+)
+def export_rate_rows(d: Domain) -> DataFrame:
+    norm = d.norm.withColumns({c: F.lit(None).cast("string") for c in ("mo_name", "payer_text", "npa_name")})
+    return exports.rates(norm, TAX, YEAR, "03", "ul", "A").select("id", "year", "year_from", "year_to", "oktmo", "mo_name", "payer", "payer_text", "object_name", "rate_value", "rate_text")
+
+
+@query("SELECT c_custkey AS code, CASE WHEN c_custkey >= 0 AND c_custkey % 2 = 0 OR c_custkey < 0 AND c_custkey % 2 <> 0 THEN 'new ' || c_name ELSE c_name END AS name, CASE WHEN c_custkey % 6 = 5 THEN -1 ELSE c_nationkey END AS valid_from FROM (SELECT c_custkey, c_name, c_nationkey FROM customer UNION ALL SELECT -c_custkey - 1, c_name, 5 FROM customer WHERE c_custkey % 3 = 0)")
+def dimension_refresh(d: Domain) -> DataFrame:
+    """Known customers get new names and keep their bound; others come in as they are."""
+    c = d.table("customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("valid_from"))
+    k = F.col("code")
+    old = c.withColumn("valid_from", F.when(k % 6 == 5, -1).otherwise(F.col("valid_from")))
+    new = c.where(k % 2 == 0).select("code", F.concat(F.lit("new "), "name").alias("name"), F.lit(99).alias("valid_from")).unionByName(c.where(k % 3 == 0).select((-k - 1).alias("code"), F.when(k % 2 == 0, F.concat(F.lit("new "), "name")).otherwise(F.col("name")).alias("name"), F.lit(5).alias("valid_from")))
+    return catalog.refresh(old, new, ["code"], ["valid_from"])
+
+
 @query(f"SELECT id, region_code, payer, category, (SELECT count(*) FROM norm_ WHERE {_PICK}) AS total FROM norm_ WHERE {_PICK} ORDER BY payer, category, id LIMIT 50 OFFSET 5", NORM)
 def benefits_total(d: Domain) -> DataFrame:
     return norms.with_total(norms.select_norms(d.norm, [], TAX, None, YEAR), norms.BENEFIT_ORDER, 50, 5).select("id", "region_code", "payer", "category", "total")
@@ -439,6 +472,10 @@ def cube_unstemmed(d: Domain) -> DataFrame:
     return terms.build_cube(d.text, STOPS, LAST, stem=False)
 
 
+#: The tables' texts have no Cyrillic, and no other words are stemmed.
+ORACLES["stem_terms"] = ORACLES["cube_unstemmed"]
+
+
 @query("SELECT DISTINCT unnest(list_concat([lower(p_type)], list_filter(regexp_extract_all(lower(p_type), '[a-z0-9][a-z0-9-]*', 0), lambda x: length(x) > 1))) AS word FROM part UNION SELECT 'own'")
 def stop_forms(d: Domain) -> DataFrame:
     return terms.stop_forms(d.table("part").select(F.col("p_type").alias("word")), ["own"])

@@ -233,7 +233,7 @@ def stem_terms(d: Domain) -> DataFrame:
     return terms.build_cube(d.text, STOPS, LAST)
 
 
-@query()
+@query("SELECT o_orderkey, wording, CASE o_orderkey % 5 WHEN 0 THEN 'fl' WHEN 1 THEN 'ul' WHEN 2 THEN 'ip' WHEN 3 THEN 'all' ELSE 'fl' END AS payer FROM (SELECT o_orderkey, ['Физические лица', 'Организации инвалидов', 'Индивидуальные предприниматели', 'Все категории налогоплательщиков', 'Ветераны'][CAST(o_orderkey % 5 + 1 AS INT)] AS wording FROM orders)")
 def payer_detect(d: Domain) -> DataFrame:
     wording = F.element_at(F.array(*map(F.lit, ["Физические лица", "Организации инвалидов", "Индивидуальные предприниматели", "Все категории налогоплательщиков", "Ветераны"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return russian.over_distinct(d.table("orders").select("o_orderkey", wording.alias("wording")), "wording", russian.payer_udf, "payer")

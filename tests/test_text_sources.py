@@ -31,6 +31,70 @@ def test_payers(wording, payer):
     assert russian.detect_payer(wording) == payer
 
 
+def test_a_whole_word_goes_before_the_beginning_of_one():
+    assert russian.detect_payer("Общественные объединения инвалидов") == "ul"  # the beginning of a word, as nothing else is before it
+    assert russian.detect_payer("Общественность и пенсионеры, общества") == "fl"  # the whole word is behind
+    assert russian.detect_payer("", None, "Юлианская семья") == "ul" and russian.detect_payer("всё") == "all"
+
+
+def test_a_backslash_is_a_letter(spark):
+    rows = spark.createDataFrame([(1, "a\\b"), (2, "ab"), (3, "a%b")], "id int, t string")
+    found = lambda needle: [r.id for r in rows.where(norms.matches(needle, ["t"])).orderBy("id").collect()]
+    assert found("a\\") == [1] and found("\\") == [1] and found("a%b") == [1, 2, 3] and found("A_B") == [1, 3]
+
+
+def test_many_names_in_many_texts(spark, monkeypatch):
+    import random
+
+    from levylens.functions import matching
+
+    rng = random.Random(5)
+    names = [("".join(rng.choices("abc ", k=rng.randint(1, 9))).strip() or "z", str(k)) for k in range(300)]
+    texts = ["".join(rng.choices("abc ", k=rng.randint(0, 14))).strip() for _ in range(1500)]
+    found = matching.Names(names)
+    for t in texts:
+        held = [(-len(k), i, v) for i, (k, v) in enumerate(names) if k in t]
+        assert found.longest(t) == (min(held)[2] if held else None)
+        equal = [v for k, v in names if k == t]
+        near = [v for k, v in names if len(k) > 4 and t and (k in t or t in k)]
+        assert found.named(t) == ((equal + near + [None])[0] if t else None), t
+    assert matching.Names([]).named("x") is None and matching.Names([]).longest("x") is None
+    region = spark.createDataFrame([(v.rjust(3, "0"), k) for k, v in names], "code string, name string")
+    alias = region.select(F.col("code").alias("tax_code"), F.col("name").alias("alias"))
+    rows = spark.createDataFrame([(t or None,) for t in texts], "raw string")
+    one, two = resolve.by_name(rows, region, "raw"), resolve.by_alias(rows, alias, "raw")
+    assert "NestedLoop" not in one._jdf.queryExecution().toString() + two._jdf.queryExecution().toString()
+    got = [sorted(map(repr, x.distinct().collect())) for x in (one, two)]
+    monkeypatch.setattr(resolve, "SMALL", 10)  # too many for an automaton: by joins
+    assert got == [sorted(map(repr, x.distinct().collect())) for x in (resolve.by_name(rows, region, "raw"), resolve.by_alias(rows, alias, "raw"))]
+
+
+def test_dimensions_and_votes(spark, tmp_path):
+    from levylens.operators import loading
+    from levylens.sources import dimensions
+
+    (tmp_path / "r.csv").write_text("code,name,short_name,federal_district,kind,valid_from,valid_to,note\n01,Адыгея,,ЮФО,subject,,,\n77,Москва,М,ЦФО,subject,2000,,x\n", encoding="utf-8")
+    (tmp_path / "t.csv").write_text("code,name,short_name,level,form_code,sort_order\ntn,Транспортный налог,ТН,regional,5-ТН,10\nzn,Земельный налог,ЗН,local,5-МН,20\n", encoding="utf-8")
+    (tmp_path / "a.csv").write_text("tax_code,alias\ntn,с машин\nzn,с земли\n", encoding="utf-8")
+    new = dimensions.read_regions(spark, str(tmp_path / "r.csv"))
+    old = new.where("code = '77'").withColumn("valid_from", F.lit("1990")).withColumn("name", F.lit("old"))
+    got = {r.code: r for r in dimensions.load_regions(old, new).collect()}
+    assert (got["77"].name, got["77"].valid_from, got["01"].valid_from, got["01"].short_name) == ("Москва", "1990", None, "")
+    tax = dimensions.read_taxes(spark, str(tmp_path / "t.csv"))
+    assert {r.code: r.sort_order for r in dimensions.load_taxes(tax.withColumn("sort_order", F.lit(1)), tax).collect()} == {"tn": 1, "zn": 1}
+    alias = resolve.tax_aliases(tax, dimensions.read_aliases(spark, str(tmp_path / "a.csv")))
+    said = spark.createDataFrame([("Земельный налог",), ("налог с машин",), ("ТН",), ("прочее",)], "t string")
+    assert {r.t: r.tax_code for r in resolve.by_alias(said, alias, "t").collect()} == {"Земельный налог": "zn", "налог с машин": "tn", "ТН": "tn", "прочее": None}
+    one = loading.norms(spark.createDataFrame([("77", "45301000", "тн", "1")], "region_code string, oktmo string, tax_name string, rate_value string"), new, alias)
+    one.votes.write.parquet(str(tmp_path / "votes"))
+    later = spark.createDataFrame([("", "45-302000", "тн", "2"), ("01", "45", "тн", "3")], "region_code string, oktmo string, tax_name string, rate_value string")
+    two = loading.norms(later, new, alias, votes=spark.read.parquet(str(tmp_path / "votes")))
+    assert {(r.region_code, r.rate_value) for r in two.rates.collect()} == {("01", 2.0), ("01", 3.0)}  # one vote each: the least
+    assert {(v.prefix, v.vote, v.n) for v in two.votes.collect()} == {("45", "77", 1), ("45", "01", 1)}
+    only = loading.norms(later.where("region_code = ''"), new, alias, votes=spark.read.parquet(str(tmp_path / "votes")))
+    assert [r.region_code for r in only.rates.collect()] == ["77"]
+
+
 def test_scalars(spark):
     x = F.col("x")
     assert values(spark, ["1 234,56", "2,2 %", "-", None, "н/д", "от 5 до 10", "1.234.567"], text.parse_number(x)) == [(1234.56,), (2.2,), (None,), (None,), (None,), (5.0,), (1.234,)]
