@@ -6,6 +6,9 @@ place holds the transition function of a four-state automaton, packed in a byte,
 scan composes them until no result depends on the state before. The slices between boundaries feed a
 merge loop with a cache. No regular expression reads the texts.
 
+What is kept of a text is its ids, the byte offset of each slice and the place of each slice's first id.
+Decoding puts each slice's bytes where its offset says, so any range of bytes can be decoded on its own.
+
 Defined cases: null and empty texts give no ids; texts of any length are encoded whole; rows without
 doc_id take no part; repeated rows give a result each; an empty table gives an empty result.
 """
@@ -111,6 +114,10 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes = {v: k for k, v in self.ranks.items()}
         self.digits = {v: str(v) for v in self.bytes}
+        spelled = [self.bytes.get(i, b"") for i in range(max(self.bytes, default=-1) + 1)]
+        self.size = np.array([len(x) for x in spelled], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)  # the bytes of all ids, one after the other
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -157,10 +164,11 @@ class Bpe:
             i = end[i]
         return tuple(out)
 
-    def encode(self, pieces: list[bytes]) -> list[int]:
+    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each piece."""
         known = self.known
         try:
-            return list(chain.from_iterable(map(known.__getitem__, pieces)))
+            return list(map(known.__getitem__, pieces))
         except KeyError:
             new = {p for p in pieces if p not in known}
             if len(known) + len(new) > self.most:
@@ -168,10 +176,28 @@ class Bpe:
                 new = set(pieces)
             for p in new:
                 known[p] = self.merge(p)
-            return list(chain.from_iterable(map(known.__getitem__, pieces)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+            return list(map(known.__getitem__, pieces))
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray, firsts: np.ndarray) -> bytes:
+        """The bytes of pieces, each put at its offset less the first's; firsts are the places of their first ids, and the last entry of both is the end."""
+        if len(offsets) < 2:
+            return b""
+        size = self.size[ids]
+        before = np.cumsum(size) - size
+        ahead = np.repeat(before[np.minimum(firsts[:-1], len(ids) - 1)], np.diff(firsts))
+        at = np.repeat(offsets[:-1] - offsets[0], np.diff(firsts)) + before - ahead
+        out = np.zeros(offsets[-1] - offsets[0], np.uint8)
+        out[common.ragged(at, size)] = self.letters[common.ragged(self.start[ids], size)]
+        return out.tobytes()
+
+    def decode_range(self, ids: np.ndarray, offsets: np.ndarray, firsts: np.ndarray, start: int, end: int) -> bytes:
+        """The bytes from start to end; only the pieces that have some of them are decoded."""
+        start, end = max(0, start), min(end, int(offsets[-1])) if len(offsets) else 0
+        if start >= end:
+            return b""
+        a, b = int(np.searchsorted(offsets, start, "right")) - 1, int(np.searchsorted(offsets, end, "left"))
+        some = self.decode(ids[firsts[a] : firsts[b]], offsets[a : b + 1], firsts[a : b + 1] - firsts[a])
+        return some[start - offsets[a] : end - offsets[a]]
 
 
 _models: dict[str, Bpe] = {}
@@ -197,47 +223,53 @@ def pieces(block: common.Block) -> Iterator[tuple[int, np.ndarray]]:
         yield i, np.append(at[edge[i] : edge[i + 1]], block.offsets[i + 1]) - block.offsets[i]
 
 
-def encode_block(block: common.Block, path: str) -> Iterator[tuple[int, list[int], np.ndarray]]:
+def encode_block(block: common.Block, path: str) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray]]:
+    """For each document: its place, its ids, the byte offset of each piece, and the place of each piece's first id, ends last."""
     bpe = model(path)
     for i, offs in pieces(block):
         text, cut = block.bytes_of(i), offs.tolist()
-        yield i, bpe.encode([text[a:b] for a, b in zip(cut, cut[1:])]), offs
+        merged = bpe.encode([text[a:b] for a, b in zip(cut, cut[1:])])
+        yield i, list(chain.from_iterable(merged)), offs, np.cumsum([0, *map(len, merged)])
 
 
 def encode(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, the ids, and the byte offset at which each piece starts, which decoding to slices needs."""
+    """doc_id, the ids, and for each piece the byte offset and the place of its first id, the ends last, by which decode() puts the bytes."""
     common.bind(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
             rows = list(encode_block(block, ranks))
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([x[1] for x in rows], pa.list_(pa.int32())), pa.array([x[2][:-1] for x in rows], pa.list_(pa.int64()))], ["doc_id", "ids", "offsets"])
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([x[1] for x in rows], pa.list_(pa.int32())), *(pa.array([x[k] for x in rows], pa.list_(pa.int64())) for k in (2, 3))], ["doc_id", "ids", "offsets", "firsts"])
 
-    return common.texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>")
+    return common.texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>, firsts array<long>")
 
 
-def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """doc_id and the bytes of the ids that encode() gave."""
+def decode(encoded: DataFrame, ranks: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """doc_id and the bytes from start to end, by default all, of what encode() gave, by its offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model(ranks).decode(x) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
+            out = []
+            for row in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                ids, offsets, firsts = (x.values.to_numpy() for x in row)
+                out.append(model(ranks).decode_range(ids, offsets, firsts, start, int(offsets[-1]) if end is None else end))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids", "offsets", "firsts").mapInArrow(run, "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, n_tokens, the digest of the ids, and that of the bytes decoded from them, in one pass."""
+    """doc_id, n_tokens, the digest of the ids, and that of the bytes decoded from them by the offsets, in one pass."""
     common.bind(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(ranks)
         for block in common.blocks(batches):
             count, ids_sha, text_sha = [], [], []
-            for _, ids, _ in encode_block(block, ranks):
+            for _, ids, offsets, firsts in encode_block(block, ranks):
                 count.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(np.array(ids, np.int64), offsets, firsts)).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(count, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return common.texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

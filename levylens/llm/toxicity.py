@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows that are learned from at most, and lexicon entries kept at most.
+#: Labelled rows that are learned from at most, and lexicon entries kept at most; parameters of learn(), as are the next two.
 SAMPLE, LEXICON = 24_000, 4_000
 #: A lexicon entry is in at least LEAST toxic texts of the fold, and its log odds there are at least ODDS.
 LEAST, ODDS = 4, 2.0
@@ -177,14 +177,10 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: knots of a rising step function, smoothed towards the overall share by one row a pool."""
-    order = np.argsort(score, kind="stable")
+    levels, at, n = np.unique(score, return_inverse=True, return_counts=True)  # equal scores are one row of their sum
     pools: list[list[float]] = []  # sum, weight, least and greatest score
-    for s, v in zip(score[order], y[order], strict=True):
-        if pools and pools[-1][3] == s:
-            pools[-1][0] += v
-            pools[-1][1] += 1
-        else:
-            pools.append([v, 1, s, s])
+    for s, v, w in zip(levels.tolist(), np.bincount(at, y, len(levels)).tolist(), n.tolist(), strict=True):
+        pools.append([v, w, s, s])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             v1, w1, _, s1 = pools.pop()
             pools[-1] = [pools[-1][0] + v1, pools[-1][1] + w1, pools[-1][2], s1]
@@ -227,7 +223,8 @@ def training_rows(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return rows.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(10)).cast("int"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon_size: int = LEXICON, least: int = LEAST, least_odds: float = ODDS) -> Model:
+    """A model of at most `sample` labelled rows, with at most lexicon_size entries, each of `least` toxic texts and least_odds log odds or more."""
     train = {r.doc_id: (r.toxic, r.fold) for r in training_rows(labels, sample).collect()}  # at most `sample` small rows
     spark = docs.sparkSession
     if not train:
@@ -256,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     entries = (
         rows.mapInArrow(count, "kind int, token long, toxic long, clean long")
         .groupBy("kind", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= LEAST) & (odds >= ODDS)).orderBy(odds.desc(), "kind", "token").limit(LEXICON).collect()
+        .where((F.col("toxic") >= least) & (odds >= least_odds)).orderBy(odds.desc(), "kind", "token").limit(lexicon_size).collect()
     )
     lexicon = Lexicon(*(np.sort(np.array([r.token for r in entries if r.kind == k], np.int64).view(np.uint64)) for k in (0, 1)))
 

@@ -46,7 +46,20 @@ def test_bpe_round_trip_and_offsets(spark):
     rows, ranks = texts(50), P.path("byte_bpe_50k.tiktoken")
     enc = byte_bpe.encode(frame(spark, rows), ranks)
     assert {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(enc, ranks).collect()} == {i: (t or "").encode() for i, t in enumerate(rows)}
-    assert next(r.offsets for r in enc.collect() if r.doc_id == rows.index("don't")) == [0, 3]
+    got = {r.doc_id: r for r in enc.collect()}
+    assert got[rows.index("don't")].offsets == [0, 3, 5] and got[rows.index("")].offsets == [0]
+    for a, b in ((0, 1), (3, 17), (1, 10_000), (9, 9), (700, 701)):
+        some = {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(enc, ranks, a, b).collect()}
+        assert some == {i: (t or "").encode()[a:b] for i, t in enumerate(rows)}
+
+
+def test_bpe_decodes_by_offsets():
+    bpe = byte_bpe.model(P.path("byte_bpe_50k.tiktoken"))
+    pieces = [b" one", b"two", b" three"]
+    ids = [bpe.merge(p) for p in pieces]
+    firsts, flat = np.cumsum([0, *map(len, ids)]), np.concatenate(ids)
+    assert bpe.decode(flat, np.array([0, 4, 7, 13]), firsts) == b" onetwo three"
+    assert bpe.decode(flat, np.array([0, 6, 9, 15]), firsts) == b" one\0\0two three"  # put where the offsets say
 
 
 def test_bpe_long_piece_merges_alike(reference_bpe):
