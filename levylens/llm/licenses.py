@@ -16,6 +16,9 @@ which matches nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,27 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
 ]
+#: Public licences' entire texts, a file each by SPDX name.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "texts")
+
+
+def entire_texts(folder: str = TEXTS) -> list[tuple[str, str]]:
+    """SPDX names and texts, each also as it is often given: without what follows its terms, with points in place of numbers, under its title, and with the reservation of rights."""
+    out = []
+    for file in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, file), encoding="utf-8") as f:
+            name, text = file.removesuffix(".txt"), f.read()
+        forms = [text, text.split("END OF TERMS AND CONDITIONS")[0], text.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS"]
+        if name.startswith("BSD"):
+            plain = re.sub(r"(?m)^\s*(\d\.|\*)\s", "", text)
+            numbers = iter(range(1, 9))
+            numbered = re.sub(r"(?m)^(\s*)(\d\.|\*)(\s)", lambda m: f"{m[1]}{next(numbers)}.{m[3]}", text)
+            forms = [a + b + c for a in ("", f"BSD {name[4]}-Clause License\n", f"The BSD {name[4]}-Clause License\n") for b in ("", "All rights reserved.\n") for c in (plain, numbered)]
+        out += [(name, x) for x in dict.fromkeys(forms)]
+    return out
+
+
+KNOWN += entire_texts()
 #: Spellings that count as the same.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("https", "http"), ("acknowledgement", "acknowledgment")]
 MARKERS = ("licen", "permission", "redistribution")

@@ -97,6 +97,22 @@ def test_license_scan(spark):
     assert got == {0: none, 1: none, 2: ("MIT", 0, ""), 3: (None, 3, "CC-BY-NC-4.0,MIT"), 4: none, 5: none, 6: ("CC-BY-4.0", 1, "CC-BY-4.0"), 7: none}
 
 
+def test_entire_texts_are_known(spark):
+    whole = {}
+    for name, text in licenses.entire_texts():
+        whole.setdefault(name, text)
+    assert set(whole) == {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib"}
+    rows = []
+    for name, text in sorted(whole.items()):
+        with open(f"{licenses.TEXTS}/{name}.txt", encoding="utf-8") as f:
+            text = f.read()
+        rows += [(name, "Copyright (c) 2024, Someone & Sons\n\n" + text), (name, text.upper().replace(",", " ,\t")), (None, text[:-40]), (None, text + " and more")]
+    rows.append(("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2011, A\nAll rights reserved.\n\n" + open(f"{licenses.TEXTS}/BSD-3-Clause.txt", encoding="utf-8").read().replace("* ", "1. ", 1).replace("* ", "2. ", 1).replace("* ", "3. ", 1)))
+    rows += [(None, "license " + "very long " * 200_000), ("MIT", "(C) x\n" * 50_000 + licenses.KNOWN[8][1])]
+    got = {r.doc_id: r.license for r in licenses.scan(docs(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
+
+
 def test_license_scan_matches_sql(spark):
     import pandas as pd
 
