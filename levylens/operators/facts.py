@@ -19,10 +19,12 @@ def round4(c: Column) -> Column:
 
 
 def payer_totals(fact: DataFrame) -> DataFrame:
-    """A4: ul and fl as they are and their sum as total; earlier totals do not count."""
-    own = fact.where(F.col("payer").isin("ul", "fl")).select(*KEY, "payer", "value")
-    total = own.where("value IS NOT NULL").groupBy(*KEY).agg(F.sum(F.col("value").cast("decimal(28,4)")).cast("double").alias("value"))
-    return own.unionByName(total.withColumn("payer", F.lit("total")))
+    """A4: ul and fl as they are and their sum as total; earlier totals do not count. The facts are computed once: a key has a row a payer, so its rows and its sum fit in one."""
+    own = fact.where(F.col("payer").isin("ul", "fl"))
+    summed = own.groupBy(*KEY).agg(F.collect_list(F.struct("payer", "value")).alias("own"), F.sum(F.col("value").cast("decimal(28,4)")).cast("double").alias("sum"))
+    total = F.struct(F.lit("total").alias("payer"), F.col("sum").alias("value"))
+    rows = F.when(F.col("sum").isNotNull(), F.array_append("own", total)).otherwise(F.col("own"))
+    return summed.select(*KEY, F.explode(rows).alias("r")).select(*KEY, "r.payer", "r.value")
 
 
 def of_subjects(fact: DataFrame, region: DataFrame) -> DataFrame:
