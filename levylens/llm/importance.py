@@ -1,14 +1,16 @@
 """Operator 13: importance resampling towards a target distribution, by an integer word dictionary.
 
-A block of documents maps its distinct words to numbers, so an n-gram is a tuple of numbers. Each distinct
-tuple's bytes are put together from the dictionary and hashed to a bucket once, and the documents' counts
-of tuples become counts of buckets by the tuple's number. Buckets' counts over all documents and over all
-target texts give each bucket a gain; a document's weight is the floored mean of its features' gains, and
-with Gumbel noise drawn from its id the highest scores are a sample without replacement in proportion to
-the weights' exponentials.
-
-Texts are read once and not exchanged: what is exchanged are sums of buckets, a row a bucket and block,
-and the scores, for their ranks. A dictionary is its block's; within it a 64-bit hash stands for a word.
+Each block of documents interns its words, and its n-grams as tuples of the words' numbers, with how often
+each document has each tuple. The blocks' words make one dictionary of the corpus and the target texts,
+which gives each distinct word an id, so an n-gram is a tuple of ids; each distinct tuple's bytes are put
+together from the dictionary and hashed to a bucket once, and the buckets are joined back to the blocks'
+tuples and so to their counts. Buckets' counts over all documents and over all target texts give each
+bucket a gain; a document's weight is the floored mean of its features' gains, and with Gumbel noise drawn
+from its id the highest scores are a sample without replacement in proportion to the weights' exponentials.
+
+Texts are read once and not exchanged: what is exchanged are the distinct words of blocks, a row a word and
+block however often it stands there, and the scores, for their ranks. A word's key is its bytes; within a
+block a 64-bit hash stands for them. Tuples of one word are their word's row of the dictionary.
 
 Defined cases: null texts and texts without words have no features, weight 0 and no rank; a row without
 doc_id takes no part; repeated rows are rows of their own; target texts need no id; no target texts, or
@@ -18,7 +20,6 @@ an empty table, leave the formulas as they are with T or S of 0.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +36,19 @@ from .decontamination import _gap as GAP
 MOST_N, BUCKETS, LEAST_WORDS, PERCENT, SEED = 1, 10_000, 20, 10, "2024"
 #: A logarithm's unit in gains and scores.
 UNIT = 1000
-BLOCK = "block long, payload binary, totals array<long>"
+BLOCK = "block long, payload binary, words array<binary>, grams array<array<int>>, counts array<long>"
 PAYLOAD = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
 
 
-class Dictionary:
+class Interned:
     """The words and n-grams of a block's documents, filled part by part."""
 
-    def __init__(self, most_n: int, buckets: int):
-        self.most_n, self.buckets = most_n, buckets
+    def __init__(self, most_n: int):
+        self.most_n = most_n
         self.number: dict[int, int] = {}  # of a word, by its hash
         self.words: list[bytes] = []
-        self.tuples: dict[tuple[int, ...], int] = {}  # the bucket of each distinct n-gram
-        self.totals = np.zeros(buckets, np.int64)
+        self.grams: dict[tuple[int, ...], int] = {}  # the number of each distinct tuple of words' numbers
+        self.counts = np.zeros(0, np.int64)  # of the tuples in the block
         self.rows: list[pa.Table] = []
         self.bytes = 0
 
@@ -63,18 +64,14 @@ class Dictionary:
             own[k] = n
         return own[code]
 
-    def _buckets(self, grams: np.ndarray) -> np.ndarray:
-        """The bucket of each row of word numbers."""
+    def _places(self, grams: np.ndarray) -> np.ndarray:
+        """The number of each row of word numbers."""
         if grams.shape[1] == 1:
             code, seen = pd.factorize(grams[:, 0])
             seen = seen[:, None]
         else:
             seen, code = np.unique(grams, axis=0, return_inverse=True)
-        own = np.empty(len(seen), np.int64)
-        for k, gram in enumerate(map(tuple, seen.tolist())):
-            if gram not in self.tuples:
-                self.tuples[gram] = zlib.crc32(b" ".join([self.words[i] for i in gram])) % self.buckets
-            own[k] = self.tuples[gram]
+        own = np.array([self.grams.setdefault(gram, len(self.grams)) for gram in map(tuple, seen.tolist())], np.int64)
         return own[code.ravel()]
 
     def add(self, block: common.Block) -> None:
@@ -84,33 +81,40 @@ class Dictionary:
         numbers, n_words = self._numbers(w), np.diff(w.first)
         doc = np.repeat(np.arange(n), n_words)
         left = np.repeat(w.first[1:], n_words) - np.arange(len(doc))  # words from each on
-        keys, n_features = [], np.zeros(n, np.int64)
+        docs, places, n_features = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(n, np.int64)
         for k in range(1, self.most_n + 1):
             start = np.flatnonzero(left >= k)
             if len(start):
-                keys.append(doc[start] * self.buckets + self._buckets(numbers[start[:, None] + np.arange(k)]))
+                docs.append(doc[start])
+                places.append(self._places(numbers[start[:, None] + np.arange(k)]))
             n_features += np.maximum(n_words - k + 1, 0)
-        held, times = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-        at = held % self.buckets
-        self.totals += np.bincount(at, times, self.buckets).astype(np.int64)
-        edge = pa.array(np.searchsorted(held, np.arange(n + 1) * self.buckets), pa.int32())
+        size = max(1, len(self.grams))
+        held, times = np.unique(np.concatenate(docs) * size + np.concatenate(places), return_counts=True)
+        at = held % size
+        more = np.bincount(at, times, len(self.grams)).astype(np.int64)
+        more[: len(self.counts)] += self.counts
+        self.counts = more
+        edge = pa.array(np.searchsorted(held, np.arange(n + 1) * size), pa.int32())
         lists = [pa.ListArray.from_arrays(edge, pa.array(x, kind)) for x, kind in ((at, pa.int32()), (times, pa.int64()))]
         self.rows.append(pa.table([pa.array(block.ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_features), *lists], schema=PAYLOAD))
 
     def row(self, block: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([common.sealed(pa.concat_tables(self.rows))], pa.binary()), pa.array([self.totals], pa.list_(pa.int64()))], ["block", "payload", "totals"])
+        """Tuples are listed only if there are others than the words themselves, whose numbers are then the tuples'."""
+        grams = list(self.grams) if self.most_n > 1 else []
+        lists = ((self.words, pa.binary()), (grams, pa.list_(pa.int32())), (self.counts, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([common.sealed(pa.concat_tables(self.rows))], pa.binary()), *(pa.array([x], pa.list_(kind)) for x, kind in lists)], ["block", "payload", "words", "grams", "counts"])
 
 
-def featured(docs: DataFrame, most_n: int = MOST_N, buckets: int = BUCKETS) -> DataFrame:
-    """A row for each block of documents: its documents with their features by bucket, and the sums of all."""
+def interned(docs: DataFrame, most_n: int = MOST_N) -> DataFrame:
+    """A row for each block of documents: its documents with their tuples by number, its distinct words and tuples, and the tuples' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = TaskContext.get().partitionId() << 32, Dictionary(most_n, buckets)
+        at, own = TaskContext.get().partitionId() << 32, Interned(most_n)
         for block in common.blocks(batches):
             own.add(block)
             if own.bytes >= common.SHARED_BYTES:
                 yield own.row(at)
-                at, own = at + 1, Dictionary(most_n, buckets)
+                at, own = at + 1, Interned(most_n)
         if own.rows:
             yield own.row(at)
 
@@ -118,11 +122,29 @@ def featured(docs: DataFrame, most_n: int = MOST_N, buckets: int = BUCKETS) -> D
     return common.written(common.texts_of(docs).mapInArrow(run, BLOCK))
 
 
-def totals_of(blocks: DataFrame, buckets: int) -> list[int]:
+def bucketed(blocks: DataFrame, most_n: int, buckets: int) -> DataFrame:
+    """own, block, no, n and bucket of every tuple of every block: the dictionary of all words, the hash of each distinct tuple of ids, and the join back."""
+    entries = blocks.select("own", "block", F.posexplode("words").alias("at", "word"))
+    counted = blocks.select("own", "block", F.posexplode("counts").alias("no", "n"))
+    bucket = lambda text: F.pmod(F.crc32(text), F.lit(buckets)).cast("int").alias("bucket")
+    dictionary = common.written(entries.select("word").distinct().withColumn("id", F.monotonically_increasing_id()).select("word", "id", bucket(F.col("word"))))
+    if most_n == 1:  # a tuple of one id is its word's row, and has its number
+        with_counts = blocks.select("own", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "x")).select("own", "block", "no", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+        return common.written(with_counts.join(dictionary, "word").select("own", "block", "no", "n", "bucket"))
+    ids = entries.join(dictionary, "word").select("own", "block", "at", "id")
+    places = blocks.select("own", "block", F.posexplode("grams").alias("no", "gram")).select("own", "block", "no", F.posexplode("gram").alias("pos", "at"))
+    in_order = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value])
+    grams = common.written(places.join(ids, ["own", "block", "at"]).groupBy("own", "block", "no").agg(in_order("id").alias("gram")))
+    spelled = grams.select("gram").distinct().select("gram", F.posexplode("gram").alias("pos", "id")).join(dictionary.select("id", F.hex("word").alias("word")), "id")
+    hashed = spelled.groupBy("gram").agg(bucket(F.unhex(F.array_join(in_order("word"), "20"))))  # 20 is the space's byte
+    return common.written(grams.join(hashed, "gram").join(counted, ["own", "block", "no"]).select("own", "block", "no", "n", "bucket"))
+
+
+def totals_of(tuples: DataFrame, buckets: int) -> list[int]:
     """The features in each bucket, over all documents."""
     out = [0] * buckets
-    for r in blocks.select(F.posexplode("totals").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a bucket
-        out[r["at"]] = r["n"]
+    for r in tuples.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket
+        out[r["bucket"]] = r["n"]
     return out
 
 
@@ -132,28 +154,31 @@ def gains_of(own: list[int], wanted: list[int]) -> np.ndarray:
     return np.array([math.floor(UNIT * math.log((t + 1.0) * (all_own + k) / ((s + 1.0) * (all_wanted + k)))) for s, t in zip(own, wanted, strict=True)], np.int64)
 
 
-def weighted(blocks: DataFrame, gains: np.ndarray) -> DataFrame:
-    """doc_id, n_words, n_features and weight of every document."""
+def weighted(blocks: DataFrame, tuples: DataFrame, gains: np.ndarray) -> DataFrame:
+    """doc_id, n_words, n_features and weight of every document, a block with its tuples at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0):
-                rows = common.opened(payload).combine_chunks()
-                lists = rows.column("at").combine_chunks()
-                edge = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-                of, times = gains[lists.flatten().to_numpy()], rows.column("times").combine_chunks().flatten().to_numpy()
-                n = rows.column("n_features").to_numpy()
-                cols = {"doc_id": rows.column("doc_id").to_numpy(), "n_words": rows.column("n_words").to_numpy(), "n_features": n, "weight": common.sums_of(of * times, edge) // np.maximum(n, 1)}
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols.values()], list(cols))
+    def run(block: pa.Table, own: pa.Table) -> pa.Table:
+        gain = np.zeros(1 + max(own.column("no").to_numpy(), default=0), np.int64)
+        gain[own.column("no").to_numpy()] = gains[own.column("bucket").to_numpy()]
+        rows = pa.concat_tables([common.opened(x) for c in block.column("payload").chunks for x in c]).combine_chunks() if block.num_rows else PAYLOAD.empty_table()
+        lists = rows.column("at").combine_chunks()
+        edge = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        times = rows.column("times").combine_chunks().flatten().to_numpy()
+        n = rows.column("n_features").to_numpy()
+        cols = {"doc_id": rows.column("doc_id").to_numpy(), "n_words": rows.column("n_words").to_numpy(), "n_features": n, "weight": common.sums_of(gain[lists.flatten().to_numpy()] * times, edge) // np.maximum(n, 1)}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()})
 
-    return blocks.select("payload").mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    left, right = blocks.select("block", "payload").groupBy("block"), tuples.select("block", "no", "bucket").groupBy("block")
+    return left.cogroup(right).applyInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
 def resample(docs: DataFrame, wanted: DataFrame, most_n: int = MOST_N, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: str = SEED) -> DataFrame:
     """doc_id, n_features, weight, score and rank of every document; wanted has the target texts, percent of the documents of least_words or more are drawn."""
-    blocks = featured(docs, most_n, buckets)
-    aims = featured(wanted.select(F.lit(0).alias("doc_id"), "text"), most_n, buckets)
-    rows = weighted(blocks, gains_of(totals_of(blocks, buckets), totals_of(aims, buckets)))
+    blocks = interned(docs, most_n)
+    aims = interned(wanted.select(F.lit(0).alias("doc_id"), "text"), most_n)
+    both = blocks.withColumn("own", F.lit(True)).unionByName(aims.withColumn("own", F.lit(False)))
+    tuples = bucketed(both, most_n, buckets)
+    rows = weighted(blocks, tuples.where("own"), gains_of(*(totals_of(tuples.where(F.col("own") == own), buckets) for own in (True, False))))
     u = (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     rows = common.written(rows.withColumn("score", F.col("weight") + F.floor(-UNIT * F.log(-F.log(u)))))
     able = rows.where(F.col("n_words") >= least_words)

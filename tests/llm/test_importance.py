@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from levylens.llm import common, importance
 
@@ -83,10 +84,24 @@ def test_empty_tables(spark):
     assert sorted(map(tuple, got), key=repr) == brute(rows, [])
 
 
-def test_a_tuple_is_hashed_once(monkeypatch):
-    hashed = []
-    monkeypatch.setattr(importance.zlib, "crc32", lambda x: hashed.append(x) or len(x))
-    own = importance.Dictionary(2, 100)
-    for _ in range(3):
-        own.add(common.one_block("a b a b", "b a"))
-    assert sorted(hashed) == [b"a", b"a b", b"b", b"b a"]
+def test_ids_and_buckets_are_one_for_each_word_and_tuple(spark, monkeypatch):
+    monkeypatch.setattr(common, "SHARED_BYTES", 10)
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "B a"), (3, "a b"), (4, None)], "doc_id long, text string").repartition(3)
+    blocks = importance.interned(docs, 2).withColumn("own", F.lit(True))
+    assert sorted(tuple(map(bytes, r.words)) for r in blocks.collect() if r.words)[0] == (b"a", b"b")
+    rows = importance.bucketed(blocks, 2, 100).collect()
+    want = Counter()
+    for text in ("a b a b", "b a", "a b"):
+        for f in features(text, 2)[1]:
+            want[zlib.crc32(f.encode()) % 100] += 1
+    got = Counter()
+    for r in rows:
+        got[r.bucket] += r.n
+    assert got == want
+
+
+def test_plan_hashes_after_the_words_are_distinct(spark):
+    docs, wanted = frames(spark, *case(60))
+    one = importance.interned(docs, 1).withColumn("own", F.lit(True))
+    entries = one.select(F.explode("words").alias("w"))
+    assert importance.bucketed(one, 1, 10).count() == entries.count() >= entries.distinct().count()
