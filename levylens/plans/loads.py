@@ -460,6 +460,32 @@ def made_up_facts(d: Domain) -> DataFrame:
     return rows.groupBy(F.col("year").cast("long").alias("y")).agg(F.lit(24).alias("rows_a_subject"), F.count(F.lit(1)).alias("n"), (F.min("value") > 0).alias("positive"))
 
 
+@query(
+    """SELECT CAST(p_size AS VARCHAR) AS "table", min_by(k, (-w, k)) AS row_idx, -min(-w) AS width FROM (SELECT p_size, p_partkey AS k, len(string_split(p_name, ' ')) + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS w FROM part) GROUP BY p_size"""
+)
+def widest_rows(d: Domain) -> DataFrame:
+    k, name = F.col("p_partkey"), F.split("p_name", " ")
+    rows = d.table("part").select(F.lit("s").alias("file"), F.col("p_size").cast("string").alias("table"), k.alias("row_idx"), F.when(k % 3 == 0, F.array_append(name, F.lit("more"))).otherwise(name).alias("cells"))
+    return shape.widest_row(rows).select("table", "row_idx", F.size("cells").cast("long").alias("width"))
+
+
+@query(
+    f"""SELECT indicator_id, year, {", ".join(f"max(CASE WHEN payer = '{p}' THEN value END) AS {p}_value, max(CASE WHEN payer = '{p}' THEN round(avg, 4) END) AS {p}_avg, max(CASE WHEN payer = '{p}' THEN rank END) AS {p}_rank" for p in ("ul", "fl", "total"))} FROM (
+    SELECT t.*, s.avg, CAST(len(list_filter(vs, lambda v: v > t.value)) + 1 AS INT) AS rank FROM total_ t LEFT JOIN (SELECT indicator_id, year, payer, avg(value) AS avg, list(value) AS vs FROM subject_ WHERE tax_code = '{TAX}' GROUP BY ALL) s USING (indicator_id, year, payer) WHERE tax_code = '{TAX}' AND region_code = '03') GROUP BY 1, 2""",
+    REGION, FACT,
+)
+def form_wide(d: Domain) -> DataFrame:
+    by = ["indicator_id", "year", "payer"]
+    rows = facts.payer_totals(d.fact.where(F.col("tax_code") == TAX))
+    ranked = facts.ranked(rows.where("region_code = '03'").select(*by, "value"), facts.subject_stats(rows, d.region, by), by)
+    return shape.wide_for_export(ranked.withColumn("avg", facts.round4(F.col("avg"))), ["indicator_id", "year"])
+
+
+@query("SELECT id AS indicator_id, name FROM indicator_ i WHERE lower(name) LIKE '%e%' AND EXISTS (SELECT 1 FROM own_ WHERE indicator_id = i.id AND payer = 'total' AND value IS NOT NULL)", REGION, INDICATOR, FACT, _STATS)
+def filled_rows(d: Domain) -> DataFrame:
+    return service.filled(facts.form_table(d.fact, d.region, d.indicator, TAX, YEAR, RF), " E ").select("indicator_id", "name")
+
+
 # ---------------------------------------------------------------- terms
 
 _BOTH = """pair_ AS (SELECT a.tax_code, a.year, a.region_code, a.payer, a.term || ' ' || b.term AS term, count(*) AS term_freq, count(DISTINCT a.doc_id) AS doc_freq, 1 AS is_bigram FROM word_ a JOIN word_ b ON a.doc_id = b.doc_id AND a.year = b.year AND b.pos = a.pos + 1 GROUP BY ALL),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from levylens.operators import resolve
+
 from levylens.functions import text
 
 
@@ -36,7 +38,7 @@ def report(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 def made_up(spark: SparkSession, region: DataFrame, indicator: DataFrame, year_from: int = 2015, year_to: int = 2024, seed: int = 20240101, tax: str = "tn") -> DataFrame:
     """Facts of all subjects, indicators, years and payers. A value depends on its key and the seed alone, so any number of partitions gives the same."""
     unit = lambda *key: F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_003)) / 1_000_003.0
-    keys = region.where("kind = 'subject'").select(F.col("code").alias("region_code")).crossJoin(F.broadcast(indicator.select(F.col("id").alias("indicator_id"))))  # dimensions, and years below
+    keys = region.where("kind = 'subject'").select(F.col("code").alias("region_code")).crossJoin(resolve.dimension(indicator.select(F.col("id").alias("indicator_id"))))  # dimensions, and years below
     rows = keys.withColumn("year", F.explode(F.sequence(F.lit(year_from), F.lit(year_to)))).withColumn("payer", F.explode(F.array(F.lit("ul"), F.lit("fl"))))
     size = F.exp(F.lit(4.0) + 4 * unit("region_code")) * (1 + 9 * unit("indicator_id"))
     trend = 1 + 0.04 * (F.col("year") - year_from) + 0.2 * (unit("region_code", "indicator_id", "year", "payer") - 0.5)

@@ -219,3 +219,26 @@ def test_entry_imports_and_stays_whole():
     import __spark_entry__ as e
 
     assert "ranking_top" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rows_are_appended_and_slices_replaced(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    rows = spark.createDataFrame([(2020, "tn", 1.0), (2021, "tn", 2.0), (2020, "zn", 3.0)], "year int, tax string, value double")
+    ingest.append(rows, path, ["tax", "year"])
+    ingest.append(rows.where("year = 2021"), path, ["tax", "year"])
+    read = lambda: sorted((r.year, r.tax, r.value) for r in spark.read.parquet(path).collect())
+    assert read() == [(2020, "tn", 1.0), (2020, "zn", 3.0), (2021, "tn", 2.0), (2021, "tn", 2.0)]
+    ingest.replace_slice(rows.where("year = 2021").withColumn("value", F.lit(9.0)), path, ["tax", "year"])
+    assert read() == [(2020, "tn", 1.0), (2020, "zn", 3.0), (2021, "tn", 9.0)]
+
+
+def test_limits(spark):
+    from levylens.operators import facts, service, terms
+
+    fact = spark.createDataFrame([(2020, str(r), "tn", 1, "ul", float(r)) for r in range(10, 30)], "year int, region_code string, tax_code string, indicator_id int, payer string, value double")
+    region = spark.createDataFrame([(str(r), f"r{r}", "subject") for r in range(10, 30)], "code string, name string, kind string")
+    assert [r.region_code for r in facts.ranking(fact, region, "tn", 2020, 1, limit=3).collect()] == ["29", "28", "27"]
+    cube = spark.createDataFrame([("tn", 2020, "00", "fl", f"t{k}", 0, k, 1) for k in range(30)], "tax_code string, year int, region_code string, payer string, term string, is_bigram int, term_freq long, doc_freq long")
+    assert [r.term for r in terms.cloud(cube, "tn", "fl", limit=2).collect()] == ["t29", "t28"]
+    log = spark.createDataFrame([(k, f"2024-01-{k + 1:02d}") for k in range(20)], "id int, loaded_at string")
+    assert [r.id for r in service.last_loads(log, 4).collect()] == [19, 18, 17, 16]
