@@ -103,3 +103,10 @@ def test_few_and_empty(spark):
     assert got == [(0, 1, 4, 0.5), (0, 2, 20, 0.5), (0, 3, 3, 0.0), (20, 1, 0, 0.5), (20, 2, 3, 0.5), (20, 3, 4, 0.5)]
     assert neighbours.search(df.where("vec_id > 99")).count() == 0
     assert neighbours.search(df.where("vec_id = 3")).count() == 0
+
+
+def test_a_repeated_id_is_one_candidate_with_its_first_vector(spark):
+    rows = [(0, [1.0, 0.0]), (3, [0.9, 0.1]), (3, [0.9, 0.1]), (3, [0.1, 0.9]), (7, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS query_id", "2 AS score", "'x' AS rank")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in neighbours.search(df).collect())
+    assert got == [(1, 7, 0.5), (2, 3, 0.1)]

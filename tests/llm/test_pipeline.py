@@ -51,7 +51,9 @@ def test_run(spark, planted):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     text = dict(texts)
-    assert enc.decode(got[1003].ids) == text[1003].replace(passage, "").replace("  ", " ") or passage[:150] not in enc.decode(got[1003].ids)
+    cut = enc.decode(got[1003].ids)  # less the passage, and up to a window's bytes around it that the copies share
+    assert passage not in cut and passage[:150] not in cut and passage[-150:] not in cut
+    assert len(text[1003]) - len(passage) - 40 <= len(cut) <= len(text[1003]) - len(passage) + 1
     assert enc.decode(got[7].ids) == text[7] and got[1005].n_tokens == 0
 
 

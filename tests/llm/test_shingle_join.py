@@ -158,3 +158,14 @@ def test_one_of_each_by_text_and_with_odd_names(spark):
     kept = sorted((tuple(r) for r in out.collect()), key=repr)
     assert [r[2:] for r in kept] == [("c", "r", "s", "f", 1, 2, "o", 3)] * len(kept)
     assert {(r[0], r[1]) for r in kept} == {(3, a), (5, "another text of six words here"), (None, a), (9, " ")} | {(8, next(r[1] for r in kept if r[0] == 8))} and len(kept) == 5
+
+
+def test_very_long_texts_and_their_near_copies(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(40_000)]
+    other = [*words[:20_000], "altered", *words[20_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(reversed(words))), (4, "\n".join(words).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in sj.join(df).collect()}
+    assert {i: r.component_id for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert all(r.n_shingles == 39_998 for r in got.values())

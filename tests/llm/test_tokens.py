@@ -122,3 +122,18 @@ def test_word_hashes_tell_constructed_words_apart():
     w = common.words(common.one_block("Ab aB " + "x" * 64 + " " + "X" * 64 + " " + "x" * 65, "ab " + "Y" * 300, "y" * 300))
     assert w.hash[0] == w.hash[1] == w.hash[5] and w.hash[2] == w.hash[3] != w.hash[4] and w.hash[6] == w.hash[7]
     assert len({common.word_hash("q" * n) for n in range(1, 200)}) == 199
+
+
+def test_token_files_of_a_repeated_id_with_a_very_long_text(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(5, "b " * 60_000), (5, None), (5, "a few words"), (5, "a few words"), (2, "first"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, start = [], 0
+    for i, text in sorted((i, x or "") for i, x in rows if i is not None):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = token_files.token_files(df, P.path("word_bpe_49k.json")).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
