@@ -20,6 +20,8 @@ from . import ingest
 WIDTH, CODES, ROWS = 12, 5, 3000
 #: A header is looked for in so many first rows; so many fields make a table one of norms if it names a region.
 HEADER_ROWS, FIELDS = 5000, 5
+#: Suffixes of files that are looked at; others are passed over.
+SUFFIXES = containers.TABLES + containers.PACKED
 LEDGER = "path string, kind string, size long, mtime double"
 HEADER = "file string, table string, header_at int, columns map<string,int>, fields array<string>"
 OUTCOME = "file string, kind string, tax string, state string, note string"
@@ -175,7 +177,7 @@ def run(spark: SparkSession, folder: str, ledger: DataFrame, kinds: Callable[[Da
     The ledger is asked before any content is read. Files that failed or that nothing is known of do not
     go into it, so the next run tries them again. An empty ledger loads everything anew.
     """
-    found = delimited.files(spark, folder).select("path", "length", "modificationTime")
+    found = delimited.files(spark, folder, suffixes=SUFFIXES).select("path", "length", "modificationTime")
     new = ingest.unseen(found, ledger)
     new = session.kept(new.orderBy("path").limit(most) if most else new)
     done = load_files(spark, new, kinds, loaders, after, totals)
@@ -201,7 +203,7 @@ def stream(spark: SparkSession, folder: str, state: str, kinds: Callable[[DataFr
 
     found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_a_batch).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    found = found.where(~name.startswith(".") & ~name.startswith("~$"))
+    found = found.where(~name.startswith(".") & ~name.startswith("~$") & F.regexp_like(F.lower(name), F.lit(rf"\.({'|'.join(SUFFIXES)})$")))
     found.writeStream.foreachBatch(work).option("checkpointLocation", os.path.join(state, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
 
 

@@ -30,6 +30,7 @@ def empty(spark):
 def test_only_new_files_are_read(spark, tmp_path, empty):
     for k in range(6):
         (tmp_path / f"rates{k}.csv").write_text(f"a;b\n{k};{k}\n")
+    (tmp_path / "rates.log").write_text("a;b\n1;2\n")  # of another suffix
     seen = []
     work = {"rates": lambda rows: seen.append(sorted((r.file.rsplit("/", 1)[1], r.row_idx) for r in rows.collect()))}
     done, ledger = importing.run(spark, str(tmp_path), empty, by_name, work)
