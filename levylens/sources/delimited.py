@@ -66,14 +66,15 @@ SPREAD = 8
 
 def files(spark: SparkSession, path: str | list[str], glob: str = "*", suffixes: tuple[str, ...] | None = None, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """Path, length, modificationTime and content of the files below path, or of the listed ones; hidden and lock files, files of other suffixes and those in skipped folders stay out. Content is read only where it is used."""
-    at = F.split("path", "/")
-    name, folders = F.element_at(at, -1), F.slice(at, 1, F.size(at) - 1)
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    at = F.split(F.regexp_replace("path", scheme, ""), "/")
+    name = F.element_at(at, -1)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     found = found.where(~name.startswith(".") & ~name.startswith("~$"))
-    if isinstance(path, str) and skipped:
-        base = path.rstrip("/").removeprefix("file:").lstrip("/").count("/") + 1
-        below = F.slice(F.filter(folders, lambda x: (x != "") & ~x.endswith(":")), base + 1, F.size(folders))
-        found = found.where(~F.arrays_overlap(below, F.array(*map(F.lit, skipped))))
+    base = re.sub(scheme, "", path).rstrip("/") if isinstance(path, str) else ""
+    if base.startswith("/") and skipped:  # folders above the given one do not matter
+        depth = base.count("/") + 2
+        found = found.where(~F.arrays_overlap(F.slice(at, depth, F.greatest(F.size(at) - depth, F.lit(0))), F.array(*map(F.lit, skipped))))
     return found.where(F.regexp_like(F.lower(name), F.lit(rf"\.({'|'.join(suffixes)})$"))) if suffixes else found
 
 

@@ -146,9 +146,14 @@ def test_sheets_and_members_are_dealt_among_tasks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         for k in range(12):
             z.writestr(f"m{k}.csv", f"a;b\n{k};{k}\n")
-    (tmp_path / "node_modules").mkdir()
-    (tmp_path / "node_modules" / "no.csv").write_text("x;y")
-    rows = delimited.read_tables(spark, str(tmp_path))
+    tmp_path = tmp_path / "venv" / "data"  # what lies above does not matter
+    tmp_path.mkdir(parents=True)
+    big_workbook(tmp_path / "w.xlsx", 50, 3)
+    (tmp_path.parent.parent / "z.zip").rename(tmp_path / "z.zip")
+    for folder in ("node_modules", "in/.git"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "no.csv").write_text("x;y")
+    rows = delimited.read_tables(spark, f"file://{tmp_path}/")
     got = rows.collect()
     book = sorted({(r.table_at, r.table) for r in got if r.file.endswith("xlsx")})
     assert book == [(0, "s0"), (1, "s1"), (2, "s2")] and sum(r.file.endswith("xlsx") for r in got) == 150
