@@ -20,6 +20,8 @@ from levylens import session
 RAW = "file string, table string, table_at int, row_idx long, cells array<string>"
 SAMPLE_BYTES, LOOKAHEAD = 1 << 16, 40
 DELIMITERS = ";\t,|"
+#: Suffixes of files that are read by blocks.
+BLOCKWISE = ("csv", "txt", "tsv")
 #: The table of a file that could not be read.
 ERROR = "error"
 
@@ -81,11 +83,21 @@ def files(spark: SparkSession, path: str | list[str], glob: str = "*", suffixes:
 def read_tables(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
     """The rows of every table in every file, by suffix, with the tables' order; gz and zip are opened.
 
-    Rows are sent on as they are read. The members of an archive and the sheets of a workbook are dealt
-    among tasks; any other file is read by one (read_ragged() splits delimited ones). I4: a file that
-    cannot be read gives one row, whose table is ERROR and whose cells say why.
+    Delimited files are read by blocks, unless their encoding's letters are not single bytes. Of others,
+    rows are sent on as they are read; the members of an archive and the sheets of a workbook are dealt
+    among tasks, and any other file is read by one. I4: a file that cannot be read gives one row, one read
+    by blocks a row for each that cannot be cut, whose table is ERROR and whose cells say why.
     """
-    return tables_of(files(spark, path, glob).select("path", "content"))
+    from . import ragged
+
+    found = files(spark, path, glob)
+    plain = F.regexp_like(F.lower("path"), F.lit(rf"\.({'|'.join(BLOCKWISE)})$"))
+    listed = sorted(r.path for r in found.where(plain).select("path").toLocalIterator())
+    if not listed:
+        return tables_of(found.select("path", "content"))
+    rows, whole = ragged.read_files(spark, listed)
+    rest = ~plain | F.col("path").isin(whole)
+    return rows.unionByName(tables_of(found.where(rest).select("path", "content"))) if whole or found.where(~plain).limit(1).count() else rows
 
 
 def tables_of(found: DataFrame) -> DataFrame:

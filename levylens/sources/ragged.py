@@ -13,8 +13,10 @@ The rules of quotes are those of Python's csv module.
 
 from __future__ import annotations
 
+import codecs
 import csv
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -66,7 +68,19 @@ def _functions(lines: list[bytes], state: list[list[bool]], rows: list[list[int]
 
 def _lines(spark: SparkSession, path: str | list[str], longest: int) -> DataFrame:
     raw = spark.read.option("mapreduce.input.linerecordreader.line.maxlength", longest).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # as other readers name the file
+    return raw.select(name.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+
+
+@lru_cache
+def by_bytes(encoding: str) -> bool:
+    """Whether quotes, delimiters and line ends are single bytes of the encoding, and no part of other letters."""
+    try:
+        name = codecs.lookup(encoding).name
+        plain = bytes(range(128)).decode(encoding) == "".join(map(chr, range(128)))
+        return name.startswith("utf-8") or plain and len(bytes(range(256)).decode(encoding, errors="replace")) == 256
+    except (LookupError, UnicodeError):
+        return False
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[bytes]]]:
@@ -110,7 +124,7 @@ def states(found: DataFrame, encoding: str | None = None, delimiter: str | None
         frame = frame.sort_values("start")
         head = b"".join(frame["head"])[: delimited.SAMPLE_BYTES]
         name = encoding or delimited.detect_encoding(head)
-        sep = delimiter or delimited.detect_delimiter(head.decode(name, errors="replace"))
+        sep = delimiter or (delimited.detect_delimiter(head.decode(name, errors="replace")) if by_bytes(name) else delimited.DELIMITERS[0])
         k, inside, first, out = delimited.DELIMITERS.index(sep), False, 0, []
         for r in frame.itertuples():
             out.append((r.file, r.start, name, sep, inside, first))
@@ -121,7 +135,9 @@ def states(found: DataFrame, encoding: str | None = None, delimiter: str | None
     return found.groupBy("file").applyInPandas(run, STATE)
 
 
-def _cells(raw: bytes, encoding: str, delimiter: str) -> list[str]:
+def _cells(raw: bytes | None, encoding: str, delimiter: str) -> list[str]:
+    if raw is None:
+        raise csv.Error(f"field larger than field limit ({csv.field_size_limit()})")
     row = next(csv.reader([raw.decode(encoding, errors="replace")], delimiter=delimiter), [])
     return [delimited.clean_cell(c) for c in row]
 
@@ -137,10 +153,29 @@ def read_ragged(spark: SparkSession, path: str | list[str], encoding: str | None
         raise ValueError(f"the delimiter must be one of {delimited.DELIMITERS!r}")
     session.bind(spark)
     lines = _lines(spark, path, longest)
-    known = session.kept(states(blocks(lines), encoding, delimiter))  # a row a block
+    return _cut(lines, session.kept(states(blocks(lines), encoding, delimiter)))  # a row a block
+
+
+def read_files(spark: SparkSession, paths: list[str], longest: int = 32 << 20) -> tuple[DataFrame, list[str]]:
+    """I4: read_ragged() of listed files, in which a row that cannot be cut is one of the table ERROR, and those files that are not read so, as their encodings are none of single bytes."""
+    session.bind(spark)
+    lines = _lines(spark, paths, longest)
+    known = session.kept(states(blocks(lines)))  # a row a block
+    named = [r.encoding for r in known.select("encoding").distinct().collect()]
+    odd = F.col("encoding").isin([n for n in named if not by_bytes(n)])
+    return _cut(lines, known, odd, errors=True), sorted(r.file for r in known.where(odd).select("file").distinct().toLocalIterator())
+
+
+def _cut(lines: DataFrame, known: DataFrame, left_out: Column | None = None, errors: bool = False) -> DataFrame:
+    """The second pass over lines, from what is known of their blocks. A quoted cell beyond the csv module's limit ends there, as does what is held of it."""
+    longest_cell = 4 * csv.field_size_limit()  # a letter has at most four bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, inside, at, held = None, False, -1, []
+        block, inside, at, held, cell = None, False, -1, [], 0  # cell: bytes since the last quote
+
+        def whole() -> bytes | None:
+            return None if held[0] is None else b"\n".join(held)
+
         for batch in batches:
             out: list[tuple] = []
             for file, start, line, name, sep, state, first in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
@@ -148,27 +183,33 @@ def read_ragged(spark: SparkSession, path: str | list[str], encoding: str | None
                     raise ValueError(f"{file} is cut into other blocks than before: {start}")
                 if (file, start) != block:
                     if held:
-                        out.append((block[0], at, block[1], b"\n".join(held), own))
-                    block, inside, at, held, own = (file, start), state, first - 1, [], (name, sep)
+                        out.append((block[0], at, block[1], whole(), own))
+                    block, inside, at, held, own, cell = (file, start), state, first - 1, [], (name, sep), 0
                 at += not inside
-                held.append(line)
-                inside = ends_inside(line, sep.encode(), inside) if b'"' in line else inside
+                quoted = b'"' in line
+                cell = 0 if quoted or not inside else cell + len(line)
+                if cell > longest_cell:
+                    held = [None]
+                if held != [None]:
+                    held.append(line)
+                inside = ends_inside(line, sep.encode(), inside) if quoted else inside
                 if not inside:
-                    out.append((file, at, start, b"\n".join(held), own))
+                    out.append((file, at, start, whole(), own))
                     held = []
             yield _pieces(out)
         if held:
-            yield _pieces([(block[0], at, block[1], b"\n".join(held), own)])
+            yield _pieces([(block[0], at, block[1], whole(), own)])
 
-    placed = lines.join(F.broadcast(known), ["file", "start"], "left").select("file", "start", "line", "encoding", "delimiter", "inside", "first")  # of a row for each split of the input
+    placed = lines.join(F.broadcast(known), ["file", "start"], "left")
+    placed = (placed if left_out is None else placed.where(F.coalesce(~left_out, F.lit(True)))).select("file", "start", "line", "encoding", "delimiter", "inside", "first")  # of a row for each split of the input
     pieces = placed.mapInArrow(run, "file string, row_idx long, start long, raw binary, encoding string, delimiter string")
     cut = known.where("inside").select("file", (F.col("first") - 1).alias("row_idx")).distinct()  # rows across blocks
     if not cut.limit(1).count():
-        return _rows(pieces)
+        return _rows(pieces, errors)
     whole = pieces.join(F.broadcast(cut), ["file", "row_idx"], "left_anti")
     across = pieces.join(F.broadcast(cut), ["file", "row_idx"], "left_semi").groupBy("file", "row_idx", "encoding", "delimiter")
-    joined = across.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("raw").alias("raw")))), lambda x: x["raw"]), "0A").alias("raw")).withColumn("raw", F.unhex("raw"))
-    return _rows(whole.select(*joined.columns).unionByName(joined))
+    joined = across.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("raw").alias("raw")))), lambda x: x["raw"]), "0A").alias("raw"), F.bool_or(F.col("raw").isNull()).alias("over")).withColumn("raw", F.when(~F.col("over"), F.unhex("raw"))).drop("over")
+    return _rows(whole.select(*joined.columns).unionByName(joined), errors)
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
@@ -176,13 +217,21 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["file", "row_idx", "start", "raw", "encoding", "delimiter"])
 
 
-def _rows(pieces: DataFrame) -> DataFrame:
-    """Cells of whole rows."""
+def _rows(pieces: DataFrame, errors: bool = False) -> DataFrame:
+    """Cells of whole rows; with errors, what keeps a row from being cut stands in its place."""
+
+    def cut(raw: bytes | None, name: str, sep: str) -> tuple[str, list[str]]:
+        try:
+            return "csv", _cells(raw, name, sep)
+        except csv.Error as e:
+            if not errors:
+                raise
+            return delimited.ERROR, [type(e).__name__, str(e)[:500]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [_cells(raw, name, sep) for raw, name, sep in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            found = [cut(raw, name, sep) for raw, name, sep in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["csv"] * n, pa.string()), pa.array([0] * n, pa.int32()), batch.column(1), pa.array(cells, pa.list_(pa.string()))], ["file", "table", "table_at", "row_idx", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([0] * n, pa.int32()), batch.column(1), pa.array([c for _, c in found], pa.list_(pa.string()))], ["file", "table", "table_at", "row_idx", "cells"])
 
     return pieces.select("file", "row_idx", "raw", "encoding", "delimiter").mapInArrow(run, delimited.RAW)

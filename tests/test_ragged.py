@@ -67,3 +67,31 @@ def test_read_ragged_agrees_with_read_tables(spark, tmp_path):
     assert [r.cells for r in ragged.read_ragged(spark, str(tmp_path), delimiter="|", encoding="cp1251").orderBy("row_idx").collect()][1] == ["Код;Имя;Ставка"]
     with pytest.raises(ValueError):
         ragged.read_ragged(spark, str(tmp_path), delimiter="/")
+
+
+def test_no_delimited_file_is_read_whole(spark, tmp_path, monkeypatch):
+    """Files of tables are dealt by blocks; those of wide letters, and no others, go as a whole to one task."""
+    folder = tmp_path / "with 5% + space"
+    folder.mkdir()
+    made = {"a.csv": (planted(1), ";", "utf-8"), "б.TXT": (planted(2, ","), ",", "cp1251"), "c.tsv": (planted(3, "\t"), "\t", "utf-16"), "bad.csv": ('x;y\n"' + "long\n" * 150_000 + '";z\n1;2\n', ";", "utf-8")}
+    for name, (text, _, encoding) in made.items():
+        (folder / name).write_bytes(text.encode(encoding))
+    whole, tables_of = [], delimited.tables_of
+    monkeypatch.setattr(delimited, "tables_of", lambda found: (whole.extend(r.path for r in found.collect()), tables_of(found))[1])
+    for block in (100_000, 20_000):
+        whole.clear()
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.set(f"spark.sql.files.{key}", block)
+        try:
+            rows = delimited.read_tables(spark, str(folder)).collect()
+        finally:
+            for key in ("maxPartitionBytes", "openCostInBytes"):
+                spark.conf.unset(f"spark.sql.files.{key}")
+        assert whole == [f"file:{folder}/c.tsv"]
+        assert {r.file for r in rows} == {f"file:{folder}/{name}" for name in made}
+        for name, (text, delimiter, _) in made.items():
+            mine = [(r.table, r.row_idx, r.cells) for r in rows if r.file.endswith(f"/{name}")]
+            if name == "bad.csv":
+                assert ("error", 0, ["Error", "field larger than field limit (131072)"]) in [(t, 0, c) for t, _, c in mine] and len(mine) == 3
+            else:
+                assert sorted(mine) == [("csv", k, cells) for k, cells in enumerate(want(text, delimiter))]
