@@ -242,3 +242,11 @@ def test_limits(spark):
     assert [r.term for r in terms.cloud(cube, "tn", "fl", limit=2).collect()] == ["t29", "t28"]
     log = spark.createDataFrame([(k, f"2024-01-{k + 1:02d}") for k in range(20)], "id int, loaded_at string")
     assert [r.id for r in service.last_loads(log, 4).collect()] == [19, 18, 17, 16]
+
+
+def test_decomposed_letters_are_looked_up_not_searched_for(spark):
+    odd = text._decomposed()[0]
+    rows = [f"a{c}b{c}{c}9" for c in odd] + ["𝟙x", " y", "½½", "ﬃ№"]
+    df = spark.createDataFrame([(x,) for x in rows], "x string").select("x", text.norm_key(F.col("x")).alias("key"))
+    assert [(r.x, r.key) for r in df.collect() if r.key != delimited.norm_header(r.x.replace("й", "и "))] == []
+    assert "instr(" not in df._jdf.queryExecution().optimizedPlan().toString()  # which is a scan of the list for each letter
