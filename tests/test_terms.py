@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from levylens import session
 from levylens.functions import russian
 from levylens.functions.lemmas import Lemmas
 from levylens.operators import terms
@@ -110,3 +112,12 @@ def test_lemmas_take_the_place_of_stems(spark):
         Lemmas.of(forms, most=2)
     empty = Lemmas.of(forms.where(F.lit(False)))
     assert empty(["льготам"]) == [russian.stem("льготам")]
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """What a worker holds does not grow with the rows of a partition."""
+    own = spark.newSession()
+    session.bind(own)
+    sizes = own.range(3_000, numPartitions=1).select(F.repeat(F.lit("льготы "), 600).alias("text")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+    most = sizes.agg(F.max("n")).first()[0]
+    assert most < 8 << 20, most
