@@ -30,6 +30,8 @@ RF = "00"
 CELL = "tax_code string, region_code string, payer string, year_from int, year_to int, term string, surface string, is_bigram int, n long, docs long"
 #: Characters of text that are cut into words at once.
 SLICE = 1 << 21
+#: Rows of frequent words, a word for each bucket, up to which pairs are held against them.
+FREQUENT = 500_000
 _word = re.compile("[а-яa-z0-9][а-яa-z0-9-]+")
 _number = re.compile("[0-9-]+")
 
@@ -118,7 +120,14 @@ def partial_cells(texts: DataFrame, stops: list[str], unigrams: bool = True, big
 
 def count_terms(counted: DataFrame, last: int) -> DataFrame:
     """Occurrences and texts of each term in each bucket, from cells() or partial_cells(); one exchange."""
-    yearly = norms.explode_years(counted.select(*PERIOD, "term", "is_bigram", "n", "docs"), last)
+    return _sums(_yearly(counted, last))
+
+
+def _yearly(counted: DataFrame, last: int) -> DataFrame:
+    return norms.explode_years(counted.select(*PERIOD, "term", "is_bigram", "n", "docs"), last)
+
+
+def _sums(yearly: DataFrame) -> DataFrame:
     return yearly.groupBy(*BUCKET, "term", "is_bigram").agg(F.sum("n").alias("term_freq"), F.sum("docs").alias("doc_freq"))
 
 
@@ -135,6 +144,41 @@ def top_terms(cube: DataFrame, n: int = 400) -> DataFrame:
     return cube.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 
+def _with_ties(cube: DataFrame, n: int) -> DataFrame:
+    """The terms of each bucket that are as frequent as its n-th."""
+    w = Window.partitionBy(*BUCKET).orderBy(F.desc("term_freq"))
+    return cube.withColumn("rn", F.rank().over(w)).where(F.col("rn") <= n).drop("rn")
+
+
+def _hopeful(pairs: DataFrame, words: DataFrame, last: int) -> DataFrame:
+    """The pairs by years, without those of which neither their own bucket nor the sum over regions has both words among `words`; all of them if these are too many to be sent to every task.
+
+    What is left out of a bucket is less frequent there than each of its `words`, and so are what sums are left of it.
+    """
+    slot = ["tax_code", "year", "payer"]
+    own = words.where(F.col("region_code") != RF).select(*slot, "region_code", "term")
+    everywhere = words.where(F.col("region_code") == RF).select(*slot, "term").alias("o")
+    regions = own.select(*slot, "region_code").distinct().alias("r")
+    spread = regions.join(everywhere, [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in slot]).select(*(f"r.{c}" for c in slot), "r.region_code", "o.term")
+    known = session.kept(own.unionByName(spread).distinct())
+    rows = _yearly(pairs, last)
+    if known.limit(FREQUENT + 1).count() > FREQUENT:
+        return rows
+    parts = F.split("term", " ")
+    rows = rows.withColumn("first_", F.get(parts, F.lit(0))).withColumn("second_", F.when(F.size(parts) == 2, F.get(parts, F.lit(1))))
+    other = rows.where("second_ IS NULL")  # terms of one's own may hold spaces
+    rows = rows.where("second_ IS NOT NULL")
+    for word in ("first_", "second_"):
+        same = [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in BUCKET] + [F.col(f"p.{word}") == F.col("k.term")]
+        rows = rows.alias("p").join(F.broadcast(known.alias("k")), same, "left_semi")
+    return rows.unionByName(other).drop("first_", "second_") if _spaced(pairs) else rows.drop("first_", "second_")
+
+
+def _spaced(pairs: DataFrame) -> bool:
+    """Whether some pair is of terms that hold spaces themselves."""
+    return pairs.where("size(split(term, ' ')) <> 2").limit(1).count() > 0
+
+
 def display_forms(words: DataFrame, n: Column | None = None) -> DataFrame:
     """The surface that a term has most often, of equals the least; a row is one occurrence, or n."""
     counted = words.groupBy("term", "surface").agg((F.count(F.lit(1)) if n is None else F.sum(n)).alias("n"))
@@ -144,12 +188,17 @@ def display_forms(words: DataFrame, n: Column | None = None) -> DataFrame:
 def build_cube(texts: DataFrame, stops: list[str], last: int, top: int = 400, with_bigrams: bool = True, stem: bool | Stemmer = True) -> DataFrame:
     """Q11's cube: unigrams and bigrams, with the sum over regions, pruned after it.
 
-    The partial cells are written once, by columns, so texts are cut into words once. The pruned cube is
-    written too, and surfaces are counted only of the terms that it has.
+    The partial cells are written once, by columns, so texts are cut into words once; a surface that is its
+    term is null there. A pair is at most as frequent as either of its words, so one of a word that is less
+    frequent than a bucket's top-th word is none of its top, and is left out before the exchange. The pruned
+    cube is written too, and surfaces are counted only of the terms that it has.
     """
-    counted = session.kept(partial_cells(texts, stops, bigrams=with_bigrams, stem=stem))
-    cube = session.kept(top_terms(with_all_regions(count_terms(counted, last)), top))
-    mine = counted.join(cube.select("term").distinct(), "term", "left_semi")
+    cells_ = partial_cells(texts, stops, bigrams=with_bigrams, stem=stem)
+    counted = session.kept(cells_.withColumn("surface", F.nullif("surface", "term")))
+    words = session.kept(_with_ties(with_all_regions(count_terms(counted.where("is_bigram = 0"), last)), top))
+    pairs = with_all_regions(_sums(_hopeful(counted.where("is_bigram = 1"), words, last)))
+    cube = session.kept(top_terms(words.unionByName(pairs) if with_bigrams else words, top))
+    mine = counted.join(cube.select("term").distinct(), "term", "left_semi").withColumn("surface", F.coalesce("surface", "term"))
     return cube.join(display_forms(spread_surfaces(mine, last), F.col("n")), "term", "left")
 
 

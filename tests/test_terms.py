@@ -121,3 +121,27 @@ def test_batches_of_long_texts_are_bounded(spark):
     sizes = own.range(3_000, numPartitions=1).select(F.repeat(F.lit("льготы "), 600).alias("text")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
     most = sizes.agg(F.max("n")).first()[0]
     assert most < 8 << 20, most
+
+
+@pytest.mark.parametrize("limit", [terms.FREQUENT, 3])
+def test_only_pairs_of_frequent_words_are_exchanged(spark, monkeypatch, limit):
+    """The cube is that of all pairs, whether or not pairs of rare words are left out before."""
+    monkeypatch.setattr(terms, "FREQUENT", limit)
+    rng, rows = random.Random(5), []
+    for k in range(300):  # few frequent words, many rare ones
+        said = [rng.choice(["льготы", "налога", "земли", "транспорт"]) if rng.random() < 0.5 else f"w{rng.randrange(400)}" for _ in range(30)]
+        rows.append((rng.choice(["tn", None]), rng.choice(["77", "50", None]), rng.choice(["fl", None]), rng.choice([None, 1999, 2020]), rng.choice([None, 2021]), " ".join(said)))
+    texts = spark.createDataFrame(rows, SCHEMA)
+    counted = terms.cells(texts, STOPS)
+    cube = terms.top_terms(terms.with_all_regions(terms.count_terms(counted, 2022)), 12)
+    want = cube.join(terms.display_forms(terms.spread_surfaces(counted, 2022), F.col("n")), "term", "left")
+    sent, sums = [], terms._sums
+    monkeypatch.setattr(terms, "_sums", lambda rows: (sent.append(rows), sums(rows))[1])
+    assert plain(terms.build_cube(texts, STOPS, 2022, top=12)) == plain(want)
+    every = terms.norms.explode_years(counted.where("is_bigram = 1"), 2022)
+    if limit > 3:
+        assert sent[-1].count() < every.count() / 2
+    spaced = lambda words: [w.replace("w", "w ") for w in words]
+    counted = terms.cells(texts, STOPS, stem=spaced)
+    want = terms.top_terms(terms.with_all_regions(terms.count_terms(counted, 2022)), 12)
+    assert plain(terms.build_cube(texts, STOPS, 2022, top=12, stem=spaced).withColumn("display", F.lit(""))) == plain(want.withColumn("display", F.lit("")))
