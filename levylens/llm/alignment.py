@@ -10,8 +10,13 @@ over its links, which are joined back by the group to the blocks, and there mult
 document has it.
 
 Only blocks' dictionaries and pair counts are exchanged, never texts or tokens. A group's key is its ids
-themselves; within a block a 64-bit hash stands for them. A text of over SLICE bytes is given to B in
-slices between words, which no piece of a vocabulary like this one spans (checked; else it goes whole).
+themselves; within a block a 64-bit hash stands for them.
+
+Texts are cut into words: before each space that follows neither white space nor B's mark, and is not the
+last of its text. A's pieces end there, and no piece of a vocabulary like B's spans such a place (both
+checked; else texts stay whole), so a group ends there too. A block gives each distinct word to the
+tokenizers once, and has its groups from then on. A text with a word that is altered by a tokenizer is
+encoded whole, B's part in slices of over SLICE bytes, cut alike.
 
 Defined cases: texts that are null, empty, or altered by a tokenizer have no tokens, zeros and an empty
 digest; a row without doc_id takes no part; repeated rows give a row each and count as documents of
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -49,6 +55,7 @@ class ByteLevel:
     most = 400_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -61,23 +68,30 @@ class ByteLevel:
         self.bytes = [bytes(byte.get(c, 0) for c in t) for _, t in sorted((i, t) for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items())]
         self.known: dict[bytes, list[int]] = {}
 
-    def encode(self, block: common.Block) -> list[list[int]]:
+    def encode(self, block: common.Block) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after the other, and how many each has."""
         if not self.by_piece:
-            return [x.ids for x in self.tokenizer.encode_batch_fast([block.bytes_of(i).decode() for i in range(len(block.ids))], add_special_tokens=False)]
-        cut = []
-        for i, offs in byte_bpe.pieces(block):
-            text, at = block.bytes_of(i), offs.tolist()
-            cut.append([text[a:b] for a, b in zip(at, at[1:])])
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast([block.bytes_of(i).decode() for i in range(len(block.ids))], add_special_tokens=False)]
+            return _flat(ids)
+        at, edge = byte_bpe.starts(block)
+        text, cut = block.data.tobytes(), [*at.tolist(), len(block.data)]
+        pieces = [text[a:b] for a, b in zip(cut, cut[1:])]
         known = self.known
-        new = list({p for doc in cut for p in doc if p not in known})
+        new = list({p for p in pieces if p not in known})
         if len(known) + len(new) > self.most:
             known.clear()
-            new = list({p for doc in cut for p in doc})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
+            new = list(set(pieces))
+        for k in range(0, len(new), 10_000):
+            some = new[k : k + 10_000]
             for p, x in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
                 known[p] = x.ids
-        return [list(chain.from_iterable(map(known.__getitem__, doc))) for doc in cut]
+        ids, size = _flat(list(map(known.__getitem__, pieces)))
+        return ids, common.sums_of(size, edge)
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, size.sum()), size
 
 
 class SentencePieces:
@@ -109,6 +123,8 @@ class SentencePieces:
         return [*out, text[at:]]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if max(map(len, texts), default=0) <= SLICE:
+            return self.model.encode(texts, num_threads=1)
         cut = [self.slices(t) for t in texts]
         ids = iter(self.model.encode([s for doc in cut for s in doc], num_threads=1))
         return [list(chain.from_iterable(next(ids) for _ in doc)) for doc in cut]
@@ -123,11 +139,19 @@ def models(a: str, b: str) -> tuple[ByteLevel, SentencePieces]:
     return _models[a, b]
 
 
-def links_of(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> list[int]:
+def links_of(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[int]:
     """The pairs of a group's tokens that overlap, as a << 32 | b: one for each offset at which either ends."""
-    end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-    ends = np.union1d(end_a, end_b)
-    return [a[i] << 32 | b[j] for i, j in zip(np.searchsorted(end_a, ends).tolist(), np.searchsorted(end_b, ends).tolist(), strict=True)]
+    out, i, j, end_a, end_b = [], 0, 0, size_a[a[0]], size_b[b[0]]
+    while True:
+        out.append(a[i] << 32 | b[j])
+        on_a, on_b = end_a <= end_b, end_b <= end_a
+        i, j = i + on_a, j + on_b
+        if i == len(a) or j == len(b):  # both, as their bytes are equal
+            return out
+        if on_a:
+            end_a += size_a[a[i]]
+        if on_b:
+            end_b += size_b[b[j]]
 
 
 def key_of(a: list[int], b: list[int]) -> bytes:
@@ -140,11 +164,16 @@ def ids_of(key: bytes) -> tuple[list[int], list[int]]:
 
 
 class Dictionary:
-    """The distinct groups and pairs of a block's documents, filled part by part."""
+    """The distinct words, groups and pairs of a block's documents, filled part by part."""
 
     def __init__(self, a: str, b: str):
         self.a, self.b = models(a, b)
-        self.size_a, self.size_b = (np.array([len(x) for x in m.bytes], np.int64) for m in (self.a, self.b))
+        self.sizes = [[len(x) for x in m.bytes] for m in (self.a, self.b)]
+        self.size_a, self.size_b = (np.array(x, np.int64) for x in self.sizes)
+        self.word_number: dict[int, int] = {}  # by its hash
+        self.words: list[str] = []  # the names of each word's groups
+        self.facts = np.zeros((4, 0), np.int64)  # of each word: A's ids, B's ids, groups, whether a tokenizer alters it
+        self.word_groups = np.zeros(0, np.int64)  # of all words, one after the other
         self.number: dict[int, int] = {}  # of a group, by its hash
         self.keys: list[bytes] = []
         self.names: list[str] = []
@@ -158,30 +187,85 @@ class Dictionary:
     def _take(self, a: list[int], b: list[int]) -> int:
         self.keys.append(key_of(a, b))
         self.names.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-        pairs = dict.fromkeys(links_of(a, b, self.size_a, self.size_b))
+        pairs = dict.fromkeys(links_of(a, b, *self.sizes))
         self.links.extend(self.pair_number.setdefault(p, len(self.pair_number)) for p in pairs)
         self.first.append(len(self.links))
         return len(self.keys) - 1
 
+    def _starts(self, spaced: common.Block) -> np.ndarray:
+        """Where words of texts that begin with a space start; each begins with one."""
+        if not (self.a.by_piece and self.b.sliced):
+            return spaced.offsets[:-1]
+        points = np.frombuffer(spaced.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        said = (byte_bpe.classes()[points] != byte_bpe.SPACE) & (points != ord(self.b.MARK))
+        after = np.zeros(len(points), bool)
+        after[1:] = (points[1:] == 0x20) & said[:-1]
+        cut = np.zeros(len(spaced.data), bool)
+        cut[np.flatnonzero((spaced.data & 0xC0) != 0x80)[after]] = True
+        cut[spaced.offsets[1:] - 1] = False  # a text's last space is the word's before it
+        cut[spaced.offsets[:-1]] = True
+        return np.flatnonzero(cut)
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word; new ones are encoded."""
+        code, seen = pd.factorize(common.signed(common.hash_slices(data, start, end)))
+        where = np.empty(len(seen), np.int64)
+        where[code[::-1]] = np.arange(len(code))[::-1]
+        keys, known = seen.tolist(), self.word_number
+        new = [k for k, key in enumerate(keys) if key not in known]
+        if new:
+            known.update(zip(map(keys.__getitem__, new), range(len(self.words), len(self.words) + len(new))))
+            self._learn([data[start[i] : end[i]].tobytes() for i in where[new].tolist()])
+        return np.array(list(map(known.__getitem__, keys)), np.int64)[code]
+
+    def _learn(self, words: list[bytes]) -> None:
+        block = common.one_block(*words)
+        (a, n_a), (b, n_b) = self.a.encode(block), _flat(self.b.encode([x[1:].decode() for x in words]))
+        altered = np.diff(block.offsets) == 1
+        for model, ids, size, n in ((self.a, a, self.size_a, n_a), (self.b, b, self.size_b, n_b)):
+            ends = np.concatenate([[0], np.cumsum(n)])
+            same, joined = common.sums_of(size[ids], ends) == np.diff(block.offsets), b"".join(map(model.bytes.__getitem__, ids.tolist()))
+            if not same.all() or joined != block.data.tobytes():
+                at = np.concatenate([[0], np.cumsum(size[ids])])[ends].tolist()
+                same = np.array([joined[x:y] == word for x, y, word in zip(at, at[1:], words)], bool)
+            altered |= ~same
+        a, b, n_a, n_b = a[np.repeat(~altered, n_a)], b[np.repeat(~altered, n_b)], n_a * ~altered, n_b * ~altered
+        local, edge = self._groups(a, b, n_a)
+        names, cut = list(map(self.names.__getitem__, local.tolist())), edge.tolist()
+        self.words += [";".join(names[x:y]) for x, y in zip(cut, cut[1:])]
+        self.facts = np.concatenate([self.facts, [n_a, n_b, np.diff(edge), altered]], axis=1)
+        self.word_groups = np.concatenate([self.word_groups, local])
+
+    def _texts(self, spaced: common.Block) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts' words in turn, and where each text's begin; a text with an altered word is one word."""
+        start = self._starts(spaced)
+        word = self._numbers(spaced.data, start, np.append(start[1:], len(spaced.data)))
+        edge = np.searchsorted(start, spaced.offsets)
+        odd = np.flatnonzero(common.sums_of(self.facts[3][word], edge) * (np.diff(edge) > 1))
+        if len(odd):
+            kept = np.ones(len(word), bool)
+            for i in odd.tolist():
+                kept[edge[i] + 1 : edge[i + 1]] = False
+            word[edge[odd]] = self._numbers(spaced.data, spaced.offsets[odd], spaced.offsets[odd + 1])
+            edge = np.concatenate([[0], np.cumsum(common.sums_of(kept.astype(np.int64), edge))])
+            word = word[kept]
+        return word, edge
+
     def add(self, block: common.Block) -> None:
         n = len(block.ids)
         self.bytes += len(block.data)
-        spaced = common.Block(block.ids, np.insert(block.data, block.offsets[:-1], 32), block.offsets + np.arange(n + 1))
-        raw = [spaced.bytes_of(i) for i in range(n)]
-        ids_a, ids_b = self.a.encode(spaced), self.b.encode([x[1:].decode() for x in raw])
-        for i, text in enumerate(raw):
-            if len(text) == 1 or b"".join(map(self.a.bytes.__getitem__, ids_a[i])) != text or self.b.join(ids_b[i]) != text:
-                ids_a[i] = ids_b[i] = []
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        local, edge = self._groups(*(np.fromiter(chain.from_iterable(ids), np.int64, size.sum()) for ids, size in ((ids_a, n_a), (ids_b, n_b))), n_a)
-        names, of, cut = self.names, local.tolist(), edge.tolist()
-        sha = [hashlib.sha256(";".join(map(names.__getitem__, of[x:y])).encode()).hexdigest() if y > x else "" for x, y in zip(cut, cut[1:])]
-        held, times = np.unique(np.repeat(np.arange(n), np.diff(edge)) * len(self.keys) + local, return_counts=True)
+        word, cut = self._texts(common.Block(block.ids, np.insert(block.data, block.offsets[:-1], 32), block.offsets + np.arange(n + 1)))
+        n_a, n_b, n_groups = (common.sums_of(x[word], cut) for x in self.facts[:3])
+        size = self.facts[2]
+        local = self.word_groups[common.ragged((np.cumsum(size) - size)[word], size[word])]
+        names, said = list(map(self.words.__getitem__, word.tolist())), cut.tolist()
+        sha = [hashlib.sha256(";".join(names[x:y]).encode()).hexdigest() if some else "" for x, y, some in zip(said, said[1:], n_groups.tolist())]
+        held, times = np.unique(np.repeat(np.arange(n), n_groups) * len(self.keys) + local, return_counts=True)
         doc, at = held // max(1, len(self.keys)), held % max(1, len(self.keys))
         self._count(doc, at)
         spread = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
         lists = [pa.ListArray.from_arrays(spread, pa.array(x, kind)) for x, kind in ((at, pa.int32()), (times, pa.int64()))]
-        self.rows.append(pa.table([pa.array(block.ids, pa.int64()), pa.array(n_a), pa.array(n_b), pa.array(np.diff(edge), pa.int64()), pa.array(sha, pa.string()), *lists], schema=PAYLOAD))
+        self.rows.append(pa.table([pa.array(block.ids, pa.int64()), pa.array(n_a), pa.array(n_b), pa.array(n_groups), pa.array(sha, pa.string()), *lists], schema=PAYLOAD))
 
     def _groups(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each group in turn, and where each document's begin."""
@@ -239,7 +323,7 @@ def expanded(groups: DataFrame, a: str, b: str) -> DataFrame:
     """group, pair and how often the group links it, for distinct groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_a, size_b = (np.array([len(x) for x in m.bytes], np.int64) for m in models(a, b))
+        size_a, size_b = ([len(x) for x in m.bytes] for m in models(a, b))
         for batch in batches:
             rows = [(key, pair, n) for key in batch.column(0).to_pylist() for pair, n in Counter(links_of(*ids_of(key), size_a, size_b)).items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["group", "pair", "times"])
@@ -272,11 +356,11 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
                 lists = rows.column("at").combine_chunks()
                 at, times = lists.flatten().to_numpy(), rows.column("times").combine_chunks().flatten().to_numpy()
                 edge = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-                own = []
+                own, some = [], sums.values.field("at").to_numpy() if sums.is_valid else at[:0]  # groups of words of altered texts are no text's
                 for name in ("n_best", "count_sum"):
-                    of = np.zeros(1 + (at.max() if len(at) else 0), np.int64)
+                    of = np.zeros(1 + max(at.max(initial=0), some.max(initial=0)), np.int64)
                     if sums.is_valid:
-                        of[sums.values.field("at").to_numpy()] = sums.values.field(name).to_numpy()
+                        of[some] = sums.values.field(name).to_numpy()
                     own.append(common.sums_of(of[at] * times, edge))
                 n_a, n_b, n_groups = (rows.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups"))
                 cols = {"doc_id": rows.column("doc_id").to_numpy(), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups, "n_best": own[0], "count_sum": own[1], "groups_sha256": rows.column("groups_sha256").to_pylist()}

@@ -209,8 +209,8 @@ def model(path: str) -> Bpe:
     return _models[path]
 
 
-def pieces(block: common.Block) -> Iterator[tuple[int, np.ndarray]]:
-    """For each document of the block: its place, and the byte offsets of its pieces, its end last."""
+def starts(block: common.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces start in the block's bytes, and which of them is each document's first, the end last."""
     n = len(block.data)
     lead = np.flatnonzero((block.data & 0xC0) != 0x80)
     points = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -218,7 +218,12 @@ def pieces(block: common.Block) -> Iterator[tuple[int, np.ndarray]]:
     full = np.flatnonzero(np.diff(block.offsets))
     first[np.searchsorted(lead, block.offsets[full])] = True
     at = lead[boundaries(points, first)] if n else lead
-    edge = np.searchsorted(at, block.offsets)
+    return at, np.searchsorted(at, block.offsets)
+
+
+def pieces(block: common.Block) -> Iterator[tuple[int, np.ndarray]]:
+    """For each document of the block: its place, and the byte offsets of its pieces, its end last."""
+    at, edge = starts(block)
     for i in range(len(block.ids)):
         yield i, np.append(at[edge[i] : edge[i + 1]], block.offsets[i + 1]) - block.offsets[i]
 

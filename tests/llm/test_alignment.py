@@ -94,3 +94,32 @@ def test_vocabulary_bytes():
     a = alignment.ByteLevel(A)
     assert a.by_piece and a.bytes[:2] == [b"!", b'"'] and len(a.bytes) == 50_257
     assert {bytes([b]) for b in range(256)} <= set(a.bytes)
+
+
+def test_words_are_encoded_once_a_block(spark, monkeypatch):
+    """A block gives each distinct word to the tokenizers once; the result is that of whole texts, whatever parts the words."""
+    given, encode = [], alignment.SentencePieces.encode
+    monkeypatch.setattr(alignment.SentencePieces, "encode", lambda self, texts: (given.extend(map(len, texts)), encode(self, texts))[1])
+    own = alignment.Dictionary(A, B)
+    for _ in range(2):
+        own.add(common.one_block(*["some words, again and again; " * 50] * 20))
+    assert sum(given) < 100, sum(given)
+    rng = random.Random(9)
+    parts = ["a", "x's", "'ll", "né", "ﬁ", "日", "12", "...", "▁", " ", " ", " ", "  ", "\n", "\t ", "\r\n", " ", "　", "​", " ", "\x00", "\x1c", "́"]
+    rows = ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(400)]
+    rows += [x.replace("▁", "") for x in rows] + ["kept words ▁ kept words"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    want = brute(rows)
+    assert sorted(map(tuple, alignment.align(df, A, B).collect())) == want
+
+    def facts() -> list:
+        own = alignment.Dictionary(A, B)
+        own.add(common.one_block(*rows))
+        return [tuple(r[c] for c in ("n_a", "n_b", "n_groups", "groups_sha256")) for r in own.rows[0].to_pylist()]
+
+    assert facts() == [(x[1], x[2], x[3], x[7]) for x in want]
+    a, b = alignment.models(A, B)
+    monkeypatch.setattr(b, "sliced", False)  # whole texts
+    assert facts() == [(x[1], x[2], x[3], x[7]) for x in want]
+    monkeypatch.setattr(a, "by_piece", False)
+    assert facts() == [(x[1], x[2], x[3], x[7]) for x in want]
