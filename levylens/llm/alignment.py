@@ -73,7 +73,11 @@ class ByteLevel:
         if not self.by_piece:
             ids = [x.ids for x in self.tokenizer.encode_batch_fast([block.bytes_of(i).decode() for i in range(len(block.ids))], add_special_tokens=False)]
             return _flat(ids)
-        at, edge = byte_bpe.starts(block)
+        lead = np.flatnonzero((block.data & 0xC0) != 0x80)
+        first = np.zeros(len(lead), bool)
+        first[np.searchsorted(lead, block.offsets[:-1][np.diff(block.offsets) > 0])] = True
+        at = lead[byte_bpe.boundaries(np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), np.uint32), first)] if len(lead) else lead
+        edge = np.searchsorted(at, block.offsets)
         text, cut = block.data.tobytes(), [*at.tolist(), len(block.data)]
         pieces = [text[a:b] for a, b in zip(cut, cut[1:])]
         known = self.known
