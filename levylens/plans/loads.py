@@ -152,12 +152,16 @@ def export_scan(d: Domain) -> DataFrame:
 
 @query("SELECT doc_id, CAST(4 AS INT) AS n_cells, regexp_replace(coalesce(text, ''), '[^0-9A-Za-z]+', '', 'g') AS letters, lang, coalesce(source, '') AS source FROM documents")
 def ragged_scan(d: Domain) -> DataFrame:
-    """A line of cells a document, whose text, quoted, holds line ends, quotes and delimiters."""
-    docs = d.table("documents")
-    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    path = _written(docs.select(F.concat_ws(";", F.col("doc_id").cast("string"), quoted, "lang", F.coalesce("source", F.lit(""))).alias("value")))
-    rows = ragged.read_ragged(d.spark, path, encoding="utf-8", delimiter=";")
-    return rows.select(F.col("cells")[0].cast("long").alias("doc_id"), F.size("cells").alias("n_cells"), F.regexp_replace(F.col("cells")[1], "[^0-9A-Za-z]+", "").alias("letters"), F.col("cells")[2].alias("lang"), F.col("cells")[3].alias("source"))
+    """A line of cells a document, whose text, quoted, holds line ends, quotes and delimiters; names are written by url_encode, as cells are cleaned, and a null as a blank cell."""
+    docs, blank = d.table("documents"), F.lit("")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", blank), F.lit('"'), F.lit('""')), F.lit('"'))
+    lang = F.coalesce(F.concat(F.lit("="), F.url_encode("lang")), blank)
+    path = _written(docs.select(F.concat_ws(";", F.coalesce(F.col("doc_id").cast("string"), blank), quoted, lang, F.url_encode(F.coalesce("source", blank))).alias("value")))
+    rows, cell = ragged.read_ragged(d.spark, path, encoding="utf-8", delimiter=";"), F.col("cells")
+    return rows.select(
+        F.nullif(cell[0], blank).cast("long").alias("doc_id"), F.size("cells").alias("n_cells"), F.regexp_replace(cell[1], "[^0-9A-Za-z]+", "").alias("letters"),
+        F.url_decode(F.substr(F.nullif(cell[2], blank), F.lit(2))).alias("lang"), F.url_decode(cell[3]).alias("source"),
+    )
 
 
 @query(

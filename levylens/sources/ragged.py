@@ -30,6 +30,8 @@ from . import delimited
 #: What a block says of itself: for each delimiter, the state after it and its rows if it begins outside and inside a quoted cell.
 BLOCK = "file string, start long, head binary, after array<array<boolean>>, rows array<array<long>>"
 STATE = "file string, start long, encoding string, delimiter string, inside boolean, first long"
+#: Bytes of the longest line and row: what a row of Spark's can hold.
+LONGEST = (1 << 31) - 1
 
 
 def ends_inside(line: bytes, delimiter: bytes, inside: bool) -> bool:
@@ -135,19 +137,26 @@ def states(found: DataFrame, encoding: str | None = None, delimiter: str | None
     return found.groupBy("file").applyInPandas(run, STATE)
 
 
-def _cells(raw: bytes | None, encoding: str, delimiter: str) -> list[str]:
+def _cells(raw: bytes | None, encoding: str, delimiter: str, limited: bool) -> list[str]:
+    limit = csv.field_size_limit()
     if raw is None:
-        raise csv.Error(f"field larger than field limit ({csv.field_size_limit()})")
-    row = next(csv.reader([raw.decode(encoding, errors="replace")], delimiter=delimiter), [])
+        raise csv.Error(f"field larger than field limit ({limit})")
+    text = raw.decode(encoding, errors="replace")
+    if not limited and len(text) > limit:  # the limit is the process's, so it is set back
+        csv.field_size_limit(len(text))
+    try:
+        row = next(csv.reader([text], delimiter=delimiter), [])
+    finally:
+        csv.field_size_limit(limit)
     return [delimited.clean_cell(c) for c in row]
 
 
-def read_ragged(spark: SparkSession, path: str | list[str], encoding: str | None = None, delimiter: str | None = None, longest: int = 32 << 20) -> DataFrame:
+def read_ragged(spark: SparkSession, path: str | list[str], encoding: str | None = None, delimiter: str | None = None, longest: int = LONGEST) -> DataFrame:
     """The rows of every delimited file below path, as read_tables() gives them, but by blocks: file, table, table_at, row_idx and cells.
 
     encoding and delimiter are by default each file's own, as its first lines tell them; encodings in which
-    quotes, delimiters and line ends are not single bytes are not read. A line of over `longest` bytes is
-    passed over. Blocks must be cut alike in both passes, so settings of file splits must not change between.
+    quotes, delimiters and line ends are not single bytes are not read. A cell may be of any length, as a
+    task can hold its row; a line of over `longest` bytes is passed over. Blocks must be cut alike in both passes, so settings of file splits must not change between.
     """
     if delimiter is not None and delimiter not in delimited.DELIMITERS:
         raise ValueError(f"the delimiter must be one of {delimited.DELIMITERS!r}")
@@ -157,7 +166,7 @@ def read_ragged(spark: SparkSession, path: str | list[str], encoding: str | None
 
 
 def read_files(spark: SparkSession, paths: list[str], longest: int = 32 << 20) -> tuple[DataFrame, list[str]]:
-    """I4: read_ragged() of listed files, in which a row that cannot be cut is one of the table ERROR, and those files that are not read so, as their encodings are none of single bytes."""
+    """I4: read_ragged() of listed files, in which a row that cannot be cut, as one with a cell beyond the csv module's limit, is one of the table ERROR, and those files that are not read so, as their encodings are none of single bytes."""
     session.bind(spark)
     lines = _lines(spark, paths, longest)
     known = session.kept(states(blocks(lines)))  # a row a block
@@ -167,14 +176,14 @@ def read_files(spark: SparkSession, paths: list[str], longest: int = 32 << 20) -
 
 
 def _cut(lines: DataFrame, known: DataFrame, left_out: Column | None = None, errors: bool = False) -> DataFrame:
-    """The second pass over lines, from what is known of their blocks. A quoted cell beyond the csv module's limit ends there, as does what is held of it."""
-    longest_cell = 4 * csv.field_size_limit()  # a letter has at most four bytes
+    """The second pass over lines, from what is known of their blocks. With errors, a quoted cell beyond the csv module's limit ends there, as does what is held of it."""
+    longest_cell = 4 * csv.field_size_limit() if errors else LONGEST  # a letter has at most four bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, inside, at, held, cell = None, False, -1, [], 0  # cell: bytes since the last quote
+        block, inside, at, held, cell, over = None, False, -1, None, 0, False  # held: the begun row; cell: bytes since the last quote
 
         def whole() -> bytes | None:
-            return None if held[0] is None else b"\n".join(held)
+            return None if over else bytes(held)
 
         for batch in batches:
             out: list[tuple] = []
@@ -182,22 +191,26 @@ def _cut(lines: DataFrame, known: DataFrame, left_out: Column | None = None, err
                 if name is None:
                     raise ValueError(f"{file} is cut into other blocks than before: {start}")
                 if (file, start) != block:
-                    if held:
+                    if held is not None:
                         out.append((block[0], at, block[1], whole(), own))
-                    block, inside, at, held, own, cell = (file, start), state, first - 1, [], (name, sep), 0
+                    block, inside, at, held, own, cell, over = (file, start), state, first - 1, None, (name, sep), 0, False
                 at += not inside
                 quoted = b'"' in line
                 cell = 0 if quoted or not inside else cell + len(line)
-                if cell > longest_cell:
-                    held = [None]
-                if held != [None]:
-                    held.append(line)
+                over = over or cell > longest_cell
+                if over:
+                    held = bytearray()
+                elif held is None:
+                    held = bytearray(line)
+                else:
+                    held += b"\n"
+                    held += line
                 inside = ends_inside(line, sep.encode(), inside) if quoted else inside
                 if not inside:
                     out.append((file, at, start, whole(), own))
-                    held = []
+                    held, over = None, False
             yield _pieces(out)
-        if held:
+        if held is not None:
             yield _pieces([(block[0], at, block[1], whole(), own)])
 
     placed = lines.join(F.broadcast(known), ["file", "start"], "left")
@@ -222,7 +235,7 @@ def _rows(pieces: DataFrame, errors: bool = False) -> DataFrame:
 
     def cut(raw: bytes | None, name: str, sep: str) -> tuple[str, list[str]]:
         try:
-            return "csv", _cells(raw, name, sep)
+            return "csv", _cells(raw, name, sep, errors)
         except csv.Error as e:
             if not errors:
                 raise
